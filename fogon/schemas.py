@@ -117,6 +117,15 @@ FOREIGN_KEYS = {
 }
 
 
+def column_names(table: str) -> list[str]:
+    """Serving columns of ``table`` in order (no session needed)."""
+    return [column.split()[0] for column in SERVING_SCHEMAS[table].split(", ")]
+
+
+def required_columns(table: str) -> list[str]:
+    return [c for c in column_names(table) if c not in NULLABLE.get(table, set())]
+
+
 def struct_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

@@ -128,7 +128,7 @@ def _closure(names: list[str]) -> list[str]:
 def with_ctes(names: list[str], body: str, extra: dict[str, str] | None = None, recursive=False) -> str:
     """Prefix ``body`` with the CTEs it needs and its own ``extra`` ones."""
     parts = [f"{n} AS ({CTES[n]})" for n in _closure(names)]
-    parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
+    parts += [f"{n} AS MATERIALIZED ({sql})" for n, sql in (extra or {}).items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
 
 
