@@ -42,8 +42,22 @@ def _orders_base(src: TpchSources) -> DataFrame:
     return cubes.orders_base(facts.orders_frame(src.orders()), src.locations())
 
 
+def _bare(src: TpchSources) -> DataFrame:
+    return src.orders(customer=False, line_count=False)
+
+
+def _headers(src: TpchSources) -> DataFrame:
+    """Order rows without the customer and line-count joins."""
+    return facts.orders_frame(_bare(src))
+
+
+def _counted(src: TpchSources) -> DataFrame:
+    """Order rows with their number of lines."""
+    return facts.orders_frame(src.orders(customer=False))
+
+
 def _items_frame(src: TpchSources) -> DataFrame:
-    return facts.order_items_frame(src.order_items(), src.orders())
+    return facts.order_items_frame(src.order_items(), _bare(src))
 
 
 def _items_base(src: TpchSources) -> DataFrame:
@@ -211,21 +225,21 @@ def _fact_reservations(src: TpchSources) -> DataFrame:
 
 
 def _routing_deliverable(src: TpchSources) -> DataFrame:
-    return routing.deliverable(src.orders(), src.locations()).withColumns(
+    return routing.deliverable(src.orders(line_count=False), src.locations()).withColumns(
         {"lat": F.round("lat", 6), "lng": F.round("lng", 6)}
     )
 
 
 def _routing_assign(src: TpchSources) -> DataFrame:
     return assign_couriers(
-        routing.deliverable(src.orders(), src.locations()).select("order_id", "day", "zone"),
+        routing.deliverable(src.orders(line_count=False), src.locations()).select("order_id", "day", "zone"),
         ["day"],
         grow_fleet=True,
     )
 
 
 def _routing_sequence(src: TpchSources) -> DataFrame:
-    return routing.plan_deliveries(src.orders(), src.locations())
+    return routing.plan_deliveries(src.orders(line_count=False), src.locations())
 
 
 def _routing_report(src: TpchSources) -> DataFrame:
@@ -236,7 +250,7 @@ def _routing_report(src: TpchSources) -> DataFrame:
 
 
 def _routing_retimed(src: TpchSources) -> DataFrame:
-    return routing.retime(_routing_sequence(src), ["day"], src.orders(), _mesh(src))
+    return routing.retime(_routing_sequence(src), ["day"], src.orders(line_count=False), _mesh(src))
 
 
 # Parameters of the look-up queries.
@@ -248,37 +262,37 @@ PLANS: dict[str, Callable[[TpchSources], DataFrame]] = {
     "cube_sales_by_location": lambda s: cubes.cube_sales_by_location(_orders_base(s)),
     "cube_product_frequency": lambda s: cubes.cube_product_frequency(_items_base(s)),
     "cube_orders_status": lambda s: cubes.cube_orders_status(_orders_base(s)),
-    "cube_peak_hours": lambda s: cubes.cube_peak_hours(facts.orders_frame(s.orders())),
+    "cube_peak_hours": lambda s: cubes.cube_peak_hours(_counted(s)),
     "cube_customer_activity": lambda s: cubes.cube_customer_activity(_orders_base(s)),
     "consumption_trends": lambda s: analyses.consumption_trends(
         cubes.items_with_product(_items_frame(s), s.products())
     ),
-    "peak_hours": lambda s: analyses.peak_hours(facts.orders_frame(s.orders())),
-    "monthly_growth": lambda s: analyses.monthly_growth(facts.orders_frame(s.orders())),
+    "peak_hours": lambda s: analyses.peak_hours(_counted(s)),
+    "monthly_growth": lambda s: analyses.monthly_growth(_headers(s)),
     "ds_revenue_by_month_category": lambda s: serving.revenue_by_month_category(_revenue(s)),
     "ds_customer_activity_by_zone": lambda s: serving.customer_activity_by_zone(_activity(s)),
     "ds_orders_completed_vs_cancelled": lambda s: serving.orders_completed_vs_cancelled(
         _status(s)
     ),
     "ds_peak_hours_heatmap": lambda s: serving.peak_hours_heatmap(
-        analyses.peak_hours(facts.orders_frame(s.orders()))
+        analyses.peak_hours(_counted(s))
     ),
     "ds_overall_cancel_rate": lambda s: serving.overall_cancel_rate(_status(s)),
     "ds_top_peak_hours": lambda s: serving.top_peak_hours(
-        cubes.cube_peak_hours(facts.orders_frame(s.orders()))
+        cubes.cube_peak_hours(_counted(s))
     ),
     "ds_chart_rollups": _chart_rollups,
     "graph_nodes": lambda s: graph.node_table(
-        s.locations(), s.products(), s.users(), s.orders()
+        s.locations(), s.products(), s.users(), s.orders(line_count=False)
     ),
     "graph_counts": lambda s: graph.node_counts(
-        s.locations(), s.products(), s.users(), s.orders()
+        s.locations(), s.products(), s.users(), s.orders(line_count=False)
     ),
     "graph_edges_lives_in": lambda s: graph.lives_in(s.users(), s.locations()),
-    "graph_edges_placed": lambda s: graph.placed(s.orders(), s.users()),
+    "graph_edges_placed": lambda s: graph.placed(_bare(s), s.users()),
     "graph_edges_recommended": lambda s: graph.recommended(s.users()),
     "graph_edges_contains": lambda s: graph.contains(
-        s.order_items(), s.orders(), s.products()
+        s.order_items(), _bare(s), s.products()
     ),
     "graph_edges_route": lambda s: graph.route_mesh(s.locations()).select(
         "src", "dst", "distance_km", "minutes"
@@ -301,12 +315,12 @@ PLANS: dict[str, Callable[[TpchSources], DataFrame]] = {
     "src_csv": _src_csv,
     "lake_roundtrip": _lake_roundtrip,
     "extract_bronze": _extract_bronze,
-    "dim_date": lambda s: dims.dim_date(s.orders(), s.reservations()),
+    "dim_date": lambda s: dims.dim_date(_bare(s), s.reservations()),
     "dim_time": lambda s: _used(
-        dims.dim_time(s.spark), facts.orders_frame(s.orders()), "time_key"
+        dims.dim_time(s.spark), _headers(s), "time_key"
     ),
     "dim_order_status": lambda s: _used(
-        dims.dim_order_status(s.spark), facts.orders_frame(s.orders()), "status_key"
+        dims.dim_order_status(s.spark), _headers(s), "status_key"
     ),
     "dim_location": lambda s: dims.dim_location(s.locations()),
     "dim_product": lambda s: dims.dim_product(s.products()),

@@ -15,16 +15,15 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fogon.operators.dense_key import dense_key
 
 
 def zone_segments(
-    counts: list[tuple[str, int]], n_couriers: int, capacity: int
-) -> Iterator[tuple[str, int, int, int, bool]]:
+    counts: list[int], n_couriers: int, capacity: int
+) -> Iterator[tuple[int, int, int, int, bool]]:
     """(zone, first position, end position, courier, spilled) for zones in serving order.
 
     ``courier`` is where the segment starts. A plain segment moves on to the next
@@ -34,7 +33,7 @@ def zone_segments(
     fresh = 0  # couriers fresh..n-1 are empty
     open_loads: list[tuple[int, int]] = []  # (load, courier) with room, not empty
     spilled = 0
-    for zone, count in counts:
+    for zone, count in enumerate(counts):
         at = 0
         while at < count:
             if fresh < n_couriers:
@@ -59,6 +58,34 @@ def zone_segments(
             at += taken
 
 
+_PLAN_TYPE = (
+    "struct<fleet: bigint, segments: array<struct<zone: int, from_pos: bigint, to_pos: bigint, "
+    "start_courier: bigint, spilled: boolean>>>"
+)
+_SEGMENT_FIELDS = ("zone", "from_pos", "to_pos", "start_courier", "spilled")
+
+
+def plan_segments(counts: str | Column, n_couriers: int, capacity: int, grow: bool) -> Column:
+    """Fleet size and segments per batch from its (negated, sorted) zone counts."""
+
+    def lay_out(batches: pd.Series) -> pd.DataFrame:
+        fleets, plans = [], []
+        for negated in batches:
+            sizes = [-int(n) for n in negated]
+            needed = -(-sum(sizes) // capacity)
+            fleet = max(n_couriers, needed) if grow else n_couriers
+            fleets.append(fleet)
+            plans.append(
+                [
+                    dict(zip(_SEGMENT_FIELDS, segment, strict=True))
+                    for segment in zone_segments(sizes, fleet, capacity)
+                ]
+            )
+        return pd.DataFrame({"fleet": fleets, "segments": plans})
+
+    return F.pandas_udf(lay_out, _PLAN_TYPE)(counts)
+
+
 def assign_couriers(
     orders: DataFrame,
     batch: list[str],
@@ -85,33 +112,33 @@ def assign_couriers(
         F.min("_rank").alias("first_rank"),
         F.min(order_id).alias("first_order"),
     )
-    keys = [*batch, zone]
-    fields = [
-        T.StructField(f"seg_{k}", zones.schema[k].dataType) for k in keys
-    ] + [
-        T.StructField("from_pos", T.LongType()),
-        T.StructField("to_pos", T.LongType()),
-        T.StructField("start_courier", T.LongType()),
-        T.StructField("spilled", T.BooleanType()),
-        T.StructField("fleet", T.LongType()),
-        T.StructField("first_rank", T.LongType()),
-    ]
-
-    def plan(counts: pd.DataFrame) -> pd.DataFrame:
-        # One batch: one row per zone.
-        counts = counts.sort_values(["n", "first_order"], ascending=[False, True])
-        total = int(counts["n"].sum())
-        fleet = max(n_couriers, -(-total // capacity)) if grow_fleet else n_couriers
-        starts = dict(zip(counts[zone], counts["first_rank"], strict=True))
-        key = [counts[b].iloc[0] for b in batch]
-        todo = [(z, int(n)) for z, n in zip(counts[zone], counts["n"], strict=True)]
-        rows = [
-            [*key, *segment, fleet, int(starts[segment[0]])]
-            for segment in zone_segments(todo, fleet, capacity)
-        ]
-        return pd.DataFrame(rows, columns=[f.name for f in fields])
-
-    segments = zones.groupBy(*batch).applyInPandas(plan, T.StructType(fields))
+    # One row per batch: its zones in serving order, bounded by the zones there are.
+    plan = zones.groupBy(*batch).agg(
+        F.sort_array(
+            F.collect_list(F.struct((-F.col("n")).alias("n"), "first_order", zone, "first_rank"))
+        ).alias("zones")
+    )
+    segment = plan_segments("zones.n", n_couriers, capacity, grow_fleet)
+    segments = (
+        plan.withColumn("plan", segment)
+        .select(
+            *[F.col(b).alias(f"seg_{b}") for b in batch],
+            "zones",
+            F.col("plan.fleet").alias("fleet"),
+            F.explode("plan.segments").alias("s"),
+        )
+        .withColumn("z", F.element_at("zones", F.col("s.zone") + 1))
+        .select(
+            *[f"seg_{b}" for b in batch],
+            F.col(f"z.{zone}").alias(f"seg_{zone}"),
+            F.col("z.first_rank").alias("first_rank"),
+            "s.from_pos",
+            "s.to_pos",
+            "s.start_courier",
+            "s.spilled",
+            "fleet",
+        )
+    )
     position = F.col("_rank") - F.col("first_rank")
     within = position - F.col("from_pos")
     step = F.call_function("div", within, F.lit(capacity))
@@ -120,7 +147,7 @@ def assign_couriers(
     ).otherwise(F.col("start_courier") + step)
     # NULL-safe, so an order without a zone or day is planned too. Segments are few per
     # zone; the orders of a large zone are spread by AQE's skew split.
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"seg_{k}")) for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"seg_{k}")) for k in [*batch, zone]])
     return (
         ranked.join(segments, same)
         .where((position >= F.col("from_pos")) & (position < F.col("to_pos")))

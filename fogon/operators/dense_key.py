@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fogon.operators.staging import stage
 
@@ -39,16 +41,18 @@ def dense_key(
     ranged = stage(range_positions(df, order_by), key)
     part = F.shiftrightunsigned("_pos", _POSITION_BITS).cast("int")
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()
-    offsets, seen = [], 0
-    for row in sorted(sizes, key=lambda r: r["_part"]):
-        offsets.append((row["_part"], seen))
-        seen += row["_n"]
-    schema = T.StructType(
-        [T.StructField("_part", T.IntegerType()), T.StructField("_offset", T.LongType())]
+    sizes.sort()
+    parts = [row["_part"] for row in sizes]
+    ends = list(accumulate(row["_n"] for row in sizes))
+    offsets = pa.table(
+        {
+            "_part": pa.array(parts, pa.int32()),
+            "_offset": pa.array([0, *ends][: len(parts)], pa.int64()),
+        }
     )
     # One row per range partition, so the broadcast side is bounded by the
     # partition count, not by the data.
-    starts = F.broadcast(spark.createDataFrame(offsets, schema))
+    starts = F.broadcast(spark.createDataFrame(offsets))
     position = F.col("_pos").bitwiseAND((1 << _POSITION_BITS) - 1)
     return (
         ranged.withColumn("_part", part)

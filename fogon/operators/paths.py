@@ -8,8 +8,34 @@ from pyspark.sql import functions as F
 from fogon.operators.staging import stage
 
 
+def _relax(state: DataFrame, edges: DataFrame, hops: int, keep_path: bool) -> DataFrame:
+    """One round: extend the nodes settled in the previous round by one edge."""
+    path = F.concat("path", F.array("dst")) if keep_path else F.col("path")
+    reached = (
+        state.where(F.col("hops") == hops - 1)
+        .withColumnRenamed("cost", "so_far")
+        .join(edges, F.col("node") == F.col("src"))
+        .select(
+            F.col("dst").alias("node"),
+            (F.col("so_far") + F.col("cost")).alias("cost"),
+            F.lit(hops).alias("hops"),
+            path.alias("path"),
+        )
+    )
+    best = (
+        state.unionByName(reached)
+        .groupBy("node")
+        .agg(F.min(F.struct("cost", "hops", "path")).alias("best"))
+    )
+    return best.select("node", "best.*")
+
+
 def cheapest_paths(
-    edges: DataFrame, source, max_hops: int | None = None, keep_path: bool = True
+    edges: DataFrame,
+    source,
+    max_hops: int | None = None,
+    keep_path: bool = True,
+    rounds_per_write: int = 4,
 ) -> DataFrame:
     """(node, cost, hops, path) of the cheapest path from ``source`` to each node.
 
@@ -17,38 +43,25 @@ def cheapest_paths(
     exact. Ties go to fewer hops, then to the smaller path. Round r only extends nodes
     whose best path was found in round r-1 (its hop count is r-1), and one min per
     node merges the results: one join and one aggregate per round, no pair of paths
-    is ever held. Paths are not needed for costs alone; ``keep_path=False`` drops them.
+    is ever held. Every few rounds the state is written, which cuts the lineage and
+    tells whether anything is left to extend. Paths are not needed for costs alone;
+    ``keep_path=False`` drops them.
     """
     spark = edges.sparkSession
     node_type = edges.schema["src"].dataType.simpleString()
-    start = spark.range(1).select(
+    state = spark.range(1).select(
         F.lit(source).cast(node_type).alias("node"),
         F.lit(0).cast("bigint").alias("cost"),
         F.lit(0).alias("hops"),
         F.array(F.lit(source).cast(node_type)).alias("path"),
     )
-    state = stage(start, "paths")
     hops = 0
     while max_hops is None or hops < max_hops:
-        frontier = state.where(F.col("hops") == hops)
-        if frontier.isEmpty():
+        last = hops + rounds_per_write if max_hops is None else min(hops + rounds_per_write, max_hops)
+        while hops < last:
+            hops += 1
+            state = _relax(state, edges, hops, keep_path)
+        state = stage(state, "paths")
+        if state.where(F.col("hops") == hops).isEmpty():
             break
-        hops += 1
-        path = F.concat("path", F.array("dst")) if keep_path else F.col("path")
-        reached = (
-            frontier.withColumnRenamed("cost", "so_far")
-            .join(edges, F.col("node") == F.col("src"))
-            .select(
-                F.col("dst").alias("node"),
-                (F.col("so_far") + F.col("cost")).alias("cost"),
-                F.lit(hops).alias("hops"),
-                path.alias("path"),
-            )
-        )
-        best = (
-            state.unionByName(reached)
-            .groupBy("node")
-            .agg(F.min(F.struct("cost", "hops", "path")).alias("best"))
-        )
-        state = stage(best.select("node", "best.*"), "paths")
     return state

@@ -11,7 +11,7 @@ date and time dimensions are computed in place instead of joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogon.functions import calendar as cal
@@ -78,16 +78,40 @@ def revenue_by_order(items: DataFrame) -> DataFrame:
     )
 
 
+def _first(*partition: str, order: list[str]):
+    """1 on one row per partition, else 0: sums to the number of distinct partitions."""
+    window = Window.partitionBy(*partition).orderBy(*order)
+    return (F.row_number().over(window) == 1).cast("bigint")
+
+
 def cube_revenue_time_category(items: DataFrame) -> DataFrame:
-    """Revenue, units, distinct orders and average ticket by time x category."""
-    leaf = _month_columns(revenue_by_order(items))
+    """Revenue, units, distinct orders and average ticket by time x category.
+
+    An order has one date, so distinct orders need no distinct aggregate: a level with
+    category counts (order, category) rows, one without counts each order on its first
+    category only. Both are plain sums, so all levels come from the month x category
+    leaf table. The window sees at most one row per category of an order.
+    """
+    leaf = _month_columns(
+        revenue_by_order(items)
+        .withColumn("first", _first("order_id", order=["category"]))
+        .groupBy("month_key", "category")
+        .agg(
+            F.sum("revenue_c").alias("revenue_c"),
+            F.sum("units").alias("units"),
+            F.count("*").alias("in_category"),
+            F.sum("first").alias("in_total"),
+        )
+    )
     dims = ["year", "quarter_label", "month_label", "category"]
     y, q, m, c = (F.col(d) for d in dims)
     levels = leaf.groupingSets([[y, q, m, c], [y, q, m], [y, q], [y], [c], []], y, q, m, c).agg(
         F.grouping_id(*dims).cast("int").alias("grp_flag"),
         F.sum("revenue_c").alias("revenue_c"),
         F.sum("units").alias("units_sold"),
-        F.count_distinct("order_id").alias("orders"),
+        F.when(F.grouping("category") == 0, F.sum("in_category"))
+        .otherwise(F.sum("in_total"))
+        .alias("orders"),
     )
     return levels.select(
         *dims,
@@ -144,30 +168,51 @@ def cube_sales_by_location(orders: DataFrame) -> DataFrame:
 def cube_product_frequency(items: DataFrame) -> DataFrame:
     """Units, distinct orders, distinct buyers and revenue by category/product/month.
 
-    Two different entities are counted distinctly. One aggregate holding both would
-    expand each row once more per entity, so each has its own pass over rows already
-    reduced to (level, entity); the two result-sized tables are then added up.
+    Orders are counted by flags as in the revenue cube (an order has at most one row
+    per product name). Buyers do recur over months and products, so they are counted
+    distinctly, in a pass of their own over distinct (level, buyer) rows: one aggregate
+    holding both would expand every row once more. The two result-sized tables are then
+    added up.
     """
     user = _user_column(items)
     dims = ["category", "product_name", "month_label"]
     c, p, m = (F.col(d) for d in dims)
     sets = [[c, p, m], [c, p], [c, m], [c], []]
     flag = F.grouping_id(*dims).cast("int").alias("grp_flag")
-    by_order = _month_columns(
-        items.groupBy("order_id", month_key(), "category", "product_name").agg(
+    by_name = ["category", "product_name"]
+    leaf = _month_columns(
+        items.groupBy("order_id", month_key(), *by_name)
+        .agg(
             F.sum(cents("line_amount")).alias("revenue_c"),
             F.sum("quantity").alias("units"),
         )
+        .withColumns(
+            {
+                "first_in_order": _first("order_id", order=by_name),
+                "first_in_category": _first("order_id", "category", order=["product_name"]),
+            }
+        )
+        .groupBy("month_key", *by_name)
+        .agg(
+            F.sum("revenue_c").alias("revenue_c"),
+            F.sum("units").alias("units"),
+            F.count("*").alias("with_product"),
+            F.sum("first_in_category").alias("in_category"),
+            F.sum("first_in_order").alias("in_total"),
+        )
     )
-    sales = by_order.groupingSets(sets, c, p, m).agg(
+    sales = leaf.groupingSets(sets, c, p, m).agg(
         flag,
         F.sum("units").alias("units_sold"),
-        F.count_distinct("order_id").alias("times_ordered"),
+        F.when(F.grouping("product_name") == 0, F.sum("with_product"))
+        .when(F.grouping("category") == 0, F.sum("in_category"))
+        .otherwise(F.sum("in_total"))
+        .alias("times_ordered"),
         F.lit(0).cast("bigint").alias("distinct_buyers"),
         F.sum("revenue_c").alias("revenue_c"),
     )
     by_buyer = _month_columns(
-        items.select(F.col(user).alias("buyer"), month_key(), "category", "product_name").distinct()
+        items.select(F.col(user).alias("buyer"), month_key(), *by_name).distinct()
     )
     buyers = by_buyer.groupingSets(sets, c, p, m).agg(
         flag,

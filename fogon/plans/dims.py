@@ -64,9 +64,10 @@ def dim_time(spark: SparkSession) -> DataFrame:
 
 
 def dim_order_status(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ORDER_STATUSES,
-        "status_key smallint, status string, is_completed boolean, is_cancelled boolean",
+    rows = ", ".join(f"({key}, '{name}', {done}, {gone})" for key, name, done, gone in ORDER_STATUSES)
+    return spark.sql(
+        "SELECT CAST(status_key AS SMALLINT) AS status_key, status, is_completed, is_cancelled "
+        f"FROM VALUES {rows} AS t(status_key, status, is_completed, is_cancelled)"
     )
 
 

@@ -21,56 +21,59 @@ def _date_and_hour(df: DataFrame, name: str) -> dict:
     return {"date_key": cal.date_key(when), "time_key": F.hour(when).cast("smallint")}
 
 
-def orders_frame(orders: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Order rows with keys of date, time and status; user and location by natural id."""
+_ORDER_MEASURES = {
+    "item_count": "int",
+    "gross_amount": "decimal(14,2)",
+    "discount_amount": "decimal(14,2)",
+    "net_amount": "decimal(14,2)",
+    "delivery_km": "double",
+}
+
+
+def _header(orders: DataFrame, status: DataFrame | None) -> DataFrame:
     status = dim_order_status(orders.sparkSession) if status is None else status
-    return (
-        orders.withColumns(_date_and_hour(orders, "created_at"))
-        .join(F.broadcast(status), "status", "left")
-        .select(
-            "order_id",
-            "date_key",
-            "time_key",
-            "user_id",
-            "location_id",
-            "status_key",
-            F.col("item_count").cast("int").alias("item_count"),
-            F.col("gross_amount").cast("decimal(14,2)").alias("gross_amount"),
-            F.col("discount_amount").cast("decimal(14,2)").alias("discount_amount"),
-            F.col("net_amount").cast("decimal(14,2)").alias("net_amount"),
-            F.col("delivery_km").cast("double").alias("delivery_km"),
-            "is_completed",
-            "is_cancelled",
-        )
+    return orders.withColumns(_date_and_hour(orders, "created_at")).join(
+        F.broadcast(status), "status", "left"
+    )
+
+
+def orders_frame(orders: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """Order rows with keys of date, time and status; user and location by natural id.
+
+    Source columns a caller left out (location, line count, distance) are left out here.
+    """
+    keys = ["order_id", "date_key", "time_key", "user_id", "location_id", "status_key"]
+    measures = [
+        F.col(c).cast(t).alias(c) for c, t in _ORDER_MEASURES.items() if c in orders.columns
+    ]
+    header = _header(orders, status)
+    return header.select(
+        *[c for c in keys if c in header.columns], *measures, "is_completed", "is_cancelled"
     )
 
 
 def order_items_frame(
     order_items: DataFrame, orders: DataFrame, status: DataFrame | None = None
 ) -> DataFrame:
-    """Lines with their order's date, time, user, location and status (inner join)."""
-    status = dim_order_status(orders.sparkSession) if status is None else status
-    header = (
-        orders.withColumns(_date_and_hour(orders, "created_at"))
-        .join(F.broadcast(status), "status", "left")
-        .select(
-            "order_id", "date_key", "time_key", "user_id", "location_id", "status_key",
-            "is_cancelled",
-        )
-    )
-    return order_items.join(header, "order_id").select(
+    """Lines with their order's date, time, user, location and status (inner join).
+
+    Two fact tables meet here, so the join is a sort-merge join by order whatever the
+    compressed file sizes suggest: it spills, AQE can split a hot order, and later
+    steps per order reuse its partitioning.
+    """
+    wanted = [
+        "order_id", "date_key", "time_key", "user_id", "location_id", "status_key", "is_cancelled",
+    ]
+    header = _header(orders, status)
+    header = header.select(*[c for c in wanted if c in header.columns])
+    joined = order_items.join(header.hint("merge"), "order_id")
+    return joined.select(
         "order_item_id",
-        "order_id",
-        "date_key",
-        "time_key",
-        "user_id",
+        *[c for c in wanted if c in header.columns],
         "product_id",
-        "location_id",
-        "status_key",
         F.col("quantity").cast("int").alias("quantity"),
         F.col("unit_price").cast("decimal(12,2)").alias("unit_price"),
         F.col("line_amount").cast("decimal(14,2)").alias("line_amount"),
-        "is_cancelled",
     )
 
 

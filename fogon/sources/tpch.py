@@ -17,6 +17,24 @@ from fogon.functions.money import integer_div
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
+# Column types of the tables read here.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
 class TpchSources:
     """The logical source tables as lazy DataFrames over one test-data directory."""
 
@@ -25,7 +43,7 @@ class TpchSources:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def read(self, logical: str) -> DataFrame:
         return getattr(self, logical)()
@@ -97,17 +115,14 @@ class TpchSources:
             )
         )
 
-    def orders(self) -> DataFrame:
+    def orders(self, customer: bool = True, line_count: bool = True) -> DataFrame:
+        """Order headers.
+
+        The header table lacks the customer's location and the number of lines. Both are
+        joins on large keys, so a caller that needs neither leaves them (and their
+        columns) out.
+        """
         key = F.col("o_orderkey")
-        lines = (
-            self.table("lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("_n"))
-        )
-        users = self.users().select(
-            "user_id",
-            "location_id",
-            F.col("latitude").alias("customer_lat"),
-            F.col("longitude").alias("customer_lng"),
-        )
         hours = F.make_dt_interval(hours=(F.pmod(key * 7, F.lit(16)) + 7).cast("int"))
         status = (
             F.when(
@@ -121,27 +136,36 @@ class TpchSources:
         gross = F.col("o_totalprice").cast("decimal(14,2)")
         tenth = F.round(gross * F.lit("0.10").cast("decimal(2,2)"), 2)
         discount = F.when(F.pmod(key, F.lit(100)) < 18, tenth).otherwise(F.lit(0))
-        return (
-            self.table("orders")
-            .join(users, F.col("o_custkey") == F.col("user_id"), "left")
-            .join(lines, F.col("l_orderkey") == key, "left")
-            .select(
-                key.alias("order_id"),
-                F.col("o_custkey").alias("user_id"),
+        headers = self.table("orders").select(
+            key.alias("order_id"),
+            F.col("o_custkey").alias("user_id"),
+            (F.col("o_orderdate") + hours).alias("created_at"),
+            status.alias("status"),
+            gross.alias("gross_amount"),
+            discount.cast("decimal(14,2)").alias("discount_amount"),
+            (gross - discount).cast("decimal(14,2)").alias("net_amount"),
+        )
+        if customer:
+            users = self.users().select(
+                "user_id",
                 "location_id",
-                (F.col("o_orderdate") + hours).alias("created_at"),
-                status.alias("status"),
-                gross.alias("gross_amount"),
-                discount.cast("decimal(14,2)").alias("discount_amount"),
-                (gross - discount).cast("decimal(14,2)").alias("net_amount"),
-                F.coalesce("_n", F.lit(0)).alias("item_count"),
-                F.round(
-                    km_from_kitchen(F.col("customer_lat"), F.col("customer_lng")), 3
-                ).alias("delivery_km"),
-                "customer_lat",
-                "customer_lng",
+                F.col("latitude").alias("customer_lat"),
+                F.col("longitude").alias("customer_lng"),
             )
-        )
+            km = km_from_kitchen(F.col("customer_lat"), F.col("customer_lng"))
+            headers = headers.join(users, "user_id", "left").withColumn(
+                "delivery_km", F.round(km, 3)
+            )
+        if line_count:
+            lines = (
+                self.table("lineitem")
+                .groupBy(F.col("l_orderkey").alias("order_id"))
+                .agg(F.count("*").cast("int").alias("item_count"))
+            )
+            headers = headers.join(lines.hint("merge"), "order_id", "left").withColumn(
+                "item_count", F.coalesce("item_count", F.lit(0))
+            )
+        return headers
 
     # Order numbers and line numbers repeat, the full row does not, so the whole
     # typed row is the line's natural id.
