@@ -11,8 +11,6 @@ then counted exactly.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +28,7 @@ def _narrow_pairs(narrow: DataFrame, fold: bool) -> DataFrame:
     With ``fold``, groups holding the same items are counted together first, which
     pays off when there are few distinct items.
     """
-    baskets = narrow.groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("items"))
+    baskets = narrow.groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("items"))
     if fold:
         baskets = baskets.groupBy("items").agg(F.count("*").alias("w"))
     else:
@@ -100,19 +98,34 @@ def _count_shared(candidates: DataFrame, wide_rows: DataFrame, support: DataFram
 
 
 def top_pairs(
-    rows: DataFrame, group: str, item: str, k: int, wide: int = 256, fold: bool = False
+    rows: DataFrame,
+    group: str,
+    item: str,
+    k: int,
+    wide: int = 256,
+    fold: bool = False,
+    domain: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``k`` item pairs (a < b) that share the most groups: columns a, b, n."""
-    members = (
-        rows.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna().distinct()
+    """The ``k`` item pairs (a < b) that share the most groups: columns a, b, n.
+
+    A group counts as wide when it has more than ``wide`` rows; one map-side combined
+    count finds out whether there is any. ``domain`` may list the possible items: when
+    there are at most ``wide`` of them no group can be wide.
+    """
+    members = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna()
+    if domain is not None and domain.distinct().limit(wide + 1).count() <= wide:
+        return _ranked(_narrow_pairs(members, fold), k)
+    wide_groups = (
+        members.groupBy("g").agg(F.count("*").alias("width")).where(F.col("width") > wide)
     )
-    widths = members.groupBy("g").agg(F.count("*").alias("width"))
-    wide_groups = widths.where(F.col("width") > wide)
     if wide_groups.isEmpty():
         return _ranked(_narrow_pairs(members, fold), k)
 
     wide_groups = stage(wide_groups, "wide-groups")
-    wide_rows = stage(members.join(wide_groups, "g"), "wide-rows")
+    wide_rows = stage(
+        members.join(wide_groups.select("g"), "g", "left_semi").distinct(), "wide-members"
+    )
+    widths = wide_rows.groupBy("g").agg(F.count("*").alias("width"))
     counts = stage(
         _narrow_pairs(members.join(wide_groups, "g", "left_anti"), fold), "narrow-pairs"
     )
@@ -125,11 +138,9 @@ def top_pairs(
     sb = support.select(F.col("i").alias("b"), F.col("s").alias("sb"))
     extra = F.least("sa", "sb")
     seen = counts.join(sa, "a").join(sb, "b").where(F.col("n") + extra >= t).select("a", "b")
-    candidates = seen.unionByName(_wide_candidates(wide_rows, support, t, k)).distinct()
+    candidates = seen.unionByName(
+        _wide_candidates(wide_rows.join(widths, "g"), support, t, k)
+    ).distinct()
     shared = _count_shared(candidates, wide_rows, support)
-    total = (
-        reduce(DataFrame.unionByName, [counts, shared])
-        .groupBy("a", "b")
-        .agg(F.sum("n").alias("n"))
-    )
+    total = counts.unionByName(shared).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return _ranked(total, k)

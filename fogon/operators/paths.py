@@ -9,25 +9,37 @@ from fogon.operators.staging import stage
 
 
 def _relax(state: DataFrame, edges: DataFrame, hops: int, keep_path: bool) -> DataFrame:
-    """One round: extend the nodes settled in the previous round by one edge."""
+    """One round: extend the nodes settled in the previous round by one edge.
+
+    A joined row stands for the node itself and for the neighbour it reaches; nodes
+    outside the frontier match no edge. Repeats of the node itself collapse in the
+    map-side part of the aggregate.
+    """
     path = F.concat("path", F.array("dst")) if keep_path else F.col("path")
-    reached = (
-        state.where(F.col("hops") == hops - 1)
-        .withColumnRenamed("cost", "so_far")
-        .join(edges, F.col("node") == F.col("src"))
-        .select(
-            F.col("dst").alias("node"),
-            (F.col("so_far") + F.col("cost")).alias("cost"),
+    own = F.struct("node", F.struct("cost", "hops", "path").alias("best"))
+    reached = F.struct(
+        F.col("dst").alias("node"),
+        F.struct(
+            (F.col("cost") + F.col("edge_cost")).alias("cost"),
             F.lit(hops).alias("hops"),
             path.alias("path"),
-        )
+        ).alias("best"),
+    )
+    # The frontier flag is a second join key, so the nodes outside it stay spread out.
+    step = edges.select(
+        F.col("src").alias("node"), "dst", F.col("cost").alias("edge_cost"),
+        F.lit(True).alias("live"),
     )
-    best = (
-        state.unionByName(reached)
+    return (
+        state.withColumn("live", F.col("hops") == hops - 1)
+        .join(step, ["node", "live"], "left")
+        .select(F.explode(F.array(own, reached)).alias("m"))
+        .select("m.*")
+        .where(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.min(F.struct("cost", "hops", "path")).alias("best"))
+        .agg(F.min("best").alias("best"))
+        .select("node", "best.*")
     )
-    return best.select("node", "best.*")
 
 
 def cheapest_paths(

@@ -15,44 +15,36 @@ from pyspark.sql import functions as F
 from fogon.operators.staging import stage
 
 
-# A written table cuts the lineage and tells whether any chain is left; a round that
-# finds none only adds empty inputs, so a few rounds share one write.
-ROUNDS_PER_WRITE = 3
-
-
 def _double(state: DataFrame) -> DataFrame:
     """One doubling round over (v, anc, size).
 
-    Only nodes that still have an ancestor take part in the join, so the many roots
-    (NULL ancestor) never meet in one task; one aggregate by node then merges own
-    size, sizes pushed up and the new ancestor.
+    A root looks itself up, so the many rows without an ancestor keep distinct join
+    keys instead of meeting in one task. Each row then hands on its own size with the
+    new ancestor and, to its current ancestor, its size; one aggregate merges them.
     """
-    none = F.lit(None).cast(state.schema["anc"].dataType).alias("anc")
-    zero = F.lit(0).cast("bigint").alias("size")
-    active = state.where(F.col("anc").isNotNull())
-    jump = state.where(F.col("anc").isNotNull()).select(
-        F.col("v").alias("anc"), F.col("anc").alias("next_anc")
-    )
+    jump = state.select(F.col("v").alias("key"), F.col("anc").alias("next_anc"))
+    none = F.lit(None).cast(state.schema["anc"].dataType)
+    own = F.struct("v", F.col("next_anc").alias("anc"), "size")
+    pushed = F.struct(F.col("anc").alias("v"), none.alias("anc"), "size")
     return (
-        state.select("v", none, "size")
-        .unionByName(active.select(F.col("anc").alias("v"), none, "size"))
-        .unionByName(
-            active.select("v", "anc")
-            .join(jump, "anc")
-            .select("v", F.col("next_anc").alias("anc"), zero)
-        )
+        state.withColumn("key", F.coalesce("anc", "v"))
+        .join(jump, "key")
+        .select(F.explode(F.array(own, pushed)).alias("m"))
+        .select("m.*")
+        .where(F.col("v").isNotNull())
         .groupBy("v")
         .agg(F.max("anc").alias("anc"), F.sum("size").alias("size"))
     )
 
 
 def _forest_sizes(nodes: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
-    """(v, anc, size) after doubling; True when some chain never ended (a cycle)."""
+    """(v, anc, size) after doubling; True when some chain never ended (a cycle).
+
+    Every round is written: it is read twice by the next one.
+    """
     state = nodes.withColumn("size", F.lit(1).cast("bigint"))
-    for done in range(0, max_rounds, ROUNDS_PER_WRITE):
-        for _ in range(min(ROUNDS_PER_WRITE, max_rounds - done)):
-            state = _double(state)
-        state = stage(state, "reach")
+    for _ in range(max_rounds):
+        state = stage(_double(state), "reach")
         if state.where(F.col("anc").isNotNull()).isEmpty():
             return state, False
     return state, True

@@ -226,7 +226,8 @@ def also_bought(
 def category_affinity(order_items: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
     """Category pairs by the number of baskets that contain both."""
     rows = order_items.join(products.select("product_id", "category"), "product_id")
-    return top_pairs(rows, "order_id", "category", k, fold=True).select(
+    categories = products.select("category")
+    return top_pairs(rows, "order_id", "category", k, fold=True, domain=categories).select(
         F.col("a").alias("cat_a"), F.col("b").alias("cat_b"), F.col("n").alias("baskets")
     )
 
