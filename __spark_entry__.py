@@ -238,19 +238,25 @@ def _routing_assign(src: TpchSources) -> DataFrame:
     )
 
 
-def _routing_sequence(src: TpchSources) -> DataFrame:
+def _routing_stops(src: TpchSources) -> DataFrame:
     return routing.plan_deliveries(src.orders(line_count=False), src.locations())
 
 
+def _routing_sequence(src: TpchSources) -> DataFrame:
+    return _routing_stops(src).withColumns(
+        {"lat": F.round("lat", 6), "lng": F.round("lng", 6)}
+    )
+
+
 def _routing_report(src: TpchSources) -> DataFrame:
-    report = routing.route_report(_routing_sequence(src), ["day"])
+    report = routing.route_report(_routing_stops(src), ["day"])
     return report.withColumns(
         {"zones": F.array_join("zones", ","), "sequence": F.array_join("sequence", ",")}
     )
 
 
 def _routing_retimed(src: TpchSources) -> DataFrame:
-    return routing.retime(_routing_sequence(src), ["day"], src.orders(line_count=False), _mesh(src))
+    return routing.retime(_routing_stops(src), ["day"], src.orders(line_count=False), _mesh(src))
 
 
 # Parameters of the look-up queries.
