@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogon.operators.staging import stage
+from fogon.operators.staging import drop_staged, stage
 
 
 def _step(ranks: DataFrame, links: DataFrame, base: float, damping: float) -> DataFrame:
@@ -37,16 +37,17 @@ def pagerank(
     outdegree = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = stage(edges.join(outdegree, "src"), "links")
     ranks = links.select(F.col("dst").alias("id")).distinct().withColumn("rank", F.lit(base))
-    before = ranks
+    before = None
     for done in range(0, iterations, rounds_per_write):
         for _ in range(min(rounds_per_write, iterations - done)):
             ranks = _step(ranks, links, base, damping)
         ranks = stage(ranks, "rank")
-        change = F.abs(F.col("rank") - F.col("was"))
-        moved = (
-            ranks.join(before.withColumnRenamed("rank", "was"), "id").agg(F.max(change)).first()[0]
-        )
-        if moved is None or moved < tolerance:
-            break
+        if before is not None:
+            was = before.withColumnRenamed("rank", "was")
+            change = F.max(F.abs(F.col("rank") - F.col("was")))
+            moved = ranks.join(was, "id").agg(change).first()[0]
+            drop_staged(before)
+            if moved is None or moved < tolerance:
+                break
         before = ranks
     return ranks

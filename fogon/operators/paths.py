@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogon.operators.staging import stage
+from fogon.operators.staging import drop_staged, stage
 
 
 def _relax(state: DataFrame, edges: DataFrame, hops: int, keep_path: bool) -> DataFrame:
@@ -67,13 +67,16 @@ def cheapest_paths(
         F.lit(0).alias("hops"),
         F.array(F.lit(source).cast(node_type)).alias("path"),
     )
-    hops = 0
+    hops, written = 0, None
     while max_hops is None or hops < max_hops:
         last = hops + rounds_per_write if max_hops is None else min(hops + rounds_per_write, max_hops)
         while hops < last:
             hops += 1
             state = _relax(state, edges, hops, keep_path)
-        state = stage(state, "paths")
+        previous, state = written, stage(state, "paths")
+        if previous is not None:
+            drop_staged(previous)
+        written = state
         if state.where(F.col("hops") == hops).isEmpty():
             break
     return state

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogon.operators.staging import stage
+from fogon.operators.staging import drop_staged, stage
 
 
 def _double(state: DataFrame) -> DataFrame:
@@ -42,9 +42,10 @@ def _forest_sizes(nodes: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
 
     Every round is written: it is read twice by the next one.
     """
-    state = nodes.withColumn("size", F.lit(1).cast("bigint"))
+    state = stage(nodes.withColumn("size", F.lit(1).cast("bigint")), "reach")
     for _ in range(max_rounds):
-        state = stage(_double(state), "reach")
+        previous, state = state, stage(_double(state), "reach")
+        drop_staged(previous)
         if state.where(F.col("anc").isNotNull()).isEmpty():
             return state, False
     return state, True
@@ -57,12 +58,11 @@ def _cycle_members(cycle: DataFrame, rounds: int) -> DataFrame:
         ahead = state.select(
             F.col("v").alias("anc"), F.col("anc").alias("anc2"), F.col("label").alias("l2")
         )
-        state = stage(
-            state.join(ahead, "anc").select(
-                "v", F.col("anc2").alias("anc"), F.least("label", "l2").alias("label")
-            ),
-            "cycle",
+        step = state.join(ahead, "anc").select(
+            "v", F.col("anc2").alias("anc"), F.least("label", "l2").alias("label")
         )
+        previous, state = state, stage(step, "cycle")
+        drop_staged(previous)
     return state.select("v", "label")
 
 

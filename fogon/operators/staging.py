@@ -41,3 +41,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete a staged table that no later step reads (the previous round of a loop)."""
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rsplit("/", 1)[0]
+    if "/fogon-" not in folder:
+        raise ValueError(f"not a staged table: {folder}")
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path.getFileSystem(conf).delete(path, True)
