@@ -39,7 +39,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _orders_base(src: TpchSources) -> DataFrame:
-    return cubes.orders_base(facts.orders_frame(src.orders()), src.locations())
+    return cubes.orders_base(facts.orders_frame(src.orders()), src.locations(seen=False))
 
 
 def _bare(src: TpchSources) -> DataFrame:
@@ -225,21 +225,21 @@ def _fact_reservations(src: TpchSources) -> DataFrame:
 
 
 def _routing_deliverable(src: TpchSources) -> DataFrame:
-    return routing.deliverable(src.orders(line_count=False), src.locations()).withColumns(
+    return routing.deliverable(src.orders(line_count=False), src.locations(seen=False)).withColumns(
         {"lat": F.round("lat", 6), "lng": F.round("lng", 6)}
     )
 
 
 def _routing_assign(src: TpchSources) -> DataFrame:
     return assign_couriers(
-        routing.deliverable(src.orders(line_count=False), src.locations()).select("order_id", "day", "zone"),
+        routing.deliverable(src.orders(line_count=False), src.locations(seen=False)).select("order_id", "day", "zone"),
         ["day"],
         grow_fleet=True,
     )
 
 
 def _routing_stops(src: TpchSources) -> DataFrame:
-    return routing.plan_deliveries(src.orders(line_count=False), src.locations())
+    return routing.plan_deliveries(src.orders(line_count=False), src.locations(seen=False))
 
 
 def _routing_sequence(src: TpchSources) -> DataFrame:

@@ -61,12 +61,23 @@ class TpchSources:
     def _longitude(location_id):
         return F.lit(-84.40) + F.pmod(location_id * 53, F.lit(125)) / F.lit(250.0)
 
-    def locations(self) -> DataFrame:
-        """Every (nation, segment) that has a customer; at most 25 x 5 rows."""
-        seen = self.table("customer").select("c_nationkey", "c_mktsegment").distinct()
+    def locations(self, seen: bool = True) -> DataFrame:
+        """The (nation, segment) places: those that have a customer, or all of them.
+
+        All of them are 5 per nation row, so their size follows from the small nation
+        table and Spark broadcasts them by its own size check: the form for look-ups
+        from large facts, where a place without customers never matches.
+        """
+        if seen:
+            places = self.table("customer").select("c_nationkey", "c_mktsegment").distinct()
+        else:
+            segment = F.explode(F.array(*[F.lit(s) for s in SEGMENTS]))
+            places = self.table("nation").select(
+                F.col("n_nationkey").alias("c_nationkey"), segment.alias("c_mktsegment")
+            )
         loc = F.col("location_id")
         return (
-            seen.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            places.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 self._location_id().alias("location_id"),
