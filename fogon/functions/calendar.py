@@ -56,7 +56,8 @@ def quarter_label(month: Column) -> Column:
 
 
 def month_label(year: Column, month: Column) -> Column:
-    return F.format_string("%04d-%02d", year, month)
+    # format_string prints NULL arguments, so they are kept out of it
+    return F.when(month.isNotNull(), F.format_string("%04d-%02d", year, month))
 
 
 def month_name(month: Column) -> Column:

@@ -102,7 +102,7 @@ def top_pairs(
     group: str,
     item: str,
     k: int,
-    wide: int = 256,
+    wide: int = 64,
     fold: bool = False,
     domain: DataFrame | None = None,
 ) -> DataFrame:

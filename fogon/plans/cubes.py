@@ -165,14 +165,48 @@ def cube_sales_by_location(orders: DataFrame) -> DataFrame:
     )
 
 
+def _buyers_by_level(items: DataFrame, user: str) -> DataFrame:
+    """Distinct buyers at each level, every level deduplicated from a finer one.
+
+    Columns month_key, category, product_name, grp_flag, distinct_buyers. Rows shrink
+    from level to level and are combined map-side, instead of expanding the finest
+    rows once per level.
+    """
+    full = ["category", "product_name", "month_key"]
+    leaf = items.select(F.col(user).alias("buyer"), month_key(), *full[:2]).distinct()
+    by_product = leaf.select("buyer", "category", "product_name").distinct()
+    by_month = leaf.select("buyer", "category", "month_key").distinct()
+    by_category = by_product.select("buyer", "category").distinct()
+    anyone = by_category.select("buyer").distinct()
+    levels = (
+        (leaf, full, 0),
+        (by_product, full[:2], 1),
+        (by_month, ["category", "month_key"], 2),
+        (by_category, ["category"], 3),
+        (anyone, [], 7),
+    )
+    types = {"category": "string", "product_name": "string", "month_key": "int"}
+    out = None
+    for rows, keys, flag in levels:
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("distinct_buyers"))
+        level = counted.select(
+            *[
+                F.col(c) if c in keys else F.lit(None).cast(t).alias(c)
+                for c, t in types.items()
+            ],
+            F.lit(flag).alias("grp_flag"),
+            "distinct_buyers",
+        )
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
 def cube_product_frequency(items: DataFrame) -> DataFrame:
     """Units, distinct orders, distinct buyers and revenue by category/product/month.
 
     Orders are counted by flags as in the revenue cube (an order has at most one row
     per product name). Buyers do recur over months and products, so they are counted
-    distinctly, in a pass of their own over distinct (level, buyer) rows: one aggregate
-    holding both would expand every row once more. The two result-sized tables are then
-    added up.
+    distinctly, in a pass of their own. The two result-sized tables are then added up.
     """
     user = _user_column(items)
     dims = ["category", "product_name", "month_label"]
@@ -211,14 +245,12 @@ def cube_product_frequency(items: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("distinct_buyers"),
         F.sum("revenue_c").alias("revenue_c"),
     )
-    by_buyer = _month_columns(
-        items.select(F.col(user).alias("buyer"), month_key(), *by_name).distinct()
-    )
-    buyers = by_buyer.groupingSets(sets, c, p, m).agg(
-        flag,
+    buyers = _month_columns(_buyers_by_level(items, user)).select(
+        *dims,
+        "grp_flag",
         F.lit(None).cast("bigint").alias("units_sold"),
         F.lit(0).cast("bigint").alias("times_ordered"),
-        F.count_distinct("buyer").alias("distinct_buyers"),
+        "distinct_buyers",
         F.lit(None).cast("bigint").alias("revenue_c"),
     )
     measures = ["units_sold", "times_ordered", "distinct_buyers", "revenue_c"]
