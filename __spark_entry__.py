@@ -6,6 +6,7 @@ Only wiring; the work is in ``fogon`` and the DuckDB statements are in ``oracle`
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,7 +158,16 @@ def _star(src: TpchSources) -> dict[str, DataFrame]:
 
 
 def _refresh_cubes(src: TpchSources) -> DataFrame:
-    return pipeline.counts(pipeline.refresh_cubes(_loaded(src)))
+    """Rows and revenue per cube and level, from cubes rebuilt on the keyed gold facts."""
+    levels = []
+    for name, cube in pipeline.refresh_cubes(_loaded(src)).items():
+        revenue = "realised_revenue" if name == "cube_orders_status" else "revenue"
+        levels.append(
+            cube.groupBy("grp_flag")
+            .agg(F.count("*").alias("n_rows"), F.sum(revenue).alias("revenue"))
+            .select(F.lit(name).alias("cube"), "grp_flag", "n_rows", "revenue")
+        )
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _load_serving(src: TpchSources) -> DataFrame:

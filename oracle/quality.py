@@ -80,6 +80,14 @@ def _counts(tables) -> str:
     return _union([f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in tables])
 
 
+def _levels(cube: str) -> str:
+    revenue = "realised_revenue" if cube == "cube_orders_status" else "revenue"
+    return (
+        f"SELECT '{cube}' AS cube, grp_flag, count(*) AS n_rows, "
+        f"CAST(sum(CAST({revenue} AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM {cube} GROUP BY grp_flag"
+    )
+
+
 SQL = {
     "dq_row_counts": over_star(_counts(FACTS)),
     "dq_not_empty": over_star(_union(NOT_EMPTY)),
@@ -92,7 +100,7 @@ SQL = {
         _union([_duplicates(t, CUBE_KEYS[t], f"unique rows {t}") for t in CUBES]), CUBES
     ),
     "dq_report": over_star(_union([*NOT_EMPTY, ORPHANS, GRAND, NEGATIVE, RATE]), CUBE_CTES),
-    "refresh_cubes": over_star(_counts(CUBES), CUBES),
+    "refresh_cubes": over_star(_union([_levels(t) for t in CUBES]), CUBES),
     "load_serving": over_star(_counts((*DIMENSIONS, *FACTS, *ANALYSES)), ANALYSIS_SQL),
     "catalog_register": over_star(_counts((*DIMENSIONS, *FACTS, *ANALYSES)), ANALYSIS_SQL),
 }
