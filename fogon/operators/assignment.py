@@ -10,17 +10,24 @@ out; every order then finds its courier from its position within its zone.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogon.operators.dense_key import dense_key
 
 
+# The helpers travel to the Python workers with the task, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def zone_segments(
     counts: list[int], n_couriers: int, capacity: int
 ) -> Iterator[tuple[int, int, int, int, bool]]:

@@ -7,13 +7,20 @@ bounds.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fogon.functions.geo import EARTH_RADIUS_KM, KITCHEN_LAT, KITCHEN_LNG
 
+# The helpers travel to the Python workers with the task, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: a 2-opt move must gain more than this many km.
 MIN_GAIN_KM = 1e-9
 

@@ -3,10 +3,6 @@ from __future__ import annotations
 from oracle.base import haversine, with_ctes
 
 MEMBERS = "SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem"
-LINE_ORDER = (
-    "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, "
-    "l_tax, l_returnflag, l_linestatus, l_shipdate"
-)
 REC = """
 SELECT DISTINCT u.referred_by AS src, u.user_id AS dst FROM users u JOIN users r ON r.user_id = u.referred_by"""
 
