@@ -385,8 +385,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["cube_revenue_time_category"](spark, "/root/testdata/sf0.001")
 
 
+def _llm():
+    """The training-data queries, if their subpackage is part of this installation."""
+    try:
+        from fogon.llm import queries as llm
+    except ImportError as missing:
+        if not (missing.name or "").startswith(("fogon.llm", "corpus_pipeline")):
+            raise
+        return None
+    return llm
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(plan) for name, plan in PLANS.items()}
+    llm = _llm()
+    return {name: _runner(plan) for name, plan in PLANS.items()} | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
@@ -398,4 +410,5 @@ def oracle_sql() -> dict[str, str]:
     from oracle import star as star_sql
 
     parts = (cube_sql, serving_sql, graph_sql, star_sql, quality_sql, routing_sql)
-    return {name: sql for part in parts for name, sql in part.SQL.items()}
+    llm = _llm()
+    return {name: sql for part in parts for name, sql in part.SQL.items()} | (llm.SQL if llm else {})
