@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fogon.llm import fingerprints, packing, preferences, token_files, warc
+from fogon.llm import decontamination, fingerprints, packing, preferences, token_files, warc
 from fogon.operators.staging import fresh_dir
 
 
@@ -38,6 +38,12 @@ def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_preferences(pairs)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.Decontaminator(docs, _table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", found.hits(docs["text"]).alias("hits")).select("doc_id", "hits.*")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = fresh_dir(spark, "warc")
@@ -65,7 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_preferences": op6_preferences,
+    "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
 }
 
-SQL: dict[str, str] = {"op6_preferences": preferences.SQL, "op8_warc": OP8_SQL}
+SQL: dict[str, str] = {
+    "op6_preferences": preferences.SQL,
+    "op7_decontamination": decontamination.SQL,
+    "op8_warc": OP8_SQL,
+}
