@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fogon.llm import decontamination, fingerprints, packing, preferences, token_files, warc
+from fogon.llm import decontamination, fingerprints, langid, packing, preferences, token_files, toxicity, warc
+from fogon.llm.common import fold
 from fogon.operators.staging import fresh_dir
 
 
@@ -55,6 +57,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold() != 2).select("doc_id", "lang", "text"))
+    found = docs.select("doc_id", (fold() == 2).alias("held_out"), langid.identify(model, F.col("text")).alias("r"))
+    return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.entropy", "r.rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels"), fold()))
+    found = docs.select("doc_id", (fold() == 2).alias("held_out"), toxicity.detect(model, F.col("text")).alias("r"))
+    return found.select(
+        "doc_id", "held_out", "r.score", (F.col("r.score") >= 0.3).cast("int").alias("predicted"),
+        "r.evidence", F.size("r.passages").alias("n_passages"),
+    )
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest,
@@ -73,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_preferences": op6_preferences,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_langid": op9_langid,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
