@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogon.llm import decontamination, fingerprints, langid, packing, preferences, token_files, toxicity, warc
+from fogon.llm import decontamination, fingerprints, langid, near_duplicates, packing, preferences, token_files, toxicity, warc
 from fogon.llm.common import fold
 from fogon.operators.staging import fresh_dir
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_join(_table(spark, sf_dir, "documents"))[0]
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(
         _table(spark, sf_dir, "documents"), fresh_dir(spark, "tokens"),
@@ -87,6 +91,7 @@ FROM q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_preferences": op6_preferences,
