@@ -288,12 +288,22 @@ def _in_block_pairs(df: DataFrame, blocks: str, by: list[str], rest: list[str])
     return spread.select(*by, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *rest)
 
 
+def text_key(text: str | None, k: int = 5) -> bytes | None:
+    """Equal for texts of equal shingle sets; texts without words by the text, null for null."""
+    own = shingles(text, k)
+    if len(own):
+        return xxhash.xxh3_128_digest(own.tobytes())
+    return None if text is None else b"=" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def jaccard_join(
     docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999
 ) -> tuple[DataFrame, list[str]]:
-    """(doc_id, class_id, n_links) per row of (doc_id, text); also the staged folders it reads.
+    """(doc_id, class_id, n_links, key, group) per row of (doc_id, text); also the staged
+    folders it reads.
 
     ``n_links`` counts the other documents at or above the threshold, copies included.
+    ``key`` is the text's :func:`text_key`, ``group`` the same for all texts of a class.
     """
     spark = docs.sparkSession
     d = prefix_length(threshold, TREES, DEPTH, recall)
@@ -363,20 +373,44 @@ def jaccard_join(
         .join(verified.groupBy("key").agg(F.sum("links").alias("links")), "key")
     )
     least_id = found.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = found.join(least_id, "root").select("key", "class_id", "links")
+    linked = found.join(least_id, "root").select("key", "class_id", "links", F.col("root").alias("group"))
     copies = signed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     per_key = copies.join(linked, "key", "left").select(
         "key", F.coalesce("class_id", "first").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("group", "key").alias("group"),
     )
     result = signed.select("doc_id", "key").join(per_key, "key", "left").select(
         "doc_id",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "key", "group",
     )
     return result, [signed_path, class_path, verified_path, exact_path]
 
 
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> tuple[DataFrame, list[str]]:
+    """The rows of ``docs``, all columns, that stay: one per class, of the smallest id.
+
+    Null ids come last, further ties are broken by the text's key; of rows equal in both one
+    stays. Rows with a null text are in no class and stay.
+    """
+    joined, paths = jaccard_join(docs, threshold, k)
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = joined.where("group IS NOT NULL").groupBy("group").agg(F.min(last).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
+    name = "key"
+    while name in docs.columns:
+        name = f"_{name}"
+    key_of = F.pandas_udf(lambda s: s.map(lambda t: text_key(t, k), na_action=None), "binary")
+    some = docs.where(F.col("text").isNotNull()).withColumn(name, key_of("text"))
+    # Both columns are keys of the join, so a group of copies spreads over its ids.
+    one = some.join(
+        kept, (F.col(name) == F.col("kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi"
+    ).dropDuplicates([name, "doc_id"])
+    return docs.where(F.col("text").isNull()).unionByName(one.drop(name)), paths
+
+
 def _sets(docs: DataFrame, work: DataFrame, k: int) -> DataFrame:
     """Shingle sets of the classes in ``work``, from the text of one document of each."""
     schema = pa.schema(

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogon.llm import decontamination, fingerprints, langid, near_duplicates, packing, preferences, token_files, toxicity, warc
+import corpus_pipeline
+from fogon.llm import decontamination, fingerprints, html_text, langid, near_duplicates, packing, preferences, token_files, toxicity, warc
 from fogon.llm.common import fold
 from fogon.operators.staging import fresh_dir
 
@@ -22,7 +23,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.jaccard_join(_table(spark, sf_dir, "documents"))[0]
+    return near_duplicates.jaccard_join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id", "n_links")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files, digest=True)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048
@@ -93,12 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_files": op3_token_files,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_preferences": op6_preferences,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

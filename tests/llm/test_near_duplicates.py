@@ -40,9 +40,9 @@ def brute(rows, threshold=0.8):
     return sorted(((rows[i][0], ids[root(i)], links[i]) for i in range(n)), key=str)
 
 
-def joined(spark, rows, extra=""):
+def joined(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((tuple(r) for r in nd.jaccard_join(frame)[0].collect()), key=str)
+    return sorted((tuple(r)[:3] for r in nd.jaccard_join(frame)[0].collect()), key=str)
 
 
 def test_whole_table(spark):
@@ -72,6 +72,18 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     test_hard_cases(spark)
 
 
+def test_one_document_of_each_class_stays(spark):
+    text = "a b c d e f g h"
+    rows = [(3, text, "x"), (2, text, "y"), (2, text, "y"), (None, text, "z"), (None, "p q", "u"), (None, "p q", "u"),
+            (None, None, "v"), (None, None, "v"), (9, "!!", "w"), (8, "!!", "w"), (2, "other words", "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = nd.keep_one(frame)[0]
+    assert kept.columns == frame.columns
+    want = [(2, text, "y"), (None, "p q", "u"), (None, None, "v"), (None, None, "v"), (8, "!!", "w"), (2, "other words", "t")]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert nd.keep_one(frame.limit(0))[0].collect() == []
+
+
 def test_empty_table(spark):
     assert joined(spark, []) == []
 
