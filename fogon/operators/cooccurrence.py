@@ -1,21 +1,32 @@
 """Most frequent item pairs over groups (baskets), exact and safe for huge groups.
 
 A group with w items holds w*(w-1)/2 pairs, so one basket with a large share of the
-rows would swamp the job. Pairs are written out only for groups of at most ``wide``
-items (at most wide/2 pairs per row). Pairs inside wider groups are found by the
-prefix principle of set-similarity joins: a pair that shares at least t wide groups
-must meet in the first (support - t + 1) groups of each item when every item lists
-its groups from narrow to wide, so the widest groups generate nothing. Candidates are
-then counted exactly.
+rows would swamp the job if its pairs were written. Pairs are written only for groups of
+at most ``wide`` items, which makes at most wide/2 pairs a row. All wider groups are
+counted as an items x groups incidence: their items are dealt into blocks, a task streams
+the rows of two blocks group by group, adds up the products of the incidences, adds what
+the narrow groups contributed to the same pairs, and returns the ``k`` best pairs of its
+two blocks. So a wide group writes no pair at all, a hot item is one row of a block and a
+hot group is spread over all block pairs; no pair is left out. Every input takes both
+ways, and ``wide`` only says which groups go which.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogon.operators.staging import stage
 
+#: Items of a block; a task holds the counts of BLOCK x BLOCK pairs.
+BLOCK = 1024
+#: Groups whose incidence a task holds at a time.
+GROUPS_AT_ONCE = 2048
+
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     """Top k with a total order: count, then the two item ids."""
@@ -44,57 +55,132 @@ def _narrow_pairs(narrow: DataFrame, fold: bool) -> DataFrame:
     )
 
 
-def _pairs_within(members: DataFrame) -> DataFrame:
-    left = members.select("g", F.col("i").alias("a"))
-    right = members.select("g", F.col("i").alias("b"))
-    return left.join(right, "g").where("a < b").select("a", "b").distinct()
-
-
-def _wide_candidates(wide_rows: DataFrame, support: DataFrame, t: int, k: int) -> DataFrame:
-    """Pairs that may reach the top k and share at least one wide group."""
-    needed = max(t, 2)
-    # Rows of one item are at most one per wide group, a small share of the input.
-    per_item = Window.partitionBy("i").orderBy("width", "g")
-    prefix = (
-        wide_rows.join(support, "i")
-        .where(F.col("s") >= needed)
-        .withColumn("pos", F.row_number().over(per_item))
-        .where(F.col("pos") <= F.col("s") - needed + 1)
-    )
-    candidates = _pairs_within(prefix)
-    if t < 2:
-        # Pairs met once: only the first k pairs of each group, which lie among its
-        # first k+1 items, can rank. Spark cuts to k+1 rows before the shuffle.
-        per_group = Window.partitionBy("g").orderBy("i")
-        head = wide_rows.withColumn("r", F.row_number().over(per_group)).where(
-            F.col("r") <= k + 1
-        )
-        candidates = candidates.unionByName(_pairs_within(head))
-    return candidates
-
-
-def _count_shared(candidates: DataFrame, wide_rows: DataFrame, support: DataFrame) -> DataFrame:
-    """Exact number of wide groups holding both items, probing from the rarer one."""
-    sa = support.select(F.col("i").alias("a"), F.col("s").alias("sa"))
-    sb = support.select(F.col("i").alias("b"), F.col("s").alias("sb"))
-    a_rarer = F.col("sa") <= F.col("sb")
-    oriented = (
-        candidates.join(sa, "a")
-        .join(sb, "b")
+class _BlockPair:
+    """Counts of the pairs between two blocks of items, fed group by group."""
+
+    def __init__(self):
+        self.rows: dict = {}
+        self.counts = np.zeros((0, 0))
+        self.groups: list[list[int]] = []
+        self.extra: dict[tuple[int, int], int] = {}
+
+    def _row(self, item) -> int:
+        return self.rows.setdefault(item, len(self.rows))
+
+    def add_group(self, items: list) -> None:
+        self.groups.append([self._row(i) for i in items])
+        if len(self.groups) == GROUPS_AT_ONCE:
+            self._count()
+
+    def add_pair(self, a, b, n: int) -> None:
+        self.extra[self._row(a), self._row(b)] = n
+
+    def _count(self) -> None:
+        size = len(self.rows)
+        incidence = np.zeros((size, max(1, len(self.groups))), dtype="float32")
+        for column, items in enumerate(self.groups):
+            incidence[items, column] = 1
+        grown = np.zeros((size, size))
+        old = self.counts.shape[0]
+        grown[:old, :old] = self.counts
+        self.counts = grown + incidence @ incidence.T
+        self.groups = []
+
+    def best(self, k: int, block: dict, i: int, j: int) -> list[tuple]:
+        """(a, b, n) of the k best pairs with one item in block i and one in block j."""
+        self._count()
+        for (a, b), n in self.extra.items():
+            self.counts[a, b] += n
+            self.counts[b, a] += n
+        items = list(self.rows)
+        order = sorted(range(len(items)), key=items.__getitem__)
+        where = np.array([block[items[p]] for p in order])
+        counts = self.counts[np.ix_(order, order)]
+        wanted = np.triu(counts, 1) > 0
+        wanted &= (where[:, None] == i) & (where[None, :] == j) | (where[:, None] == j) & (where[None, :] == i)
+        left, right = np.nonzero(wanted)
+        n = counts[left, right].astype("int64")
+        top = np.lexsort((right, left, -n))[:k]
+        return [(items[order[left[t]]], items[order[right[t]]], int(n[t])) for t in top]
+
+
+def _best_of_blocks(k: int, out: pa.Schema):
+    """Task: rows (i, j, g, kind, a, block_a, b, block_b, n) sorted by (i, j, g) -> best pairs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        pair, counts, block, group, items = None, None, {}, None, []
+
+        def close() -> None:
+            if counts is not None:
+                if items:
+                    counts.add_group(items)
+                found.extend(counts.best(k, block, *pair))
+
+        for batch in batches:
+            for i, j, g, is_pair, a, block_a, b, block_b, n in zip(
+                *(c.to_pylist() for c in batch.columns), strict=True
+            ):
+                if (i, j) != pair:
+                    close()
+                    pair, counts, block, group, items = (i, j), _BlockPair(), {}, None, []
+                if is_pair:
+                    block[a], block[b] = block_a, block_b
+                    counts.add_pair(a, b, n)
+                    continue
+                if g != group:
+                    if items:
+                        counts.add_group(items)
+                    group, items = g, []
+                block[a] = block_a
+                items.append(a)
+        close()
+        if found:
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(zip(*found, strict=True), out.types, strict=True)], schema=out
+            )
+
+    return work
+
+
+def _wide_pairs(wide_rows: DataFrame, narrow_pairs: DataFrame, k: int) -> DataFrame:
+    """The k best pairs of every block pair of the items of ``wide_rows`` (g, i), counted
+    over wide and narrow groups."""
+    items = wide_rows.select("i").distinct()
+    # One number: how many blocks the items make.
+    blocks = max(1, -(-items.count() // BLOCK))
+    in_block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
+    number = items.select("i", in_block.alias("block"))
+    item_type = wide_rows.schema["i"].dataType
+    copies = (
+        wide_rows.select("g", "i", in_block.alias("block"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .select(
-            "a",
-            "b",
-            F.when(a_rarer, F.col("a")).otherwise(F.col("b")).alias("i"),
-            F.when(a_rarer, F.col("b")).otherwise(F.col("a")).alias("other"),
+            F.least("block", "other").alias("i_"), F.greatest("block", "other").alias("j_"), "g",
+            F.lit(False).alias("is_pair"), F.col("i").alias("a"), F.col("block").alias("block_a"),
+            F.lit(None).cast(item_type).alias("b"), F.lit(None).cast("int").alias("block_b"),
+            F.lit(None).cast("bigint").alias("n"),
         )
     )
-    rows = wide_rows.select("g", "i")
-    return (
-        oriented.join(rows, "i")
-        .join(rows.withColumnRenamed("i", "other"), ["g", "other"], "left_semi")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
+    pairs = (
+        narrow_pairs.join(number.select(F.col("i").alias("a"), F.col("block").alias("block_a")), "a")
+        .join(number.select(F.col("i").alias("b"), F.col("block").alias("block_b")), "b")
+        .select(
+            F.least("block_a", "block_b").alias("i_"), F.greatest("block_a", "block_b").alias("j_"),
+            F.lit(None).cast(wide_rows.schema["g"].dataType).alias("g"), F.lit(True).alias("is_pair"),
+            "a", "block_a", "b", "block_b", "n",
+        )
     )
+    dealt = copies.unionByName(pairs).repartition("i_", "j_").sortWithinPartitions("i_", "j_", "g")
+    out = narrow_pairs.select("a", "b", "n")
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in out.schema.fields])
+    return dealt.mapInArrow(_best_of_blocks(k, arrow), out.schema)
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 def top_pairs(
@@ -104,43 +190,19 @@ def top_pairs(
     k: int,
     wide: int = 64,
     fold: bool = False,
-    domain: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` item pairs (a < b) that share the most groups: columns a, b, n.
 
-    A group counts as wide when it has more than ``wide`` rows; one map-side combined
-    count finds out whether there is any. ``domain`` may list the possible items: when
-    there are at most ``wide`` of them no group can be wide.
+    A group counts as wide when it has more than ``wide`` distinct items.
     """
-    members = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna()
-    if domain is not None and domain.distinct().limit(wide + 1).count() <= wide:
-        return _ranked(_narrow_pairs(members, fold), k)
+    members = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).dropna().distinct()
     wide_groups = (
-        members.groupBy("g").agg(F.count("*").alias("width")).where(F.col("width") > wide)
-    )
-    if wide_groups.isEmpty():
-        return _ranked(_narrow_pairs(members, fold), k)
-
-    wide_groups = stage(wide_groups, "wide-groups")
-    wide_rows = stage(
-        members.join(wide_groups.select("g"), "g", "left_semi").distinct(), "wide-members"
-    )
-    widths = wide_rows.groupBy("g").agg(F.count("*").alias("width"))
-    counts = stage(
-        _narrow_pairs(members.join(wide_groups, "g", "left_anti"), fold), "narrow-pairs"
+        members.groupBy("g").agg(F.count("*").alias("width")).where(F.col("width") > wide).select("g")
     )
-    support = wide_rows.groupBy("i").agg(F.count("*").alias("s"))
-    best = _ranked(counts, k).collect()  # k rows
-    t = int(best[-1]["n"]) if len(best) == k else 1
-
-    # Narrow pairs whose count could still reach the k-th best with wide groups added.
-    sa = support.select(F.col("i").alias("a"), F.col("s").alias("sa"))
-    sb = support.select(F.col("i").alias("b"), F.col("s").alias("sb"))
-    extra = F.least("sa", "sb")
-    seen = counts.join(sa, "a").join(sb, "b").where(F.col("n") + extra >= t).select("a", "b")
-    candidates = seen.unionByName(
-        _wide_candidates(wide_rows.join(widths, "g"), support, t, k)
-    ).distinct()
-    shared = _count_shared(candidates, wide_rows, support)
-    total = counts.unionByName(shared).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return _ranked(total, k)
+    narrow = stage(_narrow_pairs(members.join(wide_groups, "g", "left_anti"), fold), "narrow-pairs")
+    wide_rows = stage(members.join(wide_groups, "g", "left_semi"), "wide-members")
+    dense = _wide_pairs(wide_rows, narrow, k)
+    # A pair of two wide items comes from its block with all groups counted; its narrow
+    # share alone is never larger.
+    best = _ranked(narrow, k).unionByName(dense).groupBy("a", "b").agg(F.max("n").alias("n"))
+    return _ranked(best, k)

@@ -193,13 +193,16 @@ def also_bought(
     Several products can carry the seed name. Any other product counts an order that
     holds a seed; a seed itself counts an order that holds another seed as well.
     """
-    basket = order_items.select("order_id", "product_id").distinct()
+    lines = order_items.select("order_id", "product_id")
     seeds = products.where(F.col("name") == seed).select("product_id")
     seed_orders = (
-        basket.join(seeds, "product_id", "left_semi")
+        lines.join(seeds, "product_id", "left_semi")
+        .distinct()
         .groupBy("order_id")
         .agg(F.count("*").alias("n_seeds"))
     )
+    # Only the lines of orders with a seed are made distinct.
+    basket = lines.join(seed_orders.select("order_id"), "order_id", "left_semi").distinct()
     other = products.select(
         "product_id", F.col("name").alias("recommended"), "category",
         (F.col("name") == seed).alias("is_seed"),
@@ -226,8 +229,7 @@ def also_bought(
 def category_affinity(order_items: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
     """Category pairs by the number of baskets that contain both."""
     rows = order_items.join(products.select("product_id", "category"), "product_id")
-    categories = products.select("category")
-    return top_pairs(rows, "order_id", "category", k, fold=True, domain=categories).select(
+    return top_pairs(rows, "order_id", "category", k, fold=True).select(
         F.col("a").alias("cat_a"), F.col("b").alias("cat_b"), F.col("n").alias("baskets")
     )
 

@@ -58,3 +58,38 @@ def test_fewer_pairs_than_asked_for(spark):
     rows = [(0, 1), (0, 2), (1, 5)]
     assert run(spark, rows, 5, 100) == [(1, 2, 1)]
     assert run(spark, [(0, 1), (1, 2)], 5, 100) == []
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_many_wide_baskets_that_share_items(spark, k):
+    # Every item lies in two of twenty wide baskets, one item in all of them.
+    rng = random.Random(8)
+    rows = [(g, i) for i in range(600) for g in rng.sample(range(20), 2)] + [(g, 1000) for g in range(20)]
+    rows += [(100 + i % 40, i) for i in range(0, 600, 7)]
+    assert run(spark, rows, k, 10) == brute(rows, k)
+
+
+def test_wide_baskets_write_no_pairs(spark, monkeypatch):
+    # 20 baskets of 300 items hold 448,500 pairs; only each block pair's best leave a task.
+    from fogon.operators import cooccurrence
+
+    rows = [(g, (g * 150 + i) % 3000) for g in range(20) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int")
+    seen = []
+    monkeypatch.setattr(cooccurrence, "BLOCK", 512)
+    monkeypatch.setattr(
+        cooccurrence, "_ranked", lambda pairs, k, ranked=cooccurrence._ranked: (seen.append(pairs.count()), ranked(pairs, k))[1]
+    )
+    got = [tuple(r) for r in top_pairs(df, "g", "i", 5, 64).collect()]
+    assert got == brute(rows, 5)
+    assert max(seen) <= 21 * 5
+
+
+def test_blocks_are_counted_apart(spark, monkeypatch):
+    from fogon.operators import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "BLOCK", 7)
+    monkeypatch.setattr(cooccurrence, "GROUPS_AT_ONCE", 3)
+    rng = random.Random(4)
+    rows = [(rng.randrange(14), rng.randrange(40)) for _ in range(260)]
+    assert run(spark, rows, 9, 5) == brute(rows, 9)

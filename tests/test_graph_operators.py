@@ -56,6 +56,19 @@ def test_reach_with_cycles_counts_each_node_once(spark):
     assert reach(spark, parents) == brute_reach(parents)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_with_several_parents_and_cycles(spark, seed):
+    rng = random.Random(50 + seed)
+    parents = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.choice((40, 70, 110)))]
+    assert reach(spark, parents + parents[:5]) == brute_reach(parents)
+
+
+def test_reach_keeps_every_parent(spark):
+    # 3 has two parents; the paths over 3 and 4 meet again in 5.
+    parents = [(3, 1), (3, 2), (4, 1), (5, 3), (5, 4), (6, 5)]
+    assert reach(spark, parents) == brute_reach(parents) == {1: 4, 2: 3, 3: 2, 4: 2, 5: 1}
+
+
 def brute_pagerank(edges, iterations=20):
     nodes = {n for e in edges for n in e}
     out = {n: [d for s, d in edges if s == n] for n in nodes}
