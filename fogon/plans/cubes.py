@@ -11,11 +11,14 @@ date and time dimensions are computed in place instead of joined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogon.functions import calendar as cal
 from fogon.functions.money import cents, money, ratio_2dp
+from fogon.operators.staging import stage
 from fogon.plans.dims import dim_order_status
 
 
@@ -165,99 +168,84 @@ def cube_sales_by_location(orders: DataFrame) -> DataFrame:
     )
 
 
-def _buyers_by_level(items: DataFrame, user: str) -> DataFrame:
-    """Distinct buyers at each level, every level deduplicated from a finer one.
-
-    Columns month_key, category, product_name, grp_flag, distinct_buyers. Rows shrink
-    from level to level and are combined map-side, instead of expanding the finest
-    rows once per level.
-    """
-    full = ["category", "product_name", "month_key"]
-    leaf = items.select(F.col(user).alias("buyer"), month_key(), *full[:2]).distinct()
-    by_product = leaf.select("buyer", "category", "product_name").distinct()
-    by_month = leaf.select("buyer", "category", "month_key").distinct()
-    by_category = by_product.select("buyer", "category").distinct()
-    anyone = by_category.select("buyer").distinct()
-    levels = (
-        (leaf, full, 0),
-        (by_product, full[:2], 1),
-        (by_month, ["category", "month_key"], 2),
-        (by_category, ["category"], 3),
-        (anyone, [], 7),
+def _level(rows: DataFrame, keys: list[str], flag: int, types: dict[str, str], **measures) -> DataFrame:
+    """One cube level: ``rows`` grouped by ``keys``; the other dimensions are null."""
+    grouped = rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
+    return grouped.select(
+        *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in types.items()],
+        F.lit(flag).alias("grp_flag"),
+        *measures,
     )
-    types = {"category": "string", "product_name": "string", "month_key": "int"}
-    out = None
-    for rows, keys, flag in levels:
-        counted = rows.groupBy(*keys).agg(F.count("*").alias("distinct_buyers"))
-        level = counted.select(
-            *[
-                F.col(c) if c in keys else F.lit(None).cast(t).alias(c)
-                for c, t in types.items()
-            ],
-            F.lit(flag).alias("grp_flag"),
-            "distinct_buyers",
-        )
-        out = level if out is None else out.unionByName(level)
-    return out
+
+
+def _summed(rows: DataFrame, keys: list[str], *measures: str) -> DataFrame:
+    """``rows`` reduced to ``keys``. The sums keep Spark from dropping the step, so the next
+    coarser level really starts from fewer rows."""
+    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def cube_product_frequency(items: DataFrame) -> DataFrame:
     """Units, distinct orders, distinct buyers and revenue by category/product/month.
 
-    Orders are counted by flags as in the revenue cube (an order has at most one row
-    per product name). Buyers do recur over months and products, so they are counted
-    distinctly, in a pass of their own. The two result-sized tables are then added up.
+    The lines are joined once, reduced to (order, product name) and written; an order has
+    one month and one buyer. Buyers recur over months and products, so each level is reduced
+    from a finer one with the buyer as a key, and counts the buyers that are known. Orders
+    are counted the same way from (order, category). No step orders or gathers the rows of
+    an order, and all are combined map-side.
     """
     user = _user_column(items)
     dims = ["category", "product_name", "month_label"]
-    c, p, m = (F.col(d) for d in dims)
-    sets = [[c, p, m], [c, p], [c, m], [c], []]
-    flag = F.grouping_id(*dims).cast("int").alias("grp_flag")
-    by_name = ["category", "product_name"]
-    leaf = _month_columns(
-        items.groupBy("order_id", month_key(), *by_name)
-        .agg(
+    names = ["category", "product_name"]
+    types = {"category": "string", "product_name": "string", "month_key": "int"}
+    lines = stage(
+        items.groupBy("order_id", month_key(), *names).agg(
+            F.min(user).alias("buyer"),
             F.sum(cents("line_amount")).alias("revenue_c"),
             F.sum("quantity").alias("units"),
-        )
-        .withColumns(
-            {
-                "first_in_order": _first("order_id", order=by_name),
-                "first_in_category": _first("order_id", "category", order=["product_name"]),
-            }
-        )
-        .groupBy("month_key", *by_name)
-        .agg(
-            F.sum("revenue_c").alias("revenue_c"),
-            F.sum("units").alias("units"),
-            F.count("*").alias("with_product"),
-            F.sum("first_in_category").alias("in_category"),
-            F.sum("first_in_order").alias("in_total"),
-        )
+        ),
+        "product-lines",
     )
-    sales = leaf.groupingSets(sets, c, p, m).agg(
-        flag,
-        F.sum("units").alias("units_sold"),
-        F.when(F.grouping("product_name") == 0, F.sum("with_product"))
-        .when(F.grouping("category") == 0, F.sum("in_category"))
-        .otherwise(F.sum("in_total"))
-        .alias("times_ordered"),
-        F.lit(0).cast("bigint").alias("distinct_buyers"),
-        F.sum("revenue_c").alias("revenue_c"),
+    sums = ("times", "units", "revenue_c")
+    leaf = lines.groupBy("buyer", "month_key", *names).agg(
+        F.count("*").alias("times"), F.sum("units").alias("units"), F.sum("revenue_c").alias("revenue_c")
     )
-    buyers = _month_columns(_buyers_by_level(items, user)).select(
-        *dims,
-        "grp_flag",
-        F.lit(None).cast("bigint").alias("units_sold"),
-        F.lit(0).cast("bigint").alias("times_ordered"),
-        "distinct_buyers",
-        F.lit(None).cast("bigint").alias("revenue_c"),
+    by_product = _summed(leaf, ["buyer", *names], *sums)
+    by_month = _summed(leaf, ["buyer", "category", "month_key"], *sums)
+    by_category = _summed(by_month, ["buyer", "category"], *sums)
+    anyone = _summed(by_category, ["buyer"], *sums)
+    orders = lines.groupBy("order_id", "month_key", "category").agg(F.count("*").alias("rows"))
+    orders_month = orders.groupBy("category", "month_key").agg(F.count("*").alias("times"))
+    none = F.lit(0).cast("bigint")
+
+    def sales(rows: DataFrame, keys: list[str], flag: int, times) -> DataFrame:
+        return _level(
+            rows, keys, flag, types, units_sold=F.sum("units"), times_ordered=times,
+            distinct_buyers=F.count("buyer"), revenue_c=F.sum("revenue_c"),
+        )
+
+    def ordered(rows: DataFrame, keys: list[str], flag: int, times) -> DataFrame:
+        return _level(
+            rows, keys, flag, types, units_sold=F.sum(F.lit(None).cast("bigint")), times_ordered=times,
+            distinct_buyers=F.sum(none), revenue_c=F.sum(F.lit(None).cast("bigint")),
+        )
+
+    levels = (
+        sales(leaf, ["category", "product_name", "month_key"], 0, F.sum("times")),
+        sales(by_product, names, 1, F.sum("times")),
+        sales(by_month, ["category", "month_key"], 2, F.sum(none)),
+        sales(by_category, ["category"], 3, F.sum(none)),
+        sales(anyone, [], 7, F.sum(none)),
+        ordered(orders_month, ["category", "month_key"], 2, F.sum("times")),
+        ordered(orders_month, ["category"], 3, F.sum("times")),
+        ordered(_summed(orders, ["order_id"], "rows"), [], 7, F.count("*")),
     )
     measures = ["units_sold", "times_ordered", "distinct_buyers", "revenue_c"]
     return (
-        sales.unionByName(buyers)
+        _month_columns(reduce(DataFrame.unionByName, levels))
         .groupBy(*dims, "grp_flag")
         .agg(*[F.sum(x).alias(x) for x in measures])
+        # A total over no rows is a row of its own in neither part.
+        .where("revenue_c IS NOT NULL OR times_ordered > 0 OR grp_flag < 7")
         .select(
             *dims,
             "grp_flag",
@@ -350,18 +338,33 @@ def cube_customer_activity(orders: DataFrame) -> DataFrame:
     """Active customers, orders and revenue by zone/province/month."""
     user = _user_column(orders)
     dims = ["zone", "province", "month_label"]
-    z, p, m = (F.col(d) for d in dims)
-    leaf = _month_columns(
+    types = {"zone": "string", "province": "string", "month_key": "int"}
+    leaf = (
         orders.where(~F.col("is_cancelled"))
         .groupBy("zone", "province", month_key(), F.col(user).alias("customer"))
         .agg(F.count("*").alias("orders"), F.sum(cents("net_amount")).alias("revenue_c"))
     )
-    levels = leaf.groupingSets([[z, p, m], [z, m], [z], [m], []], z, p, m).agg(
-        F.grouping_id(*dims).cast("int").alias("grp_flag"),
-        F.count_distinct("customer").alias("active_customers"),
-        F.sum("orders").alias("orders"),
-        F.sum("revenue_c").alias("revenue_c"),
-    )
+    # Customers recur, so each level is reduced from a finer one with the customer as a key.
+    sums = ("orders", "revenue_c")
+    by_zone_month = _summed(leaf, ["customer", "zone", "month_key"], *sums)
+    by_zone = _summed(by_zone_month, ["customer", "zone"], *sums)
+    by_month = _summed(by_zone_month, ["customer", "month_key"], *sums)
+    anyone = _summed(by_zone, ["customer"], *sums)
+    parts = [
+        _level(
+            rows, keys, flag, types, active_customers=F.count("customer"),
+            orders=F.sum("orders"), revenue_c=F.sum("revenue_c"),
+        )
+        for rows, keys, flag in (
+            (leaf, ["zone", "province", "month_key"], 0),
+            (by_zone_month, ["zone", "month_key"], 2),
+            (by_zone, ["zone"], 3),
+            (by_month, ["month_key"], 6),
+            (anyone, [], 7),
+        )
+    ]
+    # GROUPING SETS over no rows has no total either.
+    levels = _month_columns(reduce(DataFrame.unionByName, parts)).where("orders IS NOT NULL")
     return levels.select(
         *dims,
         "grp_flag",
