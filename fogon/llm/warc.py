@@ -302,10 +302,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(dict(self.options))
+        return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:
