@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from fogon.operators.assignment import assign_couriers
 from fogon.operators.staging import fresh_dir, stage
 from fogon.plans import analyses, cubes, dims, facts, graph, pipeline, quality, routing, serving
-from fogon.schemas import DIMENSIONS, FACTS
+from fogon.schemas import CUBES, DIMENSIONS, FACTS
 from fogon.session import tune
 from fogon.sources.catalog import register_tables
 from fogon.sources.lake import Lake
@@ -132,35 +132,21 @@ def _extract_bronze(src: TpchSources) -> DataFrame:
     return pipeline.counts(pipeline.extract(src.read, _new_lake(src)))
 
 
-_LOADED: dict[tuple[str, str], Lake] = {}
+def _loaded(src: TpchSources, cube_names=(), with_analyses: bool = False) -> Lake:
+    """A lake of the query's own, with the star and the tables named."""
+    lake = _new_lake(src)
+    pipeline.run(src.read, lake, False, with_analyses, cube_names)
+    return lake
 
 
-def _loaded(src: TpchSources) -> Lake:
-    """One full load per session and data directory, shared by the checks on it."""
-    key = (src.spark.sparkContext.applicationId, src.sf_dir)
-    if key not in _LOADED:
-        lake = _new_lake(src)
-        pipeline.run(src.read, lake, enforce=False)
-        _LOADED[key] = lake
-    return _LOADED[key]
-
-
-def _gold(src: TpchSources, table: str) -> DataFrame:
-    return _loaded(src).read("gold", table)
-
-
-def _silver(src: TpchSources, table: str) -> DataFrame:
-    return _loaded(src).read("silver", table)
-
-
-def _star(src: TpchSources) -> dict[str, DataFrame]:
-    return {t: _silver(src, t) for t in DIMENSIONS} | {t: _gold(src, t) for t in FACTS}
+def _star(lake: Lake) -> dict[str, DataFrame]:
+    return {t: lake.read("silver", t) for t in DIMENSIONS} | {t: lake.read("gold", t) for t in FACTS}
 
 
 def _refresh_cubes(src: TpchSources) -> DataFrame:
     """Rows and revenue per cube and level, from cubes rebuilt on the keyed gold facts."""
     levels = []
-    for name, cube in pipeline.refresh_cubes(_loaded(src)).items():
+    for name, cube in pipeline.refresh_cubes(_loaded(src, CUBES)).items():
         revenue = "realised_revenue" if name == "cube_orders_status" else "revenue"
         levels.append(
             cube.groupBy("grp_flag")
@@ -173,26 +159,49 @@ def _refresh_cubes(src: TpchSources) -> DataFrame:
 def _load_serving(src: TpchSources) -> DataFrame:
     target = fresh_dir(src.spark, "serving")
     names = pipeline.load_serving(
-        _loaded(src), lambda df, table: df.write.parquet(f"{target}/{table}")
+        _loaded(src, CUBES, True), lambda df, table: df.write.parquet(f"{target}/{table}")
     )
     return pipeline.counts({n: src.spark.read.parquet(f"{target}/{n}") for n in names})
 
 
 def _catalog_register(src: TpchSources) -> DataFrame:
-    names = register_tables(src.spark, _loaded(src))
+    names = register_tables(src.spark, _loaded(src, CUBES, True))
     return pipeline.counts({n.split(".")[1]: src.spark.table(n) for n in names})
 
 
 def _dq_report(src: TpchSources) -> DataFrame:
+    lake = _loaded(src, ("cube_revenue_time_category", "cube_orders_status"))
     return quality.report(
-        _gold(src, "fact_orders"),
-        _gold(src, "fact_order_items"),
-        _silver(src, "dim_product"),
-        _gold(src, "cube_revenue_time_category"),
-        _gold(src, "cube_orders_status"),
+        lake.read("gold", "fact_orders"),
+        lake.read("gold", "fact_order_items"),
+        lake.read("silver", "dim_product"),
+        lake.read("gold", "cube_revenue_time_category"),
+        lake.read("gold", "cube_orders_status"),
     )
 
 
+def _not_empty(lake: Lake) -> DataFrame:
+    return quality.not_empty(lake.read("gold", "fact_orders"), "fact_orders").unionByName(
+        quality.not_empty(lake.read("gold", "fact_order_items"), "fact_order_items")
+    )
+
+
+def _orphans(lake: Lake) -> DataFrame:
+    return quality.orphans(
+        lake.read("gold", "fact_order_items"), lake.read("silver", "dim_product"), "product_key",
+        "order items have a product",
+    )
+
+
+def _one_cube(src: TpchSources, name: str) -> DataFrame:
+    return _loaded(src, (name,)).read("gold", name)
+
+
+def _dq_cube_keys(src: TpchSources) -> DataFrame:
+    lake = _loaded(src, CUBES)
+    return quality.cube_keys({c: lake.read("gold", c) for c in cubes.CUBE_KEYS})
+
+
 # ---- dimensions and facts ---------------------------------------------------------
 
 
@@ -347,23 +356,22 @@ PLANS: dict[str, Callable[[TpchSources], DataFrame]] = {
     "refresh_cubes": _refresh_cubes,
     "load_serving": _load_serving,
     "catalog_register": _catalog_register,
-    "dq_row_counts": lambda s: quality.row_counts({t: _gold(s, t) for t in FACTS}),
-    "dq_not_empty": lambda s: quality.not_empty(
-        _gold(s, "fact_orders"), "fact_orders"
-    ).unionByName(quality.not_empty(_gold(s, "fact_order_items"), "fact_order_items")),
-    "dq_orphans": lambda s: quality.orphans(
-        _gold(s, "fact_order_items"), _silver(s, "dim_product"), "product_key",
-        "order items have a product",
+    "dq_row_counts": lambda s: quality.row_counts(
+        {t: df for t, df in _star(_loaded(s)).items() if t in FACTS}
     ),
+    "dq_not_empty": lambda s: _not_empty(_loaded(s)),
+    "dq_orphans": lambda s: _orphans(_loaded(s)),
     "dq_grand_total": lambda s: quality.grand_total_matches_leaves(
-        _gold(s, "cube_revenue_time_category")
+        _one_cube(s, "cube_revenue_time_category")
+    ),
+    "dq_no_negative": lambda s: quality.no_negative_amounts(
+        _loaded(s).read("gold", "fact_orders")
     ),
-    "dq_no_negative": lambda s: quality.no_negative_amounts(_gold(s, "fact_orders")),
     "dq_cancel_rate_range": lambda s: quality.cancel_rate_in_range(
-        _gold(s, "cube_orders_status")
+        _one_cube(s, "cube_orders_status")
     ),
-    "dq_constraints": lambda s: quality.constraints(_star(s)),
-    "dq_cube_keys": lambda s: quality.cube_keys({c: _gold(s, c) for c in cubes.CUBE_KEYS}),
+    "dq_constraints": lambda s: quality.constraints(_star(_loaded(s))),
+    "dq_cube_keys": _dq_cube_keys,
     "dq_report": _dq_report,
     "routing_deliverable": _routing_deliverable,
     "routing_assign": _routing_assign,

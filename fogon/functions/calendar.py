@@ -18,13 +18,22 @@ DAY_NAMES = ("lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "dom
 DAYPARTS = ((0, "madrugada"), (6, "manana"), (12, "tarde"), (18, "noche"))
 
 
+# A zone behind the time of day: Z, +hh:mm, -hhmm, or a zone name.
+_OFFSET = r"\d:\d{1,2}(:\d{1,2}(\.\d+)?)?\s*(Z|z|UTC.*|GMT.*|[+-]\d.*|[A-Za-z]+/[A-Za-z_]+)\s*$"
+
+
 def local_timestamp(df: DataFrame, name: str) -> Column:
     """Wall-clock timestamp of a column that may be text or a timestamp.
 
-    Text that is no timestamp becomes NULL (instead of failing the job under ANSI).
+    Text with an offset (or Z) is an instant and is shown in the session's time zone;
+    text without one is taken as it stands. Text that is no timestamp becomes NULL
+    (instead of failing the job under ANSI).
     """
     if isinstance(df.schema[name].dataType, T.StringType):
-        return F.col(name).try_cast("timestamp_ntz")
+        has_offset = F.col(name).rlike(_OFFSET)
+        return F.when(
+            has_offset, F.col(name).try_cast("timestamp").cast("timestamp_ntz")
+        ).otherwise(F.col(name).try_cast("timestamp_ntz"))
     return F.col(name)
 
 

@@ -11,13 +11,13 @@ from fogon.operators.staging import drop_staged, stage
 def _relax(state: DataFrame, edges: DataFrame, hops: int, keep_path: bool) -> DataFrame:
     """One round: extend the nodes settled in the previous round by one edge.
 
-    A joined row stands for the node itself and for the neighbour it reaches; nodes
-    outside the frontier match no edge. Repeats of the node itself collapse in the
-    map-side part of the aggregate.
+    Only the frontier meets the edges, in an inner join, so Spark may split the edges of a
+    hub; what it reaches is added to the state, and one minimum per node merges both.
     """
     path = F.concat("path", F.array("dst")) if keep_path else F.col("path")
-    own = F.struct("node", F.struct("cost", "hops", "path").alias("best"))
-    reached = F.struct(
+    frontier = state.where(F.col("hops") == hops - 1)
+    step = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("edge_cost"))
+    reached = frontier.join(step, "node").select(
         F.col("dst").alias("node"),
         F.struct(
             (F.col("cost") + F.col("edge_cost")).alias("cost"),
@@ -25,17 +25,9 @@ def _relax(state: DataFrame, edges: DataFrame, hops: int, keep_path: bool) -> Da
             path.alias("path"),
         ).alias("best"),
     )
-    # The frontier flag is a second join key, so the nodes outside it stay spread out.
-    step = edges.select(
-        F.col("src").alias("node"), "dst", F.col("cost").alias("edge_cost"),
-        F.lit(True).alias("live"),
-    )
+    own = state.select("node", F.struct("cost", "hops", "path").alias("best"))
     return (
-        state.withColumn("live", F.col("hops") == hops - 1)
-        .join(step, ["node", "live"], "left")
-        .select(F.explode(F.array(own, reached)).alias("m"))
-        .select("m.*")
-        .where(F.col("node").isNotNull())
+        own.unionByName(reached)
         .groupBy("node")
         .agg(F.min("best").alias("best"))
         .select("node", "best.*")

@@ -20,6 +20,7 @@ from fogon.functions import calendar as cal
 from fogon.functions.money import cents, money, ratio_2dp
 from fogon.operators.staging import stage
 from fogon.plans.dims import dim_order_status
+from fogon.schemas import CUBES
 
 
 def orders_base(fact: DataFrame, locations: DataFrame | None = None) -> DataFrame:
@@ -393,15 +394,17 @@ def all_cubes(
     locations: DataFrame,
     products: DataFrame,
     status: DataFrame | None = None,
+    names=CUBES,
 ) -> dict[str, DataFrame]:
-    """The six cubes over one pair of facts (keyed gold tables or lazy frames)."""
+    """The named cubes over one pair of facts (keyed gold tables or lazy frames)."""
     orders = orders_base(orders_fact, locations)
     items = items_base(items_fact, products, status)
-    return {
-        "cube_revenue_time_category": cube_revenue_time_category(items),
-        "cube_sales_by_location": cube_sales_by_location(orders),
-        "cube_product_frequency": cube_product_frequency(items),
-        "cube_orders_status": cube_orders_status(orders),
-        "cube_peak_hours": cube_peak_hours(orders_base(orders_fact)),
-        "cube_customer_activity": cube_customer_activity(orders),
+    build = {
+        "cube_revenue_time_category": lambda: cube_revenue_time_category(items),
+        "cube_sales_by_location": lambda: cube_sales_by_location(orders),
+        "cube_product_frequency": lambda: cube_product_frequency(items),
+        "cube_orders_status": lambda: cube_orders_status(orders),
+        "cube_peak_hours": lambda: cube_peak_hours(orders_base(orders_fact)),
+        "cube_customer_activity": lambda: cube_customer_activity(orders),
     }
+    return {name: build[name]() for name in names}

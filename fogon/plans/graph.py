@@ -14,33 +14,52 @@ from fogon.operators.reach import descendant_counts
 # ---- nodes and edges -----------------------------------------------------------
 
 
+def _one_per_id(rows: DataFrame, key: str) -> DataFrame:
+    """One row per id. Of rows that repeat an id the largest by its columns, in their
+    order, is kept, so a node does not depend on how the input is cut."""
+    rest = [c for c in rows.columns if c != key]
+    return (
+        rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("kept")).select(key, *[f"kept.{c}" for c in rest])
+    )
+
+
 def location_nodes(locations: DataFrame) -> DataFrame:
-    return locations.select(
-        "location_id", "province", "canton", "district", "zone",
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lng"),
-    ).dropDuplicates(["location_id"])
+    return _one_per_id(
+        locations.select(
+            "location_id", "province", "canton", "district", "zone",
+            F.col("latitude").alias("lat"), F.col("longitude").alias("lng"),
+        ),
+        "location_id",
+    )
 
 
 def product_nodes(products: DataFrame) -> DataFrame:
-    return products.select(
-        "product_id", "name", "category", F.col("price").cast("double").alias("price")
-    ).dropDuplicates(["product_id"])
+    return _one_per_id(
+        products.select("product_id", "name", "category", F.col("price").cast("double").alias("price")),
+        "product_id",
+    )
 
 
 def user_nodes(users: DataFrame) -> DataFrame:
-    return users.select(
-        "user_id", F.col("full_name").alias("name"),
-        F.col("latitude").cast("double").alias("lat"),
-        F.col("longitude").cast("double").alias("lng"),
-    ).dropDuplicates(["user_id"])
+    return _one_per_id(
+        users.select(
+            "user_id", F.col("full_name").alias("name"),
+            F.col("latitude").cast("double").alias("lat"),
+            F.col("longitude").cast("double").alias("lng"),
+        ),
+        "user_id",
+    )
 
 
 def order_nodes(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        "order_id", "created_at", "status",
-        F.col("net_amount").cast("double").alias("net_amount"),
-        F.col("delivery_km").cast("double").alias("delivery_km"),
-    ).dropDuplicates(["order_id"])
+    return _one_per_id(
+        orders.select(
+            "order_id", "created_at", "status",
+            F.col("net_amount").cast("double").alias("net_amount"),
+            F.col("delivery_km").cast("double").alias("delivery_km"),
+        ),
+        "order_id",
+    )
 
 
 def nodes(locations, products, users, orders) -> dict[str, DataFrame]:
@@ -84,7 +103,7 @@ def lives_in(users: DataFrame, locations: DataFrame) -> DataFrame:
     return (
         users.select("user_id", "location_id")
         .distinct()
-        .join(locations.select("location_id").distinct(), "location_id", "left_semi")
+        .join(locations.select("location_id"), "location_id", "left_semi")
         .select("user_id", "location_id")
     )
 
@@ -93,7 +112,7 @@ def placed(orders: DataFrame, users: DataFrame) -> DataFrame:
     return (
         orders.select("user_id", "order_id")
         .distinct()
-        .join(users.select("user_id").distinct(), "user_id", "left_semi")
+        .join(users.select("user_id"), "user_id", "left_semi")
     )
 
 
@@ -103,7 +122,7 @@ def recommended(users: DataFrame) -> DataFrame:
         F.col("referred_by").isNotNull() & (F.col("referred_by").cast("string") != "")
     )
     links = named.select(F.col("referred_by").alias("src"), F.col("user_id").alias("dst"))
-    known = users.select(F.col("user_id").alias("src")).distinct()
+    known = users.select(F.col("user_id").alias("src"))
     return links.distinct().join(known, "src", "left_semi").select("src", "dst")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogon.plans import analyses, cubes, dims, facts, quality
-from fogon.schemas import ANALYSES, DIMENSIONS, FACTS, SOURCE_TABLES, conform
+from fogon.operators.staging import staged_here
+from fogon.schemas import ANALYSES, CUBES, DIMENSIONS, FACTS, SOURCE_TABLES, conform
 from fogon.sources.lake import Lake
 
 Tables = dict[str, DataFrame]
@@ -65,32 +66,27 @@ def run_analyses(lake: Lake) -> Tables:
     return {name: lake.write(df, "gold", name) for name, df in built.items()}
 
 
-def refresh_cubes(lake: Lake) -> Tables:
-    """Recompute all six cubes from the gold facts."""
+def refresh_cubes(lake: Lake, names=CUBES) -> Tables:
+    """Recompute the cubes from the gold facts; each is a new version of its table."""
     built = cubes.all_cubes(
         lake.read("gold", "fact_orders"),
         lake.read("gold", "fact_order_items"),
         lake.read("silver", "dim_location"),
         lake.read("silver", "dim_product"),
         lake.read("silver", "dim_order_status"),
+        names,
     )
     return {name: lake.write(df, "gold", name) for name, df in built.items()}
 
 
 def load_serving(lake: Lake, write: Callable[[DataFrame, str], None]) -> list[str]:
-    """Hand dimensions, then facts, then analyses to ``write`` in their serving contract."""
-    order = [("silver", t) for t in DIMENSIONS] + [("gold", t) for t in (*FACTS, *ANALYSES)]
+    """Hand dimensions, facts, analyses and cubes to ``write`` in their serving contract."""
+    order = [("silver", t) for t in DIMENSIONS] + [("gold", t) for t in (*FACTS, *ANALYSES, *CUBES)]
     for zone, table in order:
         write(conform(lake.read(zone, table), table), table)
     return [table for _, table in order]
 
 
-def serving_tables(lake: Lake) -> Tables:
-    """Every star and analysis table as its serving contract states it."""
-    zones = [("silver", t) for t in DIMENSIONS] + [("gold", t) for t in (*FACTS, *ANALYSES)]
-    return {t: conform(lake.read(z, t), t) for z, t in zones}
-
-
 def check(lake: Lake) -> DataFrame:
     """All data-quality checks over the written lake."""
     tables = {t: lake.read("silver", t) for t in DIMENSIONS}
@@ -109,13 +105,25 @@ def check(lake: Lake) -> DataFrame:
     )
 
 
-def run(read: Callable[[str], DataFrame], lake: Lake, enforce: bool = True) -> DataFrame:
-    """The whole load; returns (table_name, n_rows) of everything in silver and gold."""
-    extract(read, lake)
-    written = build_dimensions(lake)
-    written |= build_facts(lake)
-    written |= run_analyses(lake)
-    written |= refresh_cubes(lake)
+def run(
+    read: Callable[[str], DataFrame],
+    lake: Lake,
+    enforce: bool = True,
+    with_analyses: bool = True,
+    cube_names=CUBES,
+) -> DataFrame:
+    """The whole load; returns (table_name, n_rows) of everything in silver and gold.
+
+    What the steps stage is removed as soon as their tables are written.
+    """
+    with staged_here():
+        extract(read, lake)
+        written = build_dimensions(lake)
+        written |= build_facts(lake)
+        if with_analyses:
+            written |= run_analyses(lake)
+        if cube_names:
+            written |= refresh_cubes(lake, cube_names)
     if enforce:
         quality.enforce(check(lake))
     return counts(written)

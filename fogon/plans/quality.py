@@ -57,7 +57,7 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFra
     row and the child's rows are never shuffled whole.
     """
     keys = child.groupBy(key).agg(F.count("*").alias("n"))
-    missing = keys.join(parent.select(key).distinct(), key, "left_anti")
+    missing = keys.join(parent.select(key), key, "left_anti")
     return _row(missing, name, F.coalesce(F.sum("n"), F.lit(0)), _is_zero())
 
 

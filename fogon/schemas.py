@@ -39,6 +39,11 @@ ANALYSES = (
     "analysis_consumption_trends", "analysis_peak_hours", "analysis_monthly_growth",
 )
 
+CUBES = (
+    "cube_revenue_time_category", "cube_sales_by_location", "cube_product_frequency",
+    "cube_orders_status", "cube_peak_hours", "cube_customer_activity",
+)
+
 SERVING_SCHEMAS = {
     "dim_date": "date_key int, full_date date, year smallint, quarter smallint, "
     "quarter_label string, month smallint, month_name string, month_label string, "
@@ -70,6 +75,23 @@ SERVING_SCHEMAS = {
     "analysis_monthly_growth": "month_label string, year smallint, month smallint, "
     "revenue decimal(16,2), orders bigint, prev_revenue decimal(16,2), prev_orders bigint, "
     "revenue_growth_pct decimal(10,2), orders_growth_pct decimal(10,2)",
+    "cube_revenue_time_category": "year int, quarter_label string, month_label string, "
+    "category string, grp_flag int, revenue decimal(18,2), units_sold bigint, orders bigint, "
+    "avg_ticket decimal(18,2)",
+    "cube_sales_by_location": "province string, canton string, district string, zone string, "
+    "grp_flag int, orders bigint, revenue decimal(18,2), units bigint, "
+    "avg_order_value decimal(18,2), avg_delivery_km decimal(18,2)",
+    "cube_product_frequency": "category string, product_name string, month_label string, "
+    "grp_flag int, units_sold bigint, times_ordered bigint, distinct_buyers bigint, "
+    "revenue decimal(18,2)",
+    "cube_orders_status": "month_label string, zone string, grp_flag int, total_orders bigint, "
+    "completed bigint, cancelled bigint, cancel_rate_pct decimal(10,2), "
+    "realised_revenue decimal(18,2), lost_revenue decimal(18,2)",
+    "cube_peak_hours": "day_of_week int, day_name string, hour int, daypart string, "
+    "grp_flag int, orders bigint, revenue decimal(18,2), avg_items decimal(10,2)",
+    "cube_customer_activity": "zone string, province string, month_label string, grp_flag int, "
+    "active_customers bigint, orders bigint, orders_per_customer decimal(18,2), "
+    "revenue decimal(18,2), revenue_per_customer decimal(18,2)",
 }
 
 # Columns a warehouse table must not leave NULL; the rest may be empty.

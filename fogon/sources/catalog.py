@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
-from fogon.schemas import ANALYSES, DIMENSIONS, FACTS
+from fogon.schemas import ANALYSES, CUBES, DIMENSIONS, FACTS
 from fogon.sources.lake import Lake
 
-REGISTERED = tuple([("silver", t) for t in DIMENSIONS] + [("gold", t) for t in FACTS + ANALYSES])
+REGISTERED = tuple(
+    [("silver", t) for t in DIMENSIONS] + [("gold", t) for t in FACTS + ANALYSES + CUBES]
+)
 
 
 def register_tables(
@@ -24,6 +26,6 @@ def register_tables(
     for zone, table in tables:
         name = f"{database}.{table}"
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{lake.path(zone, table)}'")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{lake.current(zone, table)}'")
         names.append(name)
     return names

@@ -1,13 +1,23 @@
-"""Parquet lake: one directory per (zone, table)."""
+"""Parquet lake: one folder per (zone, table), one folder of it per version.
+
+A version counts once Spark has finished it, so a refresh swaps in a whole new version:
+readers never see a gap, frames read before keep their files, and a failed write leaves
+the last version in place. The version before the current one is kept for such readers,
+older ones are removed.
+"""
 
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fogon.sources.files import delete_folder, exists, folders
+
 ZONES = ("bronze", "silver", "gold")
 
 
@@ -21,18 +31,36 @@ class Lake:
     def path(self, zone: str, table: str) -> str:
         if zone not in ZONES:
             raise ValueError(f"unknown zone {zone!r}, expected one of {ZONES}")
-        base = self.base or os.getenv("LAKE_PATH", "/lake/warehouse")
+        base = self.base or os.getenv("LAKE_PATH")
+        if not base:
+            raise ValueError("set LAKE_PATH, or pass the lake's base")
         return f"{base.rstrip('/')}/{zone}/{table}"
 
+    def versions(self, zone: str, table: str) -> list[str]:
+        """Folders of the finished versions, oldest first."""
+        path = self.path(zone, table)
+        found = [f"{path}/{v}" for v in folders(path) if v.startswith("v-")]
+        return [v for v in found if exists(f"{v}/_SUCCESS")]
+
+    def current(self, zone: str, table: str) -> str:
+        """Folder of the newest finished version."""
+        found = self.versions(zone, table)
+        if not found:
+            raise ValueError(f"no version of {zone}.{table} in the lake")
+        return found[-1]
+
     def write(
         self, df: DataFrame, zone: str, table: str, partition_by: Iterable[str] | None = None
     ) -> DataFrame:
-        """Overwrite the table and return it as read back, so later steps start there."""
-        writer = df.write.mode("overwrite").format("parquet")
+        """Write a new version and return it as read back, so later steps start there."""
+        version = f"{self.path(zone, table)}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        writer = df.write.format("parquet")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.save(self.path(zone, table))
-        return self.read(zone, table)
+        writer.save(version)
+        for old in self.versions(zone, table)[:-2]:
+            delete_folder(old)
+        return self.spark.read.parquet(version)
 
     def read(self, zone: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(zone, table))
+        return self.spark.read.parquet(self.current(zone, table))

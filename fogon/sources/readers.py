@@ -11,6 +11,16 @@ from pyspark.sql import types as T
 from fogon.schemas import SOURCE_SCHEMAS
 
 SOURCE_KINDS = ("csv", "postgres", "mongo")
+#: Tables that a relational source must read over several connections.
+LARGE_TABLES = ("orders", "order_items")
+
+
+def required(variable: str) -> str:
+    """The environment variable, or an error that names it; there are no default places."""
+    value = os.getenv(variable)
+    if not value:
+        raise ValueError(f"set {variable}, or pass the option")
+    return value
 
 
 def read_source(
@@ -42,7 +52,7 @@ def read_csv(spark, table, options, schema=None) -> DataFrame:
 
     A directory ``<path>/<table>.csv`` of part files reads in parallel like one file.
     """
-    base = options.pop("path", None) or os.getenv("SOURCE_PATH", "data/source")
+    base = options.pop("path", None) or required("SOURCE_PATH")
     return (
         spark.read.schema(schema or SOURCE_SCHEMAS[table])
         .option("header", True)
@@ -59,18 +69,23 @@ def jdbc_options(table: str, options: Mapping[str, str]) -> dict[str, str]:
     """
     resolved = {
         "dbtable": os.getenv(f"SOURCE_TABLE_{table.upper()}", table),
-        "user": os.getenv("SOURCE_USER", "app"),
-        "password": os.getenv("SOURCE_PASSWORD", "app"),
         "driver": "org.postgresql.Driver",
         "fetchsize": "10000",
         **options,
     }
-    if "url" not in resolved:
-        resolved["url"] = os.environ["SOURCE_JDBC_URL"]
+    for option, variable in (
+        ("url", "SOURCE_JDBC_URL"), ("user", "SOURCE_USER"), ("password", "SOURCE_PASSWORD")
+    ):
+        if option not in resolved:
+            resolved[option] = required(variable)
     split = {"partitionColumn", "lowerBound", "upperBound"}
     given = split & resolved.keys()
     if given and (given != split or "numPartitions" not in resolved):
         raise ValueError(f"a parallel read needs {sorted(split)} and numPartitions")
+    if table in LARGE_TABLES and not given and "query" not in resolved:
+        raise ValueError(
+            f"{table} is large: pass {sorted(split)} and numPartitions, one connection does not scale"
+        )
     return resolved
 
 
@@ -79,13 +94,10 @@ def read_jdbc(spark, table, options) -> DataFrame:
 
 
 def mongo_options(table: str, options: Mapping[str, str]) -> dict[str, str]:
-    resolved = {
-        "database": os.getenv("SOURCE_MONGO_DB", "restaurant"),
-        "collection": table,
-        **options,
-    }
-    if "connection.uri" not in resolved:
-        resolved["connection.uri"] = os.environ["SOURCE_MONGO_URI"]
+    resolved = {"collection": table, **options}
+    for option, variable in (("database", "SOURCE_MONGO_DB"), ("connection.uri", "SOURCE_MONGO_URI")):
+        if option not in resolved:
+            resolved[option] = required(variable)
     return resolved
 
 

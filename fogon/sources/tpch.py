@@ -92,7 +92,11 @@ class TpchSources:
         )
 
     def categories(self) -> DataFrame:
-        return self.table("part").select(F.col("p_type").alias("name")).distinct()
+        """Categories by name; the id is a fixed function of the name."""
+        return (
+            self.table("part").select(F.col("p_type").alias("name")).distinct()
+            .select(F.concat(F.lit("cat-"), F.hex(F.crc32("name"))).alias("category_id"), "name")
+        )
 
     def products(self) -> DataFrame:
         return self.table("part").select(

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from fogon.sources.readers import required
+
 
 def warehouse_options(table: str, options: Mapping[str, str] | None = None) -> dict[str, str]:
     """Writer options: overwrite keeps the table (TRUNCATE), no transaction isolation."""
-    return {
-        "url": os.getenv("WAREHOUSE_JDBC_URL", "jdbc:postgresql://warehouse-db:5432/warehouse"),
-        "user": os.getenv("WAREHOUSE_USER", "warehouse"),
-        "password": os.getenv("WAREHOUSE_PASSWORD", "warehouse"),
+    resolved = {
         "driver": "org.postgresql.Driver",
         "dbtable": f"dw.{table}",
         "truncate": "true",
@@ -22,6 +20,12 @@ def warehouse_options(table: str, options: Mapping[str, str] | None = None) -> d
         "batchsize": "10000",
         **(options or {}),
     }
+    for option, variable in (
+        ("url", "WAREHOUSE_JDBC_URL"), ("user", "WAREHOUSE_USER"), ("password", "WAREHOUSE_PASSWORD")
+    ):
+        if option not in resolved:
+            resolved[option] = required(variable)
+    return resolved
 
 
 def write_warehouse(

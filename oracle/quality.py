@@ -101,6 +101,10 @@ SQL = {
     ),
     "dq_report": over_star(_union([*NOT_EMPTY, ORPHANS, GRAND, NEGATIVE, RATE]), CUBE_CTES),
     "refresh_cubes": over_star(_union([_levels(t) for t in CUBES]), CUBES),
-    "load_serving": over_star(_counts((*DIMENSIONS, *FACTS, *ANALYSES)), ANALYSIS_SQL),
-    "catalog_register": over_star(_counts((*DIMENSIONS, *FACTS, *ANALYSES)), ANALYSIS_SQL),
+    "load_serving": over_star(
+        _counts((*DIMENSIONS, *FACTS, *ANALYSES, *CUBES)), {**ANALYSIS_SQL, **CUBES}
+    ),
+    "catalog_register": over_star(
+        _counts((*DIMENSIONS, *FACTS, *ANALYSES, *CUBES)), {**ANALYSIS_SQL, **CUBES}
+    ),
 }

@@ -34,7 +34,7 @@ def test_load_step_writes_every_table(spark, sources, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(jobs, "write_warehouse", lambda df, table: seen.append(table))
     jobs.run_steps(spark, lake, ["load"])
-    assert seen[0] == "dim_date" and seen[-1] == "analysis_monthly_growth" and len(seen) == 12
+    assert seen[0] == "dim_date" and seen[-1] == "cube_customer_activity" and len(seen) == 18
 
 
 def test_session_helper_sets_runtime_options(spark):

@@ -20,10 +20,10 @@ def test_dim_date_keys_and_names(sources):
         r["date_key"]: r
         for r in dims.dim_date(sources["orders"], sources["reservations"]).collect()
     }
-    assert set(rows) == {20240301, 20240302, 20240303, 20240304}
-    friday, sunday = rows[20240301], rows[20240303]
-    assert friday["month_name"] == "marzo" and friday["month_label"] == "2024-03"
-    assert friday["quarter_label"] == "Q1" and friday["quarter"] == 1
+    assert set(rows) == {20230804, 20230806, 20230809, 20230810}
+    friday, sunday = rows[20230804], rows[20230806]
+    assert friday["month_name"] == "agosto" and friday["month_label"] == "2023-08"
+    assert friday["quarter_label"] == "Q3" and friday["quarter"] == 3
     assert (friday["day_of_week"], friday["day_name"], friday["is_weekend"]) == (5, "viernes", False)
     assert (sunday["day_of_week"], sunday["day_name"], sunday["is_weekend"]) == (7, "domingo", True)
 
@@ -31,7 +31,16 @@ def test_dim_date_keys_and_names(sources):
 def test_dim_date_skips_text_that_is_no_date(spark, sources):
     bad = sources["orders"].withColumn("created_at", F.lit("not a date"))
     keys = [r["date_key"] for r in dims.dim_date(bad, sources["reservations"]).collect()]
-    assert sorted(keys) == [20240303, 20240304]
+    assert sorted(keys) == [20230809, 20230810]
+
+
+def test_text_with_an_offset_is_an_instant(spark):
+    from fogon.functions.calendar import local_timestamp
+
+    texts = ["2024-03-01T23:30:00-06:00", "2024-03-01 23:30:00", "2024-03-01T23:30:00Z", "2024-03-01", "soon", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "at string")
+    got = [str(r[0]) for r in frame.select(local_timestamp(frame, "at")).collect()]
+    assert got == ["2024-03-02 05:30:00", "2024-03-01 23:30:00", "2024-03-01 23:30:00", "2024-03-01 00:00:00", "None", "None"]
 
 
 def test_dim_time_has_24_hours_and_four_dayparts(spark):
@@ -54,15 +63,15 @@ def test_dim_order_status_flags(spark):
 def test_dim_user_resolves_location_key(sources):
     _, user, _ = star(sources)
     rows = {r["user_id"]: r for r in user.collect()}
-    assert len(rows) == 2
-    assert rows["user-00001"]["location_key"] == 1 and rows["user-00002"]["location_key"] == 2
-    assert str(rows["user-00001"]["signup_date"]) == "2024-01-10"
+    assert len(rows) == 3
+    assert rows["u1"]["location_key"] == 1 and rows["u2"]["location_key"] == 2
+    assert str(rows["u1"]["signup_date"]) == "2023-05-04"
 
 
 def test_dim_user_keeps_unknown_location_as_null(sources):
-    location = dims.dim_location(sources["locations"].where("location_id = 'loc-001'"))
+    location = dims.dim_location(sources["locations"].where("location_id = 'north'"))
     rows = {r["user_id"]: r["location_key"] for r in dims.dim_user(sources["users"], location).collect()}
-    assert rows == {"user-00001": 1, "user-00002": None}
+    assert rows == {"u1": 1, "u2": None, "u3": None}
 
 
 def test_fact_order_items_resolves_keys_and_amounts(sources):
@@ -72,24 +81,24 @@ def test_fact_order_items_resolves_keys_and_amounts(sources):
     ).collect()
     assert len(rows) == 3
     assert all(r["product_key"] and r["user_key"] and r["location_key"] for r in rows)
-    assert {r["date_key"] for r in rows} == {20240301, 20240302}
-    assert sum(r["line_amount"] for r in rows) == 8800
+    assert {r["date_key"] for r in rows} == {20230804, 20230806}
+    assert sum(r["line_amount"] for r in rows) == 5200
     assert sorted(r["order_item_key"] for r in rows) == [1, 2, 3]
 
 
 def test_fact_order_items_drops_lines_without_order(sources):
     location, user, product = star(sources)
-    one = sources["orders"].where("order_id = 'ord-1'")
+    one = sources["orders"].where("order_id = 'o1'")
     rows = facts.fact_order_items(sources["order_items"], one, user, product, location).collect()
-    assert {r["order_id"] for r in rows} == {"ord-1"}
+    assert {r["order_id"] for r in rows} == {"o1"}
 
 
 def test_fact_orders_flags(sources):
     location, user, _ = star(sources)
     rows = {r["order_id"]: r for r in facts.fact_orders(sources["orders"], user, location).collect()}
-    assert rows["ord-1"]["is_completed"] and not rows["ord-1"]["is_cancelled"]
-    assert rows["ord-2"]["is_cancelled"] and not rows["ord-2"]["is_completed"]
-    assert (rows["ord-1"]["date_key"], rows["ord-1"]["time_key"]) == (20240301, 12)
+    assert rows["o1"]["is_completed"] and not rows["o1"]["is_cancelled"]
+    assert rows["o2"]["is_cancelled"] and not rows["o2"]["is_completed"]
+    assert (rows["o1"]["date_key"], rows["o1"]["time_key"]) == (20230804, 13)
 
 
 def test_fact_reservations_flags(sources):
@@ -98,9 +107,9 @@ def test_fact_reservations_flags(sources):
         r["reservation_id"]: r
         for r in facts.fact_reservations(sources["reservations"], user, location).collect()
     }
-    assert (rows["res-1"]["is_honored"], rows["res-1"]["is_no_show"]) == (True, False)
-    assert (rows["res-2"]["is_honored"], rows["res-2"]["is_no_show"]) == (False, True)
-    assert rows["res-2"]["time_key"] == 13
+    assert (rows["r1"]["is_honored"], rows["r1"]["is_no_show"]) == (True, False)
+    assert (rows["r2"]["is_honored"], rows["r2"]["is_no_show"]) == (False, True)
+    assert rows["r2"]["time_key"] == 12
 
 
 def test_conform_gives_the_serving_contract(spark, sources):
