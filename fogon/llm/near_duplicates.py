@@ -164,17 +164,23 @@ _EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _leader_edges(least: float, leaders: int = 32):
-    """Edges from each member of a node part to the leaders it resembles; linear work."""
+    """Spanning edges between the members of a node part and the leaders they resemble.
+
+    Linear work; the members come by key, so the trees tend to choose the same leaders and
+    give the same edges.
+    """
 
     def work(batches):
         def rows():
             for _, (keys, bits) in groups_of(batches, 2):
                 table = _bits(bits)
                 chosen: list[int] = []
+                joined = _Joined(len(keys))
                 for i in range(len(keys)):
                     like = (table[chosen] == table[i]).mean(axis=1) >= least if chosen else np.zeros(0, bool)
                     for j in np.flatnonzero(like).tolist():
-                        yield keys[i], keys[chosen[j]]
+                        if joined.join(i, chosen[j]):
+                            yield keys[i], keys[chosen[j]]
                     if not like.any() and len(chosen) < leaders:
                         chosen.append(i)
 
@@ -334,7 +340,8 @@ def jaccard_join(
     parts = with_bits.select(
         "node", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK_ROWS)).alias("part"), "key", "bits"
     )
-    first = _grouped(parts, ["node", "part"]).mapInArrow(_leader_edges(least), "a binary, b binary")
+    ordered = parts.repartition("node", "part").sortWithinPartitions("node", "part", "key")
+    first = ordered.mapInArrow(_leader_edges(least), "a binary, b binary")
     group, first_path = components(first)
 
     # Nodes that still span several groups, and what they add.
