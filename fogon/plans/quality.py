@@ -108,6 +108,29 @@ def null_counts(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def foreign_keys(df: DataFrame, table: str, parents: Tables) -> DataFrame:
+    """Rows of ``df`` whose key is NULL or not in the parent, for every column of ``parents``.
+
+    One pass: the keys of all columns are reduced to one row per (column, key) before they
+    meet the keys of all parents in one anti join.
+    """
+    def key(column: str) -> Column:
+        return F.struct(F.lit(column).alias("c"), F.col(column).cast("bigint").alias("k"))
+
+    keys = df.select(F.explode(F.array(*[key(c) for c in parents])).alias("p")).select("p.*")
+    known = _union([parent.select(key(c).alias("p")).select("p.*") for c, parent in parents.items()])
+    missing = keys.groupBy("c", "k").agg(F.count("*").alias("n")).join(known, ["c", "k"], "left_anti")
+    counted = missing.agg(*[F.sum(F.when(F.col("c") == c, F.col("n"))).alias(c) for c in parents])
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(c, F.lit(0)).alias("n")) for c in parents])
+    )
+    return counted.select(pairs.alias("p")).select(
+        F.concat(F.lit(f"foreign key {table}."), F.col("p.c")).alias("check_name"),
+        F.col("p.n").cast("double").alias("value"),
+        (F.col("p.n") == 0).alias("ok"),
+    )
+
+
 def constraints(tables: Tables) -> DataFrame:
     """Primary keys, unique ids, foreign keys and required columns of the star schema."""
     checks = []
@@ -118,11 +141,9 @@ def constraints(tables: Tables) -> DataFrame:
             checks.append(
                 duplicate_keys(df, UNIQUE_KEYS[name], f"unique {name}.{UNIQUE_KEYS[name][0]}")
             )
-        for column, parent in FOREIGN_KEYS.get(name, {}).items():
-            if parent in tables:
-                checks.append(
-                    orphans(df, tables[parent], column, f"foreign key {name}.{column}")
-                )
+        parents = {c: tables[p] for c, p in FOREIGN_KEYS.get(name, {}).items() if p in tables}
+        if parents:
+            checks.append(foreign_keys(df, name, parents))
         if name in PRIMARY_KEYS:
             checks.append(null_counts(df, name))
     return _union(checks)
