@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = write_stage(made, name)
         docs = spark.read.schema(made.schema).parquet(path)
         if before:
-            drop_stage(spark, before)
+            drop_stage(before)
         before = path
     return docs

@@ -7,16 +7,16 @@ look-up per byte, so a text is cut into words by two C calls.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogon.operators.staging import fresh_dir
+from fogon.sources.files import delete_folder
 
 # Every byte of a separator becomes a blank, A-Z become a-z, the rest stays.
 _TO_WORDS = bytes(
@@ -83,16 +83,10 @@ def write_stage(df: DataFrame, label: str) -> str:
     return path
 
 
-def read_stage(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path)
-
-
-def drop_stage(spark: SparkSession, *paths: str) -> None:
+def drop_stage(*paths: str) -> None:
     """Remove written intermediates that no later step reads."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        delete_folder(path)
 
 
 def in_key_order(df: DataFrame, key: str, extra: list[str], rows: int = 8192, with_next: bool = False) -> DataFrame:
@@ -141,4 +135,3 @@ def in_key_order(df: DataFrame, key: str, extra: list[str], rows: int = 8192, wi
 
 
 _FIRST = -(2**63)
-LETTER = re.compile(r"[^\W\d_]")

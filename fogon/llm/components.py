@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         following = write_stage(small, "edges")
         after = spark.read.schema(schema).parquet(following)
         changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
-        drop_stage(spark, path)
+        drop_stage(path)
         path = following
         if not changed:
             break

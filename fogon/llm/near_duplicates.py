@@ -356,7 +356,7 @@ def jaccard_join(
     second = _grouped(blocks, ["node", "i", "j"]).mapInArrow(_cross_edges(least), "a binary, b binary")
     known = group.select(F.col("node").alias("a"), F.col("root").alias("b"))
     whole, whole_path = components(second.unionByName(known))
-    drop_stage(spark, first_path, active_path)
+    drop_stage(first_path, active_path)
 
     # Exact verification of each group in pairs of bounded blocks.
     narrow = classes.select("key", "rep", "weight", "n").join(whole.withColumnRenamed("node", "key"), "key")
@@ -372,7 +372,7 @@ def jaccard_join(
     )
     verified = spark.read.schema("key binary, links long, root binary").parquet(verified_path)
     exact, exact_path = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    drop_stage(spark, whole_path)
+    drop_stage(whole_path)
 
     found = (
         classes.select("key", "rep", "weight")

@@ -31,10 +31,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogon.llm.common import docs_of, drop_stage, emit, write_stage
+from fogon.llm.common import docs_of, emit, write_stage
 from fogon.llm.tokens import encoder
 
 GROUPS = 160
