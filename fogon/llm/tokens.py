@@ -31,7 +31,7 @@ _LATIN = re.compile(r"[!-~À-ÖØ-öø-İĲ-ž ]+")
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Entries of one generation in a worker (about 150 bytes each); two are kept.
-_KEPT = 250_000
+_KEPT = 350_000
 _MARKS = frozenset(".,;:!?")
 
 
@@ -76,7 +76,10 @@ class TextEncoder:
         self._model = self.tokenizer.model
 
     def _word(self, word: str) -> bytes:
-        stand_in = word.encode().decode("latin-1").translate(self._letters)
+        if word.isascii() and word[-1] != " ":
+            stand_in = "Ġ" + word[1:] if word[0] == " " else word
+        else:
+            stand_in = word.encode().decode("latin-1").translate(self._letters)
         ids = [t.id for t in self._model.tokenize(stand_in)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -84,25 +87,20 @@ class TextEncoder:
         """Ids of a piece that the tokenizer would cut off as well."""
         if not piece:
             return b""
-        if piece.isascii():
-            # A word, perhaps with one mark behind it, needs no pattern.
-            if self.word_end:
-                piece = piece.lower()
-                blank = 0
-            else:
-                blank = piece[0] == " "
-            if piece[blank:].isalpha():
-                return self._word(piece)
-            if piece[-1] in _MARKS and piece[blank:-1].isalpha():
-                return self.words[piece[:-1]] + self.words[piece[-1]]
-        if _LATIN.fullmatch(piece):
-            if self.word_end:
-                words = _WORD_END.findall(unicodedata.normalize("NFC", piece).lower())
-            else:
-                words = _BYTE_LEVEL.findall(piece)
-            return b"".join(map(self.words.__getitem__, words))
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not _LATIN.fullmatch(piece):
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if self.word_end:
+            piece = (piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()
+        blank = piece[0] == " "
+        # A word, perhaps with one mark behind it, needs no pattern.
+        if piece[blank:].isalpha():
+            return self._word(piece)
+        if piece[-1] in _MARKS and piece[blank:-1].isalpha():
+            word = self.after_blank[piece[1:-1]] if blank else self.plain[piece[:-1]]
+            return word + self.words[piece[-1]]
+        words = (_WORD_END if self.word_end else _BYTE_LEVEL).findall(piece)
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
