@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from fogon.llm.common import docs_of, emit, write_stage
 from fogon.llm.tokens import encoder
 
-GROUPS = 160
+GROUPS = 320
 
 #: (length, first rank, count, first sequence, offset)
 Run = tuple[int, int, int, int, int]
