@@ -8,10 +8,9 @@ the text and end mark of assistant turns. Other turns and all role headers are m
 A turn is rendered as ``<|role|>\\ntext<|end|>\\n``; ``<|`` inside a text becomes ``< |``, so a
 text cannot forge a turn.
 
-The prefix is found without gathering conversations: the two sides are lined up by turn
-position, and the prefix length is the smallest position at which they differ, an
-aggregate that combines before the shuffle. Conversations are gathered only as the one
-string that is their output row.
+The two sides are lined up by turn position, and the prefix length is the smallest position
+at which they differ. All steps are windows and groups of a pair, so turns are shuffled once
+to be paired and once to be formatted; a pair meets in a task as its output is one row.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first, and a repeated row
 counts once; a null role is ``user``, a null text the empty one; a conversation without a
@@ -33,23 +32,34 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     turn and goes on, from that turn number, with the turns of the neighbouring
     conversation (id with its last bit flipped).
     """
-    turns = turns.select("conv_id", "turn", "role", "text").distinct()
-    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("cut"))
-    known = turns.join(
-        last.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left"
-    ).drop("c")
-    kept = known.where(F.col("cut").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("cut")))
-    # The neighbour's turns from the cut on. A conversation id comes once in `last`.
-    other = last.withColumn("neighbour", F.col("conv_id").bitwiseXOR(F.lit(1))).select(
-        F.col("conv_id").alias("pair_id"), "neighbour", "cut"
+    # Neighbours share a group, so one shuffle brings together all that follows.
+    group = F.shiftright("conv_id", 1)
+    rows = (
+        turns.select("conv_id", "turn", "role", "text", group.alias("pairing"))
+        .repartition("pairing")
+        .dropDuplicates(["pairing", "conv_id", "turn", "role", "text"])
     )
-    swapped = other.join(turns, (F.col("neighbour") == F.col("conv_id")) & (F.col("turn") >= F.col("cut")))
-    columns = ["turn", "role", "text"]
-    return (
-        turns.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), *columns)
-        .unionByName(kept.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), *columns))
-        .unionByName(swapped.select("pair_id", F.lit("rejected").alias("side"), *columns))
+    last = F.when(F.col("role") == "assistant", F.col("turn"))
+    odd = F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+    whole, own = Window.partitionBy("pairing"), Window.partitionBy("pairing", "conv_id")
+    known = rows.withColumns(
+        {
+            "cut": F.max(last).over(own),
+            "other_cut": F.when(odd, F.max(F.when(~odd, last)).over(whole)).otherwise(
+                F.max(F.when(odd, last)).over(whole)
+            ),
+        }
+    )
+    kept = F.col("cut").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("cut"))
+    other = F.col("conv_id").bitwiseXOR(F.lit(1))
+    # A turn is in its own pair's sides, and in the neighbour's rejected side from its cut on.
+    places = F.array(
+        F.struct(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), F.lit(True).alias("use")),
+        F.struct(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), kept.alias("use")),
+        F.struct(other.alias("pair_id"), F.lit("rejected").alias("side"), (F.col("turn") >= F.col("other_cut")).alias("use")),
     )
+    placed = known.select(F.explode(F.filter(places, lambda x: x["use"])).alias("at"), "turn", "role", "text")
+    return placed.select("at.pair_id", "at.side", "turn", "role", "text")
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:
@@ -58,7 +68,12 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     Columns: pair_id, n_common (turns of the prompt), prompt, chosen, rejected, chosen_mask,
     rejected_mask.
     """
-    rows = turns.select("pair_id", "side", "turn", "role", "text").distinct()
+    # One shuffle by pair; every step below finds a pair's rows together.
+    rows = (
+        turns.select("pair_id", "side", "turn", "role", "text")
+        .repartition("pair_id")
+        .dropDuplicates(["pair_id", "side", "turn", "role", "text"])
+    )
     order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
     placed = rows.withColumn(
         "pos", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy(*order)).cast("long")
@@ -67,20 +82,20 @@ def format_preferences(turns: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     # A position is common if both sides are there and equal.
-    by_position = placed.groupBy("pair_id", "pos").agg(
-        F.count("*").alias("n"),
-        (F.min(F.struct("role", "text")) == F.max(F.struct("role", "text"))).alias("same"),
-    )
-    different = (F.col("n") < 2) | ~F.col("same")
-    common = by_position.groupBy("pair_id").agg(
-        F.coalesce(F.min(F.when(different, F.col("pos"))) - 1, F.max("pos")).alias("n_common")
+    at = Window.partitionBy("pair_id", "pos")
+    turn = F.struct("role", "text")
+    different = (F.count("*").over(at) < 2) | (F.min(turn).over(at) != F.max(turn).over(at))
+    pair = Window.partitionBy("pair_id")
+    common = placed.withColumn("different", different).withColumn(
+        "n_common",
+        F.coalesce(F.min(F.when(F.col("different"), F.col("pos"))).over(pair) - 1, F.max("pos").over(pair)),
     )
-    rendered = placed.withColumns(
+    rendered = common.withColumns(
         {
             "head": F.concat(F.lit("<|"), "role", F.lit("|>\n")),
             "body": F.concat(F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("<|end|>")),
         }
-    ).join(common.withColumnRenamed("pair_id", "p"), F.col("pair_id").eqNullSafe(F.col("p"))).drop("p")
+    )
     # The prompt takes the common turns of the chosen side only.
     part = F.when(F.col("pos") <= F.col("n_common"), "prompt").otherwise(F.col("side"))
     pieces = rendered.where((F.col("pos") > F.col("n_common")) | (F.col("side") == "chosen")).select(
