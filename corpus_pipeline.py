@@ -20,31 +20,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fogon.llm import decontamination, langid, near_duplicates, packing, toxicity
-from fogon.llm.common import drop_stage, fold, write_stage
+from fogon.llm.common import drop_stage, fold, tune, write_stage
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.training_rows(docs, labels, fold()))
     return docs.where(toxicity.detect(model, docs["text"])["score"] < 0.3)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     model = langid.fit(docs.where(fold() != 2).select("doc_id", "lang", "text"))
     return docs.where(~langid.identify(model, docs["text"])["rejected"])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return near_duplicates.keep_one(docs)[0]
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.Decontaminator(docs, items)
     return docs.where(~found.hits(docs["text"])["contaminated"])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogon.operators.staging import fresh_dir
@@ -32,10 +32,16 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TO_WORDS).split() if text else []
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches: documents are large rows, and a worker holds a batch several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 class Interned(dict):
     """Word -> value of ``make(word)``, emptied at ``limit`` entries to bound its memory."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 

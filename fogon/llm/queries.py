@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fogon.llm import decontamination, fingerprints, html_text, langid, near_duplicates, packing, preferences, token_files, toxicity, warc
-from fogon.llm.common import fold
+from fogon.llm.common import fold, tune
 from fogon.operators.staging import fresh_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

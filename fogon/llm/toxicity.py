@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ MAX_LABELS = 200_000
 #: Words that enter the model at most; the strongest stay.
 MAX_WORDS = 50_000
 _RATE_SCORE = 1.0
+#: Words a task counts before it hands on what it has.
+_HELD = 100_000
 
 
 @dataclass
@@ -117,21 +120,21 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         counts = (Counter(), Counter())
 
         def flush():
-            for word_list in (list(counts[0].keys() | counts[1].keys()),):
-                for i in range(0, len(word_list), 20_000):
-                    part = word_list[i : i + 20_000]
+            for toxic, own in enumerate(counts):
+                items = iter(own.items())
+                while part := list(islice(items, 10_000)):
+                    words, n = zip(*part, strict=True)
+                    zero = [0] * len(n)
+                    columns = (n, zero) if toxic else (zero, n)
                     yield pa.record_batch(
-                        [pa.array(part, pa.binary()), pa.array([counts[1][w] for w in part], pa.int64()),
-                         pa.array([counts[0][w] for w in part], pa.int64())],
-                        schema=schema,
+                        [pa.array(words, pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], schema=schema
                     )
-            counts[0].clear()
-            counts[1].clear()
+                own.clear()
 
         for text, toxic in docs_of(batches):
             # A word counts once per text, so a text that repeats itself is one witness.
             counts[toxic == 1].update(set(word_bytes(text)))
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > _HELD:
                 yield from flush()
         yield from flush()
 
