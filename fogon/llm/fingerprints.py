@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +44,28 @@ def _digits(value: int, n: int) -> str:
     return raw[:n]
 
 
-def _leaves(paragraph: str) -> str:
-    """Leaf hashes of a paragraph, four digits each."""
-    words = word_bytes(paragraph)
-    if not words:
-        return ""
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype="uint64", count=len(words))
-    ends = np.flatnonzero((h & np.uint64(3)) == 0) + 1
-    starts = np.concatenate(([0], ends[ends < len(h)]))
+def _leaves(paragraphs: list[str]) -> list[str]:
+    """Leaf hashes of each paragraph, four digits a leaf; one pass over the whole text."""
+    cut = [word_bytes(p) for p in paragraphs]
+    sizes = np.fromiter(map(len, cut), dtype="int64", count=len(cut))
+    n = int(sizes.sum())
+    if not n:
+        return [""] * len(paragraphs)
+    h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(cut)), dtype="uint64", count=n)
+    borders = np.cumsum(sizes)
+    ends = (h & np.uint64(3)) == 0
+    ends[borders[sizes > 0] - 1] = True  # a leaf never leaves its paragraph
+    stops = np.flatnonzero(ends) + 1
+    starts = np.concatenate(([0], stops[:-1]))
     # Order within a leaf counts: word i of a leaf is multiplied by an odd number of its place.
-    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    place = np.arange(n) - np.repeat(starts, stops - starts)
     mixed = h * (place.astype("uint64") * np.uint64(2) + np.uint64(1))
     leaf = np.add.reduceat(mixed, starts) * _MIX
     leaf ^= leaf >> np.uint64(32)
     codes = np.stack([(leaf >> np.uint64(6 * i)) & np.uint64(63) for i in range(_LEAF)], axis=1)
-    return _DIGITS[codes.astype("int64")].tobytes().decode()
+    digits = _DIGITS[codes.astype("int64")].tobytes().decode()
+    upto = (np.searchsorted(stops, borders, side="right") * _LEAF).tolist()
+    return [digits[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
 
 def fingerprint(text: str | None) -> str:
@@ -73,13 +81,14 @@ def fingerprint(text: str | None) -> str:
             section.clear()
             hashes.clear()
 
-    for paragraph in (text or "").splitlines(keepends=True):
+    paragraphs = (text or "").splitlines(keepends=True)
+    for paragraph, leaves in zip(paragraphs, _leaves(paragraphs), strict=True):
         raw = paragraph.encode("utf-8", "surrogatepass")
         root.update(len(raw).to_bytes(8, "big"))
         root.update(raw)
         own = xxhash.xxh3_64_intdigest(raw)
         hashes.append(own.to_bytes(8, "big"))
-        section.append("." + _digits(own, _PARAGRAPH) + _leaves(paragraph))
+        section.append("." + _digits(own, _PARAGRAPH) + leaves)
         if own % 8 == 0 or not paragraph.strip():
             close()
     close()
