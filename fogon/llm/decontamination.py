@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +36,7 @@ from fogon.llm.common import docs_of, emit, word_bytes
 SHINGLE = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HIT = "n_words long, starts array<int>, ends array<int>, items array<string>"
+_SUMMARY = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -185,25 +185,35 @@ class Decontaminator:
 
     def hits(self, text: Column) -> Column:
         """struct<n_words, n_hit, n_items, items_sha256, contaminated> of a text column."""
-        found = [_finder(block)(text) for block in self.blocks]
+        found = None
+        for i, block in enumerate(self.blocks):
+            last = i == len(self.blocks) - 1
+            before = [] if found is None else [found["starts"], found["ends"], found["items"]]
+            found = _finder(block, last)(text, *before)
+        return found
 
-        def both(name: str) -> Column:
-            return reduce(F.concat, [f[name] for f in found])
 
-        return _summary(found[0]["n_words"], both("starts"), both("ends"), both("items"))
+def _finder(block, last: bool):
+    """UDF of (text, starts, ends, items found so far); the last one sums up, so a benchmark
+    of one block costs one Python step."""
 
-
-def _finder(block):
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def find(*columns: pd.Series) -> pd.DataFrame:
         own: Block = block.value
         rows = []
-        for text in texts:
+        for text, *before in zip(*columns, strict=True):
             n, starts, ends, found = own.matches(text)
-            rows.append((n, starts, ends, sorted({i for w in found for i in own.items[w]})))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+            items = {i for w in found for i in own.items[w]}
+            if before:
+                starts, ends, items = [*before[0], *starts], [*before[1], *ends], items.union(before[2])
+            rows.append(_summary(n, starts, ends, items) if last else (n, starts, ends, sorted(items)))
+        return pd.DataFrame(rows, columns=_names(_SUMMARY if last else _HIT))
+
+    find.__annotations__ = {"columns": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(find, _SUMMARY if last else _HIT)
 
-    find.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(find, _HIT)
+
+def _names(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(", ")]
 
 
 def covered(starts, ends) -> int:
@@ -215,18 +225,10 @@ def covered(starts, ends) -> int:
     return total
 
 
-def _summary(n_words: Column, starts: Column, ends: Column, items: Column) -> Column:
-    def summary(n: pd.Series, a: pd.Series, b: pd.Series, i: pd.Series) -> pd.DataFrame:
-        rows = []
-        for words, s, e, names in zip(n, a, b, i, strict=True):
-            hit, names = covered(s, e), sorted(set(names))
-            digest = hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((words, hit, len(names), digest, bool(hit > 0 and 20 * hit >= words)))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    summary.__annotations__ = dict.fromkeys("nabi", pd.Series) | {"return": pd.DataFrame}
-    made = F.pandas_udf(summary, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return made(n_words, starts, ends, items)
+def _summary(words: int, starts, ends, items: set[str]) -> tuple:
+    hit, names = covered(starts, ends), sorted(items)
+    digest = hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()
+    return words, hit, len(names), digest, bool(hit > 0 and 20 * hit >= words)
 
 
 SQL = r"""

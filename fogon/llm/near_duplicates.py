@@ -41,18 +41,23 @@ from fogon.llm.components import components
 
 TREES, DEPTH = 16, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = Interned(lambda w: xxhash.xxh3_64_intdigest(w))
 _EMPTY = np.empty(0, "uint64")
 #: Rows and shingles of a block; a task holds two blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 17
 
 
-def shingles(text: str | None, k: int = 5) -> np.ndarray:
+def word_hashes() -> Interned:
+    """Hashes of words, kept by a task for as long as it runs."""
+    return Interned(xxhash.xxh3_64_intdigest)
+
+
+def shingles(text: str | None, k: int = 5, known: Interned | None = None) -> np.ndarray:
     """Sorted distinct hashes of the text's runs of ``k`` words."""
     words = word_bytes(text)
     if not words:
         return _EMPTY
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype="uint64", count=len(words))
+    hash_of = xxhash.xxh3_64_intdigest if known is None else known.__getitem__
+    h = np.fromiter(map(hash_of, words), dtype="uint64", count=len(words))
     k = min(k, len(h))
     out = np.zeros(len(h) - k + 1, dtype="uint64")
     for i in range(k):
@@ -103,8 +108,9 @@ _SIGNED = pa.schema(
 def _signed(docs: DataFrame, k: int, d: int) -> DataFrame:
     def work(batches):
         def rows():
+            known = word_hashes()
             for doc_id, text in docs_of(batches):
-                own = shingles(text, k)
+                own = shingles(text, k, known)
                 if len(own):
                     sig = signature(own)
                     yield (
@@ -426,8 +432,9 @@ def _sets(docs: DataFrame, work: DataFrame, k: int) -> DataFrame:
 
     def cut(batches):
         def rows():
+            known = word_hashes()
             for text, key, weight, root, nb in docs_of(batches):
-                own = shingles(text, k).tobytes()
+                own = shingles(text, k, known).tobytes()
                 # A repeated document id may bring another text; the key tells.
                 if xxhash.xxh3_128_digest(own) == key:
                     yield key, weight, root, nb, own

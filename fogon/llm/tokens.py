@@ -43,17 +43,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """piece -> ids. A full generation steps back; what is used again moves to the new one."""
+    """At most ``2 * limit`` entries: piece -> ids. A full generation steps back; what is used again moves to the new one."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.limit = make, {}, limit
 
     def __missing__(self, piece):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
-        if len(self) >= _KEPT:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[piece] = value
@@ -69,9 +69,11 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             self.word_end = json.load(file)["model"].get("end_of_word_suffix") == "</w>"
-        self.words = _Known(self._word)
-        self.plain = _Known(self._piece)
-        self.after_blank = _Known(lambda p: self._piece(" " + p))
+        # The word-end vocabulary is not case-sensitive, so fewer words do.
+        limit = _KEPT // 2 if self.word_end else _KEPT
+        self.words = _Known(self._word, limit)
+        self.plain = _Known(self._piece, limit)
+        self.after_blank = _Known(lambda p: self._piece(" " + p), limit)
         self._letters = _byte_letters()
         self._model = self.tokenizer.model
 
