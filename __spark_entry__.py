@@ -257,6 +257,13 @@ def _routing_assign(src: TpchSources) -> DataFrame:
     )
 
 
+def _routing_assign_fixed(src: TpchSources) -> DataFrame:
+    """A month's orders for a fixed fleet: surplus orders go to the least loaded courier."""
+    orders = routing.deliverable(src.orders(line_count=False), src.locations(seen=False))
+    month = F.call_function("div", F.col("day"), F.lit(100)).alias("month")
+    return assign_couriers(orders.select("order_id", month, "zone"), ["month"], grow_fleet=False)
+
+
 def _routing_stops(src: TpchSources) -> DataFrame:
     return routing.plan_deliveries(src.orders(line_count=False), src.locations(seen=False))
 
@@ -375,6 +382,7 @@ PLANS: dict[str, Callable[[TpchSources], DataFrame]] = {
     "dq_report": _dq_report,
     "routing_deliverable": _routing_deliverable,
     "routing_assign": _routing_assign,
+    "routing_assign_fixed": _routing_assign_fixed,
     "routing_sequence": _routing_sequence,
     "routing_report": _routing_report,
     "routing_retimed": _routing_retimed,

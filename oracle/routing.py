@@ -83,9 +83,19 @@ FROM scan s JOIN route r USING (day, courier) JOIN naive v USING (day, courier)
 }
 
 
-def _assignments() -> str:
-    head = with_ctes(["orders_f", "locations"], "", {k: v for k, v in ASSIGN.items() if "(" not in k}, recursive=True)
-    return head.rstrip() + ",\n" + _plain_ctes({k: v for k, v in ASSIGN.items() if "(" in k})
+def _assignments(ctes: dict[str, str] = ASSIGN) -> str:
+    head = with_ctes(["orders_f", "locations"], "", {k: v for k, v in ctes.items() if "(" not in k}, recursive=True)
+    return head.rstrip() + ",\n" + _plain_ctes({k: v for k, v in ctes.items() if "(" in k})
+
+
+# A month of orders for a fleet of four: the loads pass the capacity and orders spill.
+FIXED_FLEET = {
+    **ASSIGN,
+    "todo": f"SELECT order_id, day // 100 AS day, zone FROM ({DELIVERABLE})",
+    "queue": ASSIGN["queue"].replace(
+        "greatest(4, CAST(ceil(count(*) OVER (PARTITION BY day) / 10.0) AS BIGINT))", "CAST(4 AS BIGINT)"
+    ),
+}
 
 
 def _tours(body: str, more: dict[str, str] | None = None) -> str:
@@ -121,6 +131,8 @@ SQL = {
     "routing_deliverable": with_ctes(["orders_f", "locations"], DELIVERABLE),
     "routing_assign": _assignments()
     + "\nSELECT order_id, p.day, zone, courier FROM play p JOIN todo USING (order_id) WHERE p.step > 0",
+    "routing_assign_fixed": _assignments(FIXED_FLEET)
+    + "\nSELECT order_id, p.day AS month, zone, courier FROM play p JOIN todo USING (order_id) WHERE p.step > 0",
     "routing_sequence": _tours(SEQUENCE),
     "routing_report": _tours(REPORT),
     "routing_retimed": _tours(RETIMED, {"mesh": MESH}),
