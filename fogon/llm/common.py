@@ -125,14 +125,16 @@ def in_key_order(df: DataFrame, key: str, extra: list[str], rows: int = 8192, wi
         firsts = sorted((r.pid, r.k) for r in found)
         before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
 
-        @F.pandas_udf("int")
-        def range_before(k: pd.Series) -> pd.Series:
-            return k.map(before).astype("Int32")
+        @F.pandas_udf("own int, before int")
+        def ranges_of(k: pd.Series) -> pd.DataFrame:
+            own = np.searchsorted(bounds, k.to_numpy(), side="right")
+            return pd.DataFrame({"own": own, "before": k.map(before).astype("Int32")})
 
-        dealt = dealt.select(
+        both = ranges_of(rank).alias("both")
+        dealt = df.select("k", *extra, both).select(
             "k", *extra, F.explode(F.array(
-                F.struct("pid", F.lit(0).alias("ghost")),
-                F.struct(range_before(rank).alias("pid"), F.lit(1).alias("ghost")),
+                F.struct(F.col("both.own").alias("pid"), F.lit(0).alias("ghost")),
+                F.struct(F.col("both.before").alias("pid"), F.lit(1).alias("ghost")),
             )).alias("to"),
         ).select("to.pid", "to.ghost", "k", *extra).where("pid IS NOT NULL")
     else:
