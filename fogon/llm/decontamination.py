@@ -59,9 +59,9 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_ids(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` word numbers."""
-    n = len(ids) - k + 1
-    out = np.zeros(max(0, n), dtype="uint64")
+    """Hash of every run of ``k`` word numbers; none if there are fewer numbers."""
+    n = max(0, len(ids) - k + 1)
+    out = np.zeros(n, dtype="uint64")
     for i in range(k):
         out = (out ^ ids[i : i + n].astype("uint64")) * _MIX
         out ^= out >> np.uint64(29)

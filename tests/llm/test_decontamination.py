@@ -65,3 +65,16 @@ def test_prefix_is_the_rarest_token():
     tokens = [(k, t) for _, _, k, t in block.tokens()]
     block.order_by_rarity(dict(zip(tokens, (9, 2, 5), strict=True)))
     assert block.prefix[5][2].tolist() == [1]
+
+
+def test_short_runs_beside_items_of_any_length(spark):
+    """Production window size; runs of 1 to 4 benchmark words meet shingles of 5."""
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "uno"), (2, "due tre"), (3, "alfa beta gamma"), (5, "w1 w2 q r s"), (20, long)]
+    texts = ["x w1 w2 w3 y", "uno", "z due tre z", "w1 x w2 w3 z w4 w5 w6 w7 z", "alfa beta gamma z alfa beta", f"z {long} z", "w1 w2 q r s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for block in (100_000, 2):
+        found = dc.Decontaminator(docs, items, block_windows=block)
+        got = docs.select("doc_id", found.hits(docs["text"]).alias("h")).select("doc_id", "h.*").collect()
+        assert sorted((tuple(r) for r in got), key=str) == by_hand(list(enumerate(texts)), rows, 13)
