@@ -5,7 +5,10 @@ options and the like close and open by themselves; stray end tags are ignored; u
 elements end with the text). Visibility rules drop what a browser does not show: head,
 script, style and similar elements, ``hidden``, hidden inputs, closed ``details`` and
 ``dialog``, ``display:none`` and ``visibility:hidden`` (a ``visible`` descendant shows again),
-inline or through simple selectors (tag, .class, #id, tag.class) of the page's style sheets.
+inline or through simple selectors (tag, .class, #id, tag.class) of the page's style sheets, in
+cascade order (importance, inline style, specificity, place); another ``display`` shows again.
+Rules for print are left out; of rules under a condition that depends on the screen or the browser
+only those that show something count. Text of svg and math is shown but for definitions.
 All other text is emitted: blocks on lines of their own with blank lines around paragraphs
 and headings, list items with markers and indents, table cells in aligned columns (spans
 included), ``pre`` verbatim, ``br`` and ``hr`` as lines, ``alt`` texts, values of buttons.
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes plaintext".split())
 PLAIN = set("textarea title".split())
-UNSEEN = set("head script style template noscript iframe object audio video canvas datalist svg math title noembed noframes param area".split())
+UNSEEN = set("head script style template noscript iframe object audio video canvas datalist title noembed noframes param area".split())
+#: Not drawn inside svg or math.
+FOREIGN_UNSEEN = set("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul "
@@ -56,19 +61,19 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
 _SIMPLE = re.compile(r"([a-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "tag", "unseen")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], unseen: bool = False):
+        self.tag, self.attributes, self.children, self.unseen = tag, attributes, [], unseen
 
 
-def build(html: str) -> tuple[Node, str]:
-    """(root, style sheets) of a page."""
+def build(html: str) -> tuple[Node, list[tuple[str, str]]]:
+    """(root, style sheets with their media) of a page."""
     root = Node("#root", {})
     stack, styles, at, n = [root], [], 0, len(html)
     open_: Counter = Counter()  # open elements by tag: a search starts only where it can succeed
@@ -89,7 +94,10 @@ def build(html: str) -> tuple[Node, str]:
                 return
 
     def opened(tag: str, attributes: dict) -> None:
-        node = Node(tag, attributes)
+        foreign = open_["svg"] > 0 or open_["math"] > 0
+        if foreign and tag == "text":
+            stack[-1].children.append(" ")  # texts of a drawing have places of their own
+        node = Node(tag, attributes, foreign and tag in FOREIGN_UNSEEN)
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -141,61 +149,118 @@ def build(html: str) -> tuple[Node, str]:
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 opened("tr", {})
             opened(tag, attributes)
+            if (found[3] or "").endswith("/") and (open_["svg"] > 0 or open_["math"] > 0) and stack[-1].tag == tag:
+                cut(len(stack) - 1)  # only svg and math have empty elements of this form
+                continue
             if tag in RAW or tag in PLAIN:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 stop = end.start() if end else n
                 if tag == "style":
-                    styles.append(html[at:stop])
+                    styles.append((attributes.get("media", ""), html[at:stop]))
                 elif tag in PLAIN:
                     text(html[at:stop])
                 at = stop
-    return root, "\n".join(styles)
-
-
-def hiding_rules(sheet: str) -> list[tuple[str, str, str, str]]:
-    """(tag, kind, name, property value) of rules that set display or visibility."""
+    return root, styles
+
+
+def _applies(media: str) -> bool | None:
+    """Whether a list of media queries holds on a screen; None if that depends on the screen."""
+    answers = set()
+    for query in media.lower().split(","):
+        words = query.split()
+        negated = words[:1] == ["not"]
+        kind = next((w for w in words if w not in ("not", "only")), "all")
+        if "(" in query:
+            # Of a type that is no screen, whatever else is asked.
+            known = kind.isalpha() and kind not in ("all", "screen")
+            answers.add(negated if known else None)
+        else:
+            answers.add((kind in ("all", "screen")) != negated)
+    return True if True in answers else None if None in answers else False
+
+
+def hiding_rules(sheets: list[tuple[str, str]]) -> list[tuple[tuple, str, str, str, str, str]]:
+    """(rank in the cascade, tag, kind, name, property, value) of rules that set display or visibility, by rank."""
+    out: list[tuple] = []
+    for media, sheet in sheets:
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S).replace("<!--", " ").replace("-->", " ")
+        # Open blocks: (prelude, whether its rules apply, start of the body).
+        blocks: list[tuple[str, bool | None, int]] = []
+        applies, start = _applies(media), 0
+        for m in _CSS.finditer(css):
+            mark = m[0]
+            if mark == "{":
+                blocks.append((css[start : m.start()].strip(), applies, m.end()))
+                prelude = blocks[-1][0]
+                if prelude.startswith("@"):
+                    name = re.match(r"@([\w-]*)", prelude)[1].lower()
+                    if name == "media":
+                        own = _applies(prelude[6:])
+                    else:
+                        own = True if name == "layer" else None if name in ("supports", "container", "scope") else False
+                    applies = False if False in (own, applies) else None if None in (own, applies) else True
+            elif mark == "}" and blocks:
+                prelude, applies, begin = blocks.pop()
+                if applies is not False and not prelude.startswith("@"):
+                    _add_rules(out, prelude, css[begin : m.start()], applies)
+            elif mark not in ("}", ";") or blocks and not blocks[-1][0].startswith("@"):
+                continue  # a string, or the end of a declaration
+            start = m.end()
+    return sorted(out, key=lambda r: r[0])
+
+
+def _add_rules(out: list, selectors: str, body: str, sure: bool | None) -> None:
+    effects = [e for e in _effects(body) if sure or e[1] not in ("none", "hidden")]
+    for s in selectors.split(",") if effects else ():
+        s = s.strip()
+        m = _SIMPLE.match(s.lower() if "." not in s and "#" not in s else s)
+        if m and s:
+            specific = (m[2] == "#", m[2] == ".", bool(m[1]))
+            for name, value, important in effects:
+                out.append(((important, *specific, len(out)), m[1] or "", m[2] or "", m[3] or "", name, value))
+
+
+def _effects(style: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important): display ``none`` or ``shown``, visibility ``hidden`` or ``visible``."""
     out = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        effect = _effect(body)
-        if effect:
-            for s in selectors.split(","):
-                m = _SIMPLE.match(s.strip().lower() if "." not in s and "#" not in s else s.strip())
-                if m and s.strip():
-                    out.append((m[1] or "", m[2] or "", m[3] or "", effect))
-    return out
-
-
-def _effect(style: str) -> str:
-    """``none``, ``hidden``, ``visible`` or nothing."""
-    effect = ""
     for part in style.lower().split(";"):
         name, _, value = part.partition(":")
-        value = value.replace("!important", "").strip()
-        if name.strip() == "display" and value == "none":
-            return "none"
-        if name.strip() == "visibility" and value in ("hidden", "collapse", "visible"):
-            effect = "visible" if value == "visible" else "hidden"
-    return effect
+        name, important = name.strip(), "!important" in value.replace("! ", "!")
+        value = value.partition("!")[0].strip()
+        if name == "display" and value:
+            out.append((name, "none" if value == "none" else "shown", important))
+        elif name == "visibility" and value in ("hidden", "collapse", "visible", "initial"):
+            out.append((name, "visible" if value in ("visible", "initial") else "hidden", important))
+    return out
 
 
 def _shown(node: Node, rules: list, parent: Node) -> str:
     """Effect of an element on what is shown: ``none``, ``hidden``, ``visible`` or nothing."""
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
-        return "none"
-    if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
+    if node.tag in UNSEEN or node.unseen or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return "none"
     if parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
         return "none"
-    effect = ""
+    own: dict[str, str] = {}
+    # A style sheet can show what the browser's own one hides.
+    if "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
+        own["display"] = "none"
+    inline = _effects(a["style"]) if "style" in a else []
+    last: list[tuple[str, str]] = []
     if rules:
         classes = a.get("class", "").split()
-        for tag, kind, name, what in rules:
+        for rank, tag, kind, name, what, value in rules:
             if (not tag or tag == node.tag) and (
                 not kind or kind == "." and name in classes or kind == "#" and name == a.get("id")
             ):
-                effect = what
-    return _effect(a["style"]) or effect if "style" in a else effect
+                if rank[0]:
+                    last.append((what, value))
+                else:
+                    own[what] = value
+    own.update((what, value) for what, value, important in inline if not important)
+    own.update(last)
+    own.update((what, value) for what, value, important in inline if important)
+    return "none" if own.get("display") == "none" else own.get("visibility", "")
 
 
 def width(text: str) -> int:
@@ -323,8 +388,8 @@ def render(html: str | None) -> str:
     """All visible text of a page."""
     if not html:
         return ""
-    root, sheet = build(html)
-    rules = hiding_rules(sheet)
+    root, sheets = build(html)
+    rules = hiding_rules(sheets)
     flow = _Flow()
     flows: list[_Flow] = [flow]
     tables: list[_Table] = []

@@ -85,3 +85,42 @@ def test_rows_of_any_kind(spark):
     )
     assert sorted(extract(frame).collect(), key=str) == sorted([(1, "u", "a"), (1, "u", "a"), (None, None, "")], key=str)
     assert extract(frame.limit(0)).collect() == []
+
+
+SHEETS = {
+    "print": ("@media print { .x{display:none} p{display:none} }", "", True),
+    "not print": ("@media not print{.x{display:none}}", "", False),
+    "screen": ("@media screen, print { .x{display:none} }", "", False),
+    "narrow screen": ("@media (max-width:600px){.x{display:none}}", "", True),
+    "wide screen shows": (".x{display:none} @media screen and (min-width:600px){.x{display:block}}", "", True),
+    "rule after a block": ("@import 'a{'; @media print{.y{color:red}} .x{display:none}", "", False),
+    "font and frames": ("@font-face{src:url(a)} @keyframes k{from{display:none} to{color:red}} .x{display:none}", "", False),
+    "later rule": (".x{display:none} .x{display:block}", "", True),
+    "later rule hides": (".x{display:flex} .x{display:none}", "", False),
+    "id before class": ("#i{display:block} .x{display:none}", "", True),
+    "important": (".x{display:none !important} #i{display:block}", "", False),
+    "inline": (".x{display:none}", "style='display:block'", True),
+    "inline hides": (".x{display:block}", "style='display:none'", False),
+    "inline against important": (".x{display:none!important}", "style='display:block'", False),
+    "visibility alone": (".x{visibility:hidden} .x{display:block}", "", False),
+    "hidden attribute": (".x{display:block}", "hidden", True),
+}
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_cascade(name):
+    sheet, attribute, shown = SHEETS[name]
+    assert render(f"<style>{sheet}</style>a<p class=x id=i {attribute}>b</p>") == ("a\n\nb" if shown else "a")
+
+
+def test_style_element_for_print():
+    assert render("<style media=print>p{display:none}</style><p>a") == "a"
+    assert render("<style media='screen'>p{display:none}</style>b<p>a") == "b"
+
+
+def test_svg_and_math():
+    svg = "<svg><title>t</title><defs><text>d</text></defs><path d=''/><text>one</text><g><text x=1>two <tspan>three</tspan></text></g><desc/></svg>"
+    assert render(f"<p>a {svg} b") == "a one two three b"
+    assert render("<svg><title/><text>one</text></svg><p>b") == "one\n\nb"
+    math = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math>"
+    assert render(f"<p>a {math} b") == "a x=1 b"
