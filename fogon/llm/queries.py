@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fogon.llm import decontamination, fingerprints, html_text, langid, near_duplicates, packing, preferences, prefix_trie, token_files, toxicity, warc
+from fogon.llm import collocations, decontamination, fingerprints, html_text, langid, near_duplicates, packing, preferences, prefix_trie, token_files, toxicity, warc
 from fogon.llm.common import fold, tune
 from fogon.operators.staging import fresh_dir
 
@@ -83,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
@@ -117,5 +122,6 @@ SQL: dict[str, str] = {
     "op6_preferences": preferences.SQL,
     "op7_decontamination": decontamination.SQL,
     "op8_warc": OP8_SQL,
+    "op11_collocations": collocations.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
