@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fogon.llm import collocations, decontamination, fingerprints, html_text, langid, near_duplicates, packing, preferences, prefix_trie, token_files, toxicity, warc
+from fogon.llm import collocations, decontamination, fingerprints, html_text, langid, near_duplicates, packing, personal_data, preferences, prefix_trie, token_files, toxicity, warc
 from fogon.llm.common import fold, tune
 from fogon.operators.staging import fresh_dir
 
@@ -87,6 +87,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
+    "op12_personal_data": op12_personal_data,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
