@@ -57,21 +57,17 @@ def rows_of(spark, texts, **options):
 
 def test_contexts_lead_to_identifiers_of_other_forms(spark):
     """Seeds make "call me on" trusted; a local number found there makes "my number is" trusted."""
-    texts = [f"please call me on +1 212 555 {i:04d} today" for i in range(1000, 1012)]
-    local = [f"020 7946 {i:04d}" for i in range(4)]
-    texts += [f"please call me on {n} today" for n in local]
+    seeds, local = [f"+1 212 555 {i:04d}" for i in range(1000, 1080)], [f"020 7946 {i:04d}" for i in range(12)]
+    texts = [f"please call me on {n} today" for n in seeds + local]
     texts += [f"well my number is {n}." for n in local] + ["well my number is 030 1234 5678!"]
     texts += ["invoice total 7946 0001 2222 paid", "my number is unknown", None, "", "call me on 5"]
     got = rows_of(spark, texts)
-    assert all(got[i].n_phone == 1 and got[i].n_found == 0 for i in range(12))
-    for i in range(12, 16):
-        assert got[i].spans == "phone:18:31" and got[i].n_phone == 0 and got[i].n_found == 1
-    for i in range(16, 20):
-        assert got[i].spans == "phone:18:31"
-    assert got[20].spans == "phone:18:31"
-    for i in range(21, 26):
+    assert all(got[i].n_phone == 1 and got[i].n_found == 0 for i in range(80))
+    for i in range(80, 105):
+        assert (got[i].spans, got[i].n_phone, got[i].n_found) == ("phone:18:31", 0, 1)
+    for i in range(105, 110):
         assert (got[i].spans, got[i].n_found) == ("", 0)
-    assert rows_of(spark, texts, rounds=1)[20].spans == ""
+    assert rows_of(spark, texts, rounds=1)[104].spans == ""
 
 
 def test_patterns_of_mixed_company_are_not_trusted(spark):
