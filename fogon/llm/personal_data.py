@@ -15,7 +15,7 @@ scores the sides in turn:
 Seeds keep score 1. A pattern needs ``LEAST_SEEDS`` distinct scored instances. After each round
 instances found by one pattern support the next ones, as identifiers of new forms do: a local
 phone number after "call me on" is not a seed, but lets "my number is" be trusted. Rounds end
-when no instance changes kind, at the latest after ``rounds``. An occurrence is reported if its
+when no instance changes its kind or score, at the latest after ``rounds``. An occurrence is reported if its
 instance has a kind and one of its own patterns is confident of that kind, so the same digits
 elsewhere are left alone.
 
@@ -206,7 +206,7 @@ def _confidence(edges: DataFrame, scores: DataFrame) -> DataFrame:
     ).where(F.col("confidence") >= LEAST_CONFIDENCE)
 
 
-def bootstrap(found: DataFrame, rounds: int = 4) -> tuple[DataFrame, list[str]]:
+def bootstrap(found: DataFrame, rounds: int = 6) -> tuple[DataFrame, list[str]]:
     """(row, kind, start, end) of identifiers that are no seeds, from (row, kind, start, end,
     instance, patterns, forms); also the folders it reads."""
     spark = found.sparkSession
@@ -224,7 +224,7 @@ def bootstrap(found: DataFrame, rounds: int = 4) -> tuple[DataFrame, list[str]]:
         best = F.max_by(F.struct("kind", "confidence"), F.struct("confidence", -F.col("kind"))).alias("best")
         named = (
             edges.join(forms, "instance").join(trusted, ["pattern", "kind"]).groupBy("instance").agg(best)
-            .select("instance", "best.kind", F.col("best.confidence").alias("score"))
+            .select("instance", "best.kind", F.round("best.confidence", 3).alias("score"))
         )
         path = write_stage(named, "pii-instances")
         paths.append(path)
@@ -232,7 +232,7 @@ def bootstrap(found: DataFrame, rounds: int = 4) -> tuple[DataFrame, list[str]]:
         if known is None:
             same = not following.limit(1).count()
         else:
-            keys = ["instance", "kind"]
+            keys = ["instance", "kind", "score"]
             same = not (following.join(known, keys, "left_anti").limit(1).count() + known.join(following, keys, "left_anti").limit(1).count())
         known = following
         if same:
@@ -251,7 +251,7 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(":", name, spans["start"].cast("string"), spans["end"].cast("string"))
 
 
-def personal_data(docs: DataFrame, rounds: int = 4) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 6) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base and found
     ones as kind:start:end, by kind, then start) and n_found for every row of (doc_id, text).
     The folders that the result reads stay in the shared staging folder.
