@@ -5,16 +5,19 @@ the finest level x the entity that is counted distinctly) with map-side combinin
 ``Expand`` then multiplies those reduced rows by the number of levels, never the
 fact rows. ``grp_flag`` has bit 1 where a column is aggregated away.
 
+Every cube is the merge of a *state*: rows of its finest level with sums, and bitmaps of the
+entities counted distinctly. All states carry the month, so a refresh recomputes the states of
+the months that changed (:func:`states`) and merges them with the others (:func:`from_states`).
+
 Year, month, weekday and day part are functions of the date and hour keys, so the
 date and time dimensions are computed in place instead of joined.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fogon.functions import calendar as cal
 from fogon.functions.money import cents, money, ratio_2dp
@@ -55,6 +58,18 @@ def _user_column(base: DataFrame) -> str:
     return "user_key" if "user_key" in base.columns else "user_id"
 
 
+def _word(base: DataFrame) -> list[Column]:
+    """``word`` and ``bits``: users as bitmaps of 64 keys each. Bitmaps of one word merge by OR and
+    count exactly, and a level has at most a row per 64 users. A key that is no integer is a
+    word of its own. An unknown user has neither."""
+    user = _user_column(base)
+    if isinstance(base.schema[user].dataType, T.IntegralType):
+        key = F.col(user).cast("bigint")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), key.bitwiseAND(F.lit(63)).cast("int"))
+        return [F.shiftright(key, 6).alias("word"), bit.alias("bits")]
+    return [F.col(user).alias("word"), F.when(F.col(user).isNotNull(), F.lit(1).cast("bigint")).alias("bits")]
+
+
 def _month_columns(df: DataFrame) -> DataFrame:
     """year, month, quarter_label and month_label from a yyyymm ``month_key``."""
     year = F.call_function("div", F.col("month_key"), F.lit(100)).cast("int")
@@ -96,7 +111,7 @@ def cube_revenue_time_category(items: DataFrame) -> DataFrame:
     category only. Both are plain sums, so all levels come from the month x category
     leaf table. The window sees at most one row per category of an order.
     """
-    leaf = _month_columns(
+    return _revenue_levels(
         revenue_by_order(items)
         .withColumn("first", _first("order_id", order=["category"]))
         .groupBy("month_key", "category")
@@ -107,6 +122,10 @@ def cube_revenue_time_category(items: DataFrame) -> DataFrame:
             F.sum("first").alias("in_total"),
         )
     )
+
+
+def _revenue_levels(state: DataFrame) -> DataFrame:
+    leaf = _month_columns(state)
     dims = ["year", "quarter_label", "month_label", "category"]
     y, q, m, c = (F.col(d) for d in dims)
     levels = leaf.groupingSets([[y, q, m, c], [y, q, m], [y, q], [y], [c], []], y, q, m, c).agg(
@@ -133,20 +152,26 @@ def cube_sales_by_location(orders: DataFrame) -> DataFrame:
     Zone is part of every level, so the coarsest level is one row per zone and there
     is no grand total row.
     """
-    geo = ["province", "canton", "district"]
+    return _location_levels(_location_state(orders))
+
+
+_GEO = ["province", "canton", "district"]
+
+
+def _location_state(orders: DataFrame, *more: Column) -> DataFrame:
     # Distances are metres as integers: their sum does not depend on row order.
     metres = F.round(F.col("delivery_km") * 1000).cast("bigint")
-    leaf = (
-        orders.where(~F.col("is_cancelled"))
-        .groupBy(*geo, "zone")
-        .agg(
-            F.count("*").alias("orders"),
-            F.sum(cents("net_amount")).alias("revenue_c"),
-            F.sum(F.col("item_count").cast("bigint")).alias("units"),
-            F.sum(metres).alias("metres"),
-            F.count("delivery_km").alias("measured"),
-        )
+    return orders.where(~F.col("is_cancelled")).groupBy(*more, *_GEO, "zone").agg(
+        F.count("*").alias("orders"),
+        F.sum(cents("net_amount")).alias("revenue_c"),
+        F.sum(F.col("item_count").cast("bigint")).alias("units"),
+        F.sum(metres).alias("metres"),
+        F.count("delivery_km").alias("measured"),
     )
+
+
+def _location_levels(leaf: DataFrame) -> DataFrame:
+    geo = _GEO
     p, c, d, z = (F.col(x) for x in [*geo, "zone"])
     levels = leaf.groupingSets([[p, c, d, z], [p, c, z], [p, z], [z]], p, c, d, z).agg(
         (F.grouping("province") * 4 + F.grouping("canton") * 2 + F.grouping("district"))
@@ -169,106 +194,127 @@ def cube_sales_by_location(orders: DataFrame) -> DataFrame:
     )
 
 
-def _level(rows: DataFrame, keys: list[str], flag: int, types: dict[str, str], **measures) -> DataFrame:
-    """One cube level: ``rows`` grouped by ``keys``; the other dimensions are null."""
-    grouped = rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
-    return grouped.select(
-        *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in types.items()],
-        F.lit(flag).alias("grp_flag"),
-        *measures,
+def _bitmap_levels(leaf: DataFrame, dims: list[str], levels: list[list[str]], *measures: str) -> DataFrame:
+    """``dims``, ``grp_flag``, ``users`` and ``measures`` of every level of a leaf with bitmaps.
+
+    Bitmaps merge by OR per word and level, then their bits are counted; ``Expand`` copies the
+    leaf's rows, which are at most one per 64 users of a group, and both steps combine map-side.
+    """
+    word, keys = F.col("word"), [F.col(d) for d in dims]
+    sets = [[*[F.col(d) for d in level], word] for level in levels]
+    merged = leaf.groupingSets(sets, *keys, word).agg(
+        F.grouping_id(*dims, "word").alias("level"), F.bit_or("bits").alias("bits"),
+        *[F.sum(m).alias(m) for m in measures],
+    )
+    # The word is grouped in every level: the lowest bit of the level is 0.
+    return merged.groupBy(*dims, F.shiftright("level", 1).cast("int").alias("grp_flag")).agg(
+        F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("users"),
+        *[F.sum(m).alias(m) for m in measures],
+    )
+
+
+def _product_lines(items: DataFrame) -> DataFrame:
+    """Lines as (order, month, category, product name) with the buyer's bit, written once. An
+    order has one month and one buyer."""
+    bare = items.select(
+        "order_id", month_key(), "category", "product_name", *_word(items),
+        cents("line_amount").alias("revenue_c"), "quantity",
+    )
+    return stage(
+        bare.groupBy("order_id", "month_key", "category", "product_name").agg(
+            F.min("word").alias("word"), F.min("bits").alias("bits"),
+            F.sum("revenue_c").alias("revenue_c"), F.sum("quantity").alias("units"),
+        ),
+        "product-lines",
     )
 
 
-def _summed(rows: DataFrame, keys: list[str], *measures: str) -> DataFrame:
-    """``rows`` reduced to ``keys``. The sums keep Spark from dropping the step, so the next
-    coarser level really starts from fewer rows."""
-    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+def _product_state(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("month_key", "category", "product_name", "word").agg(
+        F.bit_or("bits").alias("bits"), F.count("*").alias("times"),
+        F.sum("units").alias("units"), F.sum("revenue_c").alias("revenue_c"),
+    )
+
+
+def _revenue_state(lines: DataFrame) -> DataFrame:
+    """Sums and distinct orders by (month, category). An order counts in each of its
+    categories, and in the smallest one for the levels without category."""
+    by_order = lines.groupBy("order_id", "month_key", "category").agg(
+        F.sum("revenue_c").alias("revenue_c"), F.sum("units").alias("units")
+    )
+    per_category = by_order.groupBy("month_key", "category").agg(
+        F.sum("revenue_c").alias("revenue_c"), F.sum("units").alias("units"), F.count("*").alias("in_category")
+    )
+    whole = by_order.groupBy("order_id", "month_key").agg(F.min("category").alias("category"))
+    per_order = whole.groupBy("month_key", "category").agg(F.count("*").alias("in_total"))
+    zero = F.lit(0).cast("bigint")
+    both = per_category.withColumn("in_total", zero).unionByName(
+        per_order.select("month_key", "category", *[zero.alias(m) for m in ("revenue_c", "units", "in_category")], "in_total")
+    )
+    return both.groupBy("month_key", "category").agg(
+        *[F.sum(m).alias(m) for m in ("revenue_c", "units", "in_category", "in_total")]
+    )
 
 
 def cube_product_frequency(items: DataFrame) -> DataFrame:
     """Units, distinct orders, distinct buyers and revenue by category/product/month.
 
-    The lines are joined once, reduced to (order, product name) and written; an order has
-    one month and one buyer. Buyers recur over months and products, so each level is reduced
-    from a finer one with the buyer as a key, and counts the buyers that are known. Orders
-    are counted the same way from (order, category). No step orders or gathers the rows of
-    an order, and all are combined map-side.
+    The lines are joined once, reduced to (order, product name) and written. Buyers recur over
+    months and products, so each level merges the bitmaps of a finer one and counts the bits;
+    unknown buyers are in none. Orders are counted from (order, category). No step orders or
+    gathers the rows of an order, and all are combined map-side.
     """
-    user = _user_column(items)
-    dims = ["category", "product_name", "month_label"]
-    names = ["category", "product_name"]
-    types = {"category": "string", "product_name": "string", "month_key": "int"}
-    lines = stage(
-        items.groupBy("order_id", month_key(), *names).agg(
-            F.min(user).alias("buyer"),
-            F.sum(cents("line_amount")).alias("revenue_c"),
-            F.sum("quantity").alias("units"),
-        ),
-        "product-lines",
+    lines = _product_lines(items)
+    return _product_levels(_product_state(lines), _revenue_state(lines))
+
+
+def _product_levels(leaf: DataFrame, orders: DataFrame) -> DataFrame:
+    """``orders``: the state of the revenue cube, for the levels above the product."""
+    dims = ["category", "product_name", "month_key"]
+    c, p, m = dims
+    sales = _bitmap_levels(leaf, dims, [[c, p, m], [c, p], [c, m], [c], []], "times", "units", "revenue_c")
+    # Above the product an order's lines meet: distinct orders are those of the revenue cube,
+    # where an order is in its smallest category for the level without one.
+    counted = orders.groupingSets([[F.col(c), F.col(m)], [F.col(c)], []], F.col(c), F.col(m)).agg(
+        F.grouping_id(c, m).alias("level"), F.sum("in_category").alias("in_category"), F.sum("in_total").alias("in_total")
     )
-    sums = ("times", "units", "revenue_c")
-    leaf = lines.groupBy("buyer", "month_key", *names).agg(
-        F.count("*").alias("times"), F.sum("units").alias("units"), F.sum("revenue_c").alias("revenue_c")
+    level = F.when(F.col("level") == 0, 2).when(F.col("level") == 1, 3).otherwise(7)
+    none = F.lit(None).cast("bigint")
+    ordered = counted.select(
+        c, F.lit(None).cast("string").alias(p), m, level.alias("grp_flag"), none.alias("users"),
+        F.when(F.col("level") == 3, F.col("in_total")).otherwise(F.col("in_category")).alias("times"),
+        none.alias("units"), none.alias("revenue_c"),
     )
-    by_product = _summed(leaf, ["buyer", *names], *sums)
-    by_month = _summed(leaf, ["buyer", "category", "month_key"], *sums)
-    by_category = _summed(by_month, ["buyer", "category"], *sums)
-    anyone = _summed(by_category, ["buyer"], *sums)
-    orders = lines.groupBy("order_id", "month_key", "category").agg(F.count("*").alias("rows"))
-    orders_month = orders.groupBy("category", "month_key").agg(F.count("*").alias("times"))
-    none = F.lit(0).cast("bigint")
-
-    def sales(rows: DataFrame, keys: list[str], flag: int, times) -> DataFrame:
-        return _level(
-            rows, keys, flag, types, units_sold=F.sum("units"), times_ordered=times,
-            distinct_buyers=F.count("buyer"), revenue_c=F.sum("revenue_c"),
-        )
-
-    def ordered(rows: DataFrame, keys: list[str], flag: int, times) -> DataFrame:
-        return _level(
-            rows, keys, flag, types, units_sold=F.sum(F.lit(None).cast("bigint")), times_ordered=times,
-            distinct_buyers=F.sum(none), revenue_c=F.sum(F.lit(None).cast("bigint")),
-        )
-
-    levels = (
-        sales(leaf, ["category", "product_name", "month_key"], 0, F.sum("times")),
-        sales(by_product, names, 1, F.sum("times")),
-        sales(by_month, ["category", "month_key"], 2, F.sum(none)),
-        sales(by_category, ["category"], 3, F.sum(none)),
-        sales(anyone, [], 7, F.sum(none)),
-        ordered(orders_month, ["category", "month_key"], 2, F.sum("times")),
-        ordered(orders_month, ["category"], 3, F.sum("times")),
-        ordered(_summed(orders, ["order_id"], "rows"), [], 7, F.count("*")),
+    own = sales.withColumn("times", F.when(F.col("grp_flag") < 2, F.col("times")))
+    both = own.unionByName(ordered).groupBy(*dims, "grp_flag").agg(
+        *[F.sum(x).alias(x) for x in ("units", "times", "users", "revenue_c")]
     )
-    measures = ["units_sold", "times_ordered", "distinct_buyers", "revenue_c"]
-    return (
-        _month_columns(reduce(DataFrame.unionByName, levels))
-        .groupBy(*dims, "grp_flag")
-        .agg(*[F.sum(x).alias(x) for x in measures])
-        # A total over no rows is a row of its own in neither part.
-        .where("revenue_c IS NOT NULL OR times_ordered > 0 OR grp_flag < 7")
-        .select(
-            *dims,
-            "grp_flag",
-            "units_sold",
-            "times_ordered",
-            "distinct_buyers",
-            money("revenue_c").alias("revenue"),
-        )
+    return _month_columns(both).select(
+        c, p, "month_label", "grp_flag",
+        F.col("units").alias("units_sold"),
+        F.col("times").alias("times_ordered"),
+        F.col("users").alias("distinct_buyers"),
+        money("revenue_c").alias("revenue"),
     )
 
 
 def cube_orders_status(orders: DataFrame) -> DataFrame:
     """CUBE(month, zone) over all orders: completed against cancelled."""
-    leaf = _month_columns(
-        orders.groupBy(month_key(), "zone").agg(
-            F.count("*").alias("total_orders"),
-            F.count_if("is_completed").alias("completed"),
-            F.count_if("is_cancelled").alias("cancelled"),
-            F.sum(F.when(F.col("is_completed"), cents("net_amount"))).alias("realised_c"),
-            F.sum(F.when(F.col("is_cancelled"), cents("gross_amount"))).alias("lost_c"),
-        )
+    return _status_levels(_status_state(orders))
+
+
+def _status_state(orders: DataFrame) -> DataFrame:
+    return orders.groupBy(month_key(), "zone").agg(
+        F.count("*").alias("total_orders"),
+        F.count_if("is_completed").alias("completed"),
+        F.count_if("is_cancelled").alias("cancelled"),
+        F.sum(F.when(F.col("is_completed"), cents("net_amount"))).alias("realised_c"),
+        F.sum(F.when(F.col("is_cancelled"), cents("gross_amount"))).alias("lost_c"),
     )
+
+
+def _status_levels(state: DataFrame) -> DataFrame:
+    leaf = _month_columns(state)
     measures = ["total_orders", "completed", "cancelled", "realised_c", "lost_c"]
     levels = leaf.cube("month_label", "zone").agg(
         F.grouping_id("month_label", "zone").cast("int").alias("grp_flag"),
@@ -289,11 +335,15 @@ def cube_orders_status(orders: DataFrame) -> DataFrame:
 
 def weekday_hour_leaf(orders: DataFrame) -> DataFrame:
     """Non-cancelled orders by ISO weekday and hour, with names."""
+    return _named_hours(_hour_state(orders))
+
+
+def _hour_state(orders: DataFrame, *more: Column) -> DataFrame:
     iso_day = cal.iso_weekday(cal.date_of_key(F.col("date_key")))
     return (
         orders.where(~F.col("is_cancelled") & F.col("time_key").isNotNull())
         .groupBy(
-            iso_day.cast("int").alias("day_of_week"), F.col("time_key").cast("int").alias("hour")
+            *more, iso_day.cast("int").alias("day_of_week"), F.col("time_key").cast("int").alias("hour")
         )
         .agg(
             F.count("*").alias("orders"),
@@ -301,12 +351,12 @@ def weekday_hour_leaf(orders: DataFrame) -> DataFrame:
             F.sum(F.col("item_count").cast("bigint")).alias("items"),
             F.count("item_count").alias("counted"),
         )
-        .withColumns(
-            {
-                "day_name": cal.day_name(F.col("day_of_week")),
-                "daypart": cal.daypart(F.col("hour")),
-            }
-        )
+    )
+
+
+def _named_hours(leaf: DataFrame) -> DataFrame:
+    return leaf.withColumns(
+        {"day_name": cal.day_name(F.col("day_of_week")), "daypart": cal.daypart(F.col("hour"))}
     )
 
 
@@ -316,10 +366,14 @@ def cube_peak_hours(orders: DataFrame) -> DataFrame:
     ``grp_flag`` covers weekday and hour only, so level 3 holds the day-part rows and
     the grand total; ``daypart IS NULL`` marks the latter.
     """
+    return _hour_levels(_hour_state(orders))
+
+
+def _hour_levels(leaf: DataFrame) -> DataFrame:
     dims = ["day_of_week", "day_name", "hour", "daypart"]
     w, n, h, d = (F.col(x) for x in dims)
     levels = (
-        weekday_hour_leaf(orders)
+        _named_hours(leaf)
         .groupingSets([[w, n, h, d], [h, d], [w, n], [d], []], w, n, h, d)
         .agg(
             (F.grouping("day_of_week") * 2 + F.grouping("hour")).cast("int").alias("grp_flag"),
@@ -337,43 +391,28 @@ def cube_peak_hours(orders: DataFrame) -> DataFrame:
 
 def cube_customer_activity(orders: DataFrame) -> DataFrame:
     """Active customers, orders and revenue by zone/province/month."""
-    user = _user_column(orders)
-    dims = ["zone", "province", "month_label"]
-    types = {"zone": "string", "province": "string", "month_key": "int"}
-    leaf = (
-        orders.where(~F.col("is_cancelled"))
-        .groupBy("zone", "province", month_key(), F.col(user).alias("customer"))
-        .agg(F.count("*").alias("orders"), F.sum(cents("net_amount")).alias("revenue_c"))
+    return _activity_levels(_activity_state(orders))
+
+
+def _activity_state(orders: DataFrame) -> DataFrame:
+    live = orders.where(~F.col("is_cancelled")).select(
+        "zone", "province", month_key(), *_word(orders), cents("net_amount").alias("revenue_c")
     )
-    # Customers recur, so each level is reduced from a finer one with the customer as a key.
-    sums = ("orders", "revenue_c")
-    by_zone_month = _summed(leaf, ["customer", "zone", "month_key"], *sums)
-    by_zone = _summed(by_zone_month, ["customer", "zone"], *sums)
-    by_month = _summed(by_zone_month, ["customer", "month_key"], *sums)
-    anyone = _summed(by_zone, ["customer"], *sums)
-    parts = [
-        _level(
-            rows, keys, flag, types, active_customers=F.count("customer"),
-            orders=F.sum("orders"), revenue_c=F.sum("revenue_c"),
-        )
-        for rows, keys, flag in (
-            (leaf, ["zone", "province", "month_key"], 0),
-            (by_zone_month, ["zone", "month_key"], 2),
-            (by_zone, ["zone"], 3),
-            (by_month, ["month_key"], 6),
-            (anyone, [], 7),
-        )
-    ]
-    # GROUPING SETS over no rows has no total either.
-    levels = _month_columns(reduce(DataFrame.unionByName, parts)).where("orders IS NOT NULL")
-    return levels.select(
-        *dims,
-        "grp_flag",
-        "active_customers",
+    return live.groupBy("month_key", "zone", "province", "word").agg(
+        F.bit_or("bits").alias("bits"), F.count("*").alias("orders"), F.sum("revenue_c").alias("revenue_c")
+    )
+
+
+def _activity_levels(leaf: DataFrame) -> DataFrame:
+    z, p, m = dims = ["zone", "province", "month_key"]
+    levels = _bitmap_levels(leaf, dims, [[z, p, m], [z, m], [z], [m], []], "orders", "revenue_c")
+    return _month_columns(levels).select(
+        z, p, "month_label", "grp_flag",
+        F.col("users").alias("active_customers"),
         "orders",
-        ratio_2dp("orders", "active_customers", times=100).alias("orders_per_customer"),
+        ratio_2dp("orders", "users", times=100).alias("orders_per_customer"),
         money("revenue_c").alias("revenue"),
-        ratio_2dp("revenue_c", "active_customers").alias("revenue_per_customer"),
+        ratio_2dp("revenue_c", "users").alias("revenue_per_customer"),
     )
 
 
@@ -408,3 +447,67 @@ def all_cubes(
         "cube_customer_activity": lambda: cube_customer_activity(orders),
     }
     return {name: build[name]() for name in names}
+
+
+#: State table of each cube, and the fact it comes from.
+STATES = {
+    "state_revenue": "fact_order_items",
+    "state_products": "fact_order_items",
+    "state_location": "fact_orders",
+    "state_status": "fact_orders",
+    "state_hours": "fact_orders",
+    "state_activity": "fact_orders",
+}
+
+_CUBE_STATES = {
+    "cube_revenue_time_category": ("state_revenue",),
+    "cube_sales_by_location": ("state_location",),
+    "cube_product_frequency": ("state_products", "state_revenue"),
+    "cube_orders_status": ("state_status",),
+    "cube_peak_hours": ("state_hours",),
+    "cube_customer_activity": ("state_activity",),
+}
+_LEVELS = {
+    "cube_revenue_time_category": _revenue_levels,
+    "cube_sales_by_location": _location_levels,
+    "cube_product_frequency": _product_levels,
+    "cube_orders_status": _status_levels,
+    "cube_peak_hours": _hour_levels,
+    "cube_customer_activity": _activity_levels,
+}
+
+
+def states_of(names=CUBES) -> list[str]:
+    """State tables that the named cubes merge."""
+    wanted = {s for n in names for s in _CUBE_STATES[n]}
+    return [s for s in STATES if s in wanted]
+
+
+def states(
+    orders_fact: DataFrame | None,
+    items_fact: DataFrame | None,
+    locations: DataFrame,
+    products: DataFrame,
+    status: DataFrame | None = None,
+    names=tuple(STATES),
+) -> dict[str, DataFrame]:
+    """The named states of the facts given (of all months, or of some); each has ``month_key``
+    and one month's rows depend on that month's facts alone."""
+    orders = None if orders_fact is None else orders_base(orders_fact, locations)
+    lines = None
+    if {"state_revenue", "state_products"} & set(names):
+        lines = _product_lines(items_base(items_fact, products, status))
+    build = {
+        "state_revenue": lambda: _revenue_state(lines),
+        "state_products": lambda: _product_state(lines),
+        "state_location": lambda: _location_state(orders, month_key()),
+        "state_status": lambda: _status_state(orders),
+        "state_hours": lambda: _hour_state(orders_base(orders_fact), month_key()),
+        "state_activity": lambda: _activity_state(orders),
+    }
+    return {name: build[name]() for name in names}
+
+
+def from_states(state: dict[str, DataFrame], names=CUBES) -> dict[str, DataFrame]:
+    """The named cubes, merged from the states of all months."""
+    return {name: _LEVELS[name](*[state[s] for s in _CUBE_STATES[name]]) for name in names}

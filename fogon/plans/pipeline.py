@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from fogon.plans import analyses, cubes, dims, facts, quality
 from fogon.operators.staging import staged_here
 from fogon.schemas import ANALYSES, CUBES, DIMENSIONS, FACTS, SOURCE_TABLES, conform
-from fogon.sources.lake import Lake
+from fogon.sources.lake import NULL_PARTITION, Lake, fingerprint
 
 Tables = dict[str, DataFrame]
 
+_FACT_SOURCES = {
+    "fact_orders": ("orders",),
+    "fact_order_items": ("order_items", "orders"),
+    "fact_reservations": ("reservations",),
+}
+
 
 def extract(read: Callable[[str], DataFrame], lake: Lake, tables=SOURCE_TABLES) -> Tables:
     """Mirror the source tables to bronze as they are."""
@@ -39,18 +45,24 @@ def build_dimensions(lake: Lake) -> Tables:
     return {"dim_location": location, **written}
 
 
-def build_facts(lake: Lake) -> Tables:
-    src = {name: lake.read("bronze", name) for name in ("orders", "order_items", "reservations")}
+def build_facts(lake: Lake, wanted=FACTS) -> Tables:
+    sources = sorted({s for f in wanted for s in _FACT_SOURCES[f]})
+    src = {name: lake.read("bronze", name) for name in sources}
     dim = {name: lake.read("silver", name) for name in DIMENSIONS}
     user, location, status = dim["dim_user"], dim["dim_location"], dim["dim_order_status"]
-    built = {
-        "fact_orders": facts.fact_orders(src["orders"], user, location, status),
-        "fact_order_items": facts.fact_order_items(
+    build = {
+        "fact_orders": lambda: facts.fact_orders(src["orders"], user, location, status),
+        "fact_order_items": lambda: facts.fact_order_items(
             src["order_items"], src["orders"], user, dim["dim_product"], location, status
         ),
-        "fact_reservations": facts.fact_reservations(src["reservations"], user, location),
+        "fact_reservations": lambda: facts.fact_reservations(src["reservations"], user, location),
+    }
+    built = {name: build[name]() for name in wanted}
+    # Kept by month: a load replaces the months whose rows changed.
+    return {
+        name: lake.write_changed(df.withColumn("month_key", cubes.month_key()), "gold", name, "month_key")
+        for name, df in built.items()
     }
-    return {name: lake.write(df, "gold", name) for name, df in built.items()}
 
 
 def run_analyses(lake: Lake) -> Tables:
@@ -66,17 +78,49 @@ def run_analyses(lake: Lake) -> Tables:
     return {name: lake.write(df, "gold", name) for name, df in built.items()}
 
 
+def _refresh_states(lake: Lake, names: list[str]) -> Tables:
+    """Bring the named state tables up to date with the gold facts.
+
+    A state remembers from which version of each month of its fact, and from which rows of the
+    dimensions, it was made. Months of which that differs are made anew, in one pass over
+    those months of each fact; other months are neither read nor written.
+    """
+    used = {f: lake.manifest("gold", f) for f in sorted({cubes.STATES[n] for n in names})}
+    dims = {t: lake.read("silver", t) for t in ("dim_location", "dim_product", "dim_order_status")}
+    prints = {t: fingerprint(df)[""] for t, df in dims.items()}
+    now = {n: {"source": used[cubes.STATES[n]]["parts"], "dims": prints} for n in names}
+    stale: dict[str, set] = {}
+    for name in names:
+        parts = now[name]["source"]
+        before = (lake.manifest("gold", name) or {}).get("notes", {})
+        known = before.get("source", {}) if before.get("dims") == prints else {}
+        changed = {m for m in parts.keys() | known.keys() if parts.get(m) != known.get(m)}
+        # All months of a state that was never made, or under other dimensions.
+        stale[name] = changed if known else changed | set((lake.manifest("gold", name) or {"parts": {}})["parts"])
+
+    def months(fact: str) -> DataFrame | None:
+        if fact not in used:
+            return None
+        wanted = set().union(*[stale[n] for n in names if cubes.STATES[n] == fact])
+        rows = lake.open("gold", fact, used[fact])
+        keys = sorted(int(m) for m in wanted if m != NULL_PARTITION)
+        return rows if wanted >= set(used[fact]["parts"]) else rows.where(F.col("month_key").isin(keys))
+
+    todo = [n for n in names if stale[n] or lake.manifest("gold", n) is None]
+    built = cubes.states(
+        months("fact_orders"), months("fact_order_items"), dims["dim_location"], dims["dim_product"],
+        dims["dim_order_status"], todo,
+    ) if todo else {}
+    for name, df in built.items():
+        lake.write_parts(df, "gold", name, "month_key", stale[name], now[name])
+    return {name: lake.read("gold", name) for name in names}
+
+
 def refresh_cubes(lake: Lake, names=CUBES) -> Tables:
-    """Recompute the cubes from the gold facts; each is a new version of its table."""
-    built = cubes.all_cubes(
-        lake.read("gold", "fact_orders"),
-        lake.read("gold", "fact_order_items"),
-        lake.read("silver", "dim_location"),
-        lake.read("silver", "dim_product"),
-        lake.read("silver", "dim_order_status"),
-        names,
-    )
-    return {name: lake.write(df, "gold", name) for name, df in built.items()}
+    """The cubes after the gold facts: states of the changed months are recomputed, and every
+    cube is merged from the states of all months as a new version of its table."""
+    states = _refresh_states(lake, cubes.states_of(names))
+    return {name: lake.write(df, "gold", name) for name, df in cubes.from_states(states, names).items()}
 
 
 def load_serving(lake: Lake, write: Callable[[DataFrame, str], None]) -> list[str]:

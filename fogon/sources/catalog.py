@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import SparkSession
 
 from fogon.schemas import ANALYSES, CUBES, DIMENSIONS, FACTS
+from fogon.sources import catalog_links
 from fogon.sources.lake import Lake
 
 REGISTERED = tuple(
@@ -20,12 +21,7 @@ def register_tables(
     database: str = "order_lake",
     tables: Iterable[tuple[str, str]] = REGISTERED,
 ) -> list[str]:
-    """(Re)create external tables over the lake's Parquet and return their names."""
+    """(Re)create external tables over the lake's Parquet and return their names. Later writes
+    of the lake move them along."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    names = []
-    for zone, table in tables:
-        name = f"{database}.{table}"
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{lake.current(zone, table)}'")
-        names.append(name)
-    return names
+    return [catalog_links.register(lake, zone, table, database) for zone, table in tables]
