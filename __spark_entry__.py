@@ -5,6 +5,7 @@ Only wiring; the work is in ``fogon`` and the DuckDB statements are in ``oracle`
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -402,12 +403,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _llm():
-    """The training-data queries, if their subpackage is part of this installation."""
+    """The training-data queries, if their subpackage and what it needs are installed."""
     try:
         from fogon.llm import queries as llm
     except ImportError as missing:
         if not (missing.name or "").startswith(("fogon.llm", "corpus_pipeline")):
-            raise
+            warnings.warn(f"the training-data queries are left out: {missing}", stacklevel=2)
         return None
     return llm
 

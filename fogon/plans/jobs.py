@@ -3,6 +3,11 @@
     spark-submit --py-files ... -m fogon.plans.jobs extract dimensions facts analyses cubes check
     python -m fogon.plans.jobs --lake /lake/warehouse --master local[*] all
 
+Options of a source table are given as ``--source-option orders.numPartitions=16`` (of all tables:
+without the table), those of the warehouse as ``--sink-option batchsize=5000``. A large table of a
+relational source with a ``partitionColumn`` and without bounds gets them from its own smallest
+and largest value.
+
 ``load`` writes to the JDBC warehouse named by the WAREHOUSE_* variables; ``register``
 creates catalog tables; ``graph`` and ``routes`` write gold tables.
 """
@@ -10,10 +15,12 @@ creates catalog tables; ``graph`` and ``routes`` write gold tables.
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import SparkSession
 
 from fogon.plans import graph, pipeline, quality, routing
+from fogon.schemas import SOURCE_TABLES
 from fogon.session import get_spark
 from fogon.sources.catalog import register_tables
 from fogon.sources.lake import Lake
@@ -52,10 +59,29 @@ def write_routes(lake: Lake) -> pipeline.Tables:
     return {"route_stops": written, "route_report": report}
 
 
-def run_steps(spark: SparkSession, lake: Lake, steps: list[str], kind: str = "csv") -> None:
+def table_options(given: list[str], tables=SOURCE_TABLES) -> dict[str, dict[str, str]]:
+    """``[table.]key=value`` arguments as options per table; a dotted key that starts with no
+    table's name (``connection.uri``) is one of all tables."""
+    options: dict[str, dict[str, str]] = {t: {} for t in tables}
+    for argument in sorted(given, key=lambda a: a.partition("=")[0].partition(".")[0] in tables):
+        name, equals, value = argument.partition("=")
+        if not equals:
+            raise ValueError(f"not an option: {argument!r}, expected [table.]key=value")
+        table, _, key = name.partition(".")
+        for t in [table] if table in tables and key else tables:
+            options[t][key if table in tables and key else name] = value
+    return options
+
+
+def run_steps(
+    spark: SparkSession, lake: Lake, steps: list[str], kind: str = "csv",
+    source_options: list[str] = (), sink_options: list[str] = (),
+) -> None:
+    source = table_options(list(source_options))
+    sink = dict(o.split("=", 1) for o in sink_options)
     for step in steps:
         if step == "extract":
-            written = pipeline.extract(lambda table: read_source(spark, table, kind), lake)
+            written = pipeline.extract(lambda table: read_source(spark, table, kind, source[table]), lake)
         elif step == "dimensions":
             written = pipeline.build_dimensions(lake)
         elif step == "facts":
@@ -72,7 +98,7 @@ def run_steps(spark: SparkSession, lake: Lake, steps: list[str], kind: str = "cs
             quality.enforce(pipeline.check(lake))
             continue
         elif step == "load":
-            pipeline.load_serving(lake, write_warehouse)
+            pipeline.load_serving(lake, partial(write_warehouse, options=sink) if sink else write_warehouse)
             continue
         else:
             print("[register]", register_tables(spark, lake))
@@ -86,6 +112,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("steps", nargs="+", choices=[*STEPS, "all"])
     parser.add_argument("--lake", default="", help="lake root (default: LAKE_PATH)")
     parser.add_argument("--source-kind", default="csv", choices=["csv", "postgres", "mongo"])
+    parser.add_argument("--source-option", action="append", default=[], metavar="[TABLE.]KEY=VALUE")
+    parser.add_argument("--sink-option", action="append", default=[], metavar="KEY=VALUE")
     parser.add_argument("--master", default=None)
     parser.add_argument("--jdbc-package", default=None)
     parser.add_argument("--hive-metastore-uri", default=None)
@@ -95,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
         hive_metastore_uri=args.hive_metastore_uri,
     )
     steps = list(DEFAULT_STEPS) if "all" in args.steps else args.steps
-    run_steps(spark, Lake(spark, args.lake), steps, args.source_kind)
+    run_steps(spark, Lake(spark, args.lake), steps, args.source_kind, args.source_option, args.sink_option)
 
 
 if __name__ == "__main__":

@@ -26,7 +26,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def get_spark(
     app_name: str = "fogon",
-    time_zone: str = DEFAULT_TIME_ZONE,
+    time_zone: str | None = None,
     master: str | None = None,
     shuffle_partitions: int | None = None,
     jdbc_package: str | None = None,
@@ -37,11 +37,12 @@ def get_spark(
     """Build a session: time zone, shuffle width, optional JDBC driver, optional Hive catalog.
 
     ``shuffle_partitions`` stays unset on a cluster unless asked for, so the
-    cluster's own value (with AQE coalescing below it) decides.
+    cluster's own value (with AQE coalescing below it) decides. A session that already runs
+    keeps its time zone unless one is named; a new one gets ``DEFAULT_TIME_ZONE``.
     """
-    builder = SparkSession.builder.appName(app_name).config(
-        "spark.sql.session.timeZone", time_zone
-    )
+    builder = SparkSession.builder.appName(app_name)
+    if time_zone or SparkSession.getActiveSession() is None:
+        builder = builder.config("spark.sql.session.timeZone", time_zone or DEFAULT_TIME_ZONE)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

@@ -61,7 +61,7 @@ def read_csv(spark, table, options, schema=None) -> DataFrame:
     )
 
 
-def jdbc_options(table: str, options: Mapping[str, str]) -> dict[str, str]:
+def jdbc_options(table: str, options: Mapping[str, str], empty: bool = False) -> dict[str, str]:
     """Reader options for a relational source.
 
     Pass ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions`` to read a
@@ -82,14 +82,33 @@ def jdbc_options(table: str, options: Mapping[str, str]) -> dict[str, str]:
     given = split & resolved.keys()
     if given and (given != split or "numPartitions" not in resolved):
         raise ValueError(f"a parallel read needs {sorted(split)} and numPartitions")
-    if table in LARGE_TABLES and not given and "query" not in resolved:
+    if table in LARGE_TABLES and not given and not empty and "query" not in resolved:
         raise ValueError(
             f"{table} is large: pass {sorted(split)} and numPartitions, one connection does not scale"
         )
     return resolved
 
 
+def bounds_query(table: str, options: Mapping[str, str]) -> dict[str, str]:
+    """Reader options of the query for the smallest and largest partition value of a table."""
+    column = options["partitionColumn"]
+    split = {"partitionColumn", "lowerBound", "upperBound", "numPartitions", "dbtable"}
+    rest = {k: v for k, v in options.items() if k not in split}
+    name = options.get("dbtable") or os.getenv(f"SOURCE_TABLE_{table.upper()}", table)
+    return {**rest, "query": f"SELECT min({column}) AS low, max({column}) AS high FROM {name}"}
+
+
 def read_jdbc(spark, table, options) -> DataFrame:
+    """One connection, or with a ``partitionColumn`` and ``numPartitions`` several; bounds that
+    are not given come from a query of the database."""
+    if "partitionColumn" in options and "numPartitions" in options and not {"lowerBound", "upperBound"} & set(options):
+        query = jdbc_options(table, bounds_query(table, options))
+        query.pop("dbtable", None)
+        low, high = spark.read.format("jdbc").options(**query).load().first()
+        if low is None:  # an empty table
+            options = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}
+            return spark.read.format("jdbc").options(**jdbc_options(table, options, empty=True)).load()
+        options = {**options, "lowerBound": str(low), "upperBound": str(high)}
     return spark.read.format("jdbc").options(**jdbc_options(table, options)).load()
 
 

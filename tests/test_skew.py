@@ -43,7 +43,7 @@ def skewed(tmp_path_factory):
     return str(folder)
 
 
-NAMES = [n for n in entry.queries() if not n.startswith(("ds_", "dim_", "src_"))]
+NAMES = [n for n in entry.oracle_sql() if not n.startswith(("ds_", "dim_", "src_", "op"))]
 
 
 @pytest.mark.parametrize("name", NAMES)

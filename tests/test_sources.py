@@ -131,3 +131,41 @@ def test_filter_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,P)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_command_line_options_reach_the_reader(spark, tmp_path, monkeypatch):
+    """Options per table, and bounds from a query; the reader itself is replaced."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from fogon.plans import jobs
+
+    login = ["url=u", "user=me", "password=secret"]
+    split = ["orders.partitionColumn=order_id", "orders.numPartitions=4",
+             "order_items.partitionColumn=order_item_id", "order_items.numPartitions=8"]
+    options = jobs.table_options([*split, *login, "connection.uri=x"])
+    assert options["users"] == {"url": "u", "user": "me", "password": "secret", "connection.uri": "x"}
+    assert options["orders"]["numPartitions"] == "4" and options["order_items"]["numPartitions"] == "8"
+    with pytest.raises(ValueError, match="not an option"):
+        jobs.table_options(["orders.numPartitions"])
+    seen = []
+    monkeypatch.setattr(DataFrameReader, "options", lambda self, **o: seen.append(o) or self)
+    monkeypatch.setattr(DataFrameReader, "load", lambda self: spark.createDataFrame([(3, 90)], "low long, high long"))
+    lake = Lake(spark, f"{tmp_path}/lake")
+    jobs.run_steps(spark, lake, ["extract"], "postgres", [*split, *login])
+    queries = [o["query"] for o in seen if "query" in o]
+    assert queries == ["SELECT min(order_id) AS low, max(order_id) AS high FROM orders",
+                       "SELECT min(order_item_id) AS low, max(order_item_id) AS high FROM order_items"]
+    orders = next(o for o in seen if o.get("dbtable") == "orders")
+    assert (orders["lowerBound"], orders["upperBound"], orders["numPartitions"]) == ("3", "90", "4")
+    assert all("partitionColumn" not in o for o in seen if o.get("dbtable") == "users")
+
+
+def test_a_running_session_keeps_its_time_zone(spark):
+    from fogon.session import get_spark
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    assert get_spark("other").conf.get("spark.sql.session.timeZone") == before
+    try:
+        assert get_spark("other", time_zone="Asia/Tokyo").conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
