@@ -61,35 +61,61 @@ class _Known(dict):
 
 
 class TextEncoder:
-    """``encode(text)`` gives a text's ids as little-endian uint32 bytes."""
+    """``encode(text)`` gives a text's ids as little-endian uint32 bytes, those of the library's
+    ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings such as <|endoftext|> in a text are ordinary text, not control tokens.
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            self.word_end = json.load(file)["model"].get("end_of_word_suffix") == "</w>"
+            stored = json.load(file)
+        self.word_end = stored["model"].get("end_of_word_suffix") == "</w>"
+        # The library cuts texts at added tokens such as <|endoftext|> before anything else;
+        # a text with one is left to it whole.
+        self.added = [t["content"] for t in stored.get("added_tokens", [])]
+        self._added = re.compile("|".join(map(re.escape, self.added)) or "(?!)", re.IGNORECASE)
+        self._starts = sorted({c for t in self.added for c in (t[:2].lower(), t[:2].upper())})
         # The word-end vocabulary is not case-sensitive, so fewer words do.
         limit = _KEPT // 2 if self.word_end else _KEPT
         self.words = _Known(self._word, limit)
         self.plain = _Known(self._piece, limit)
-        self.after_blank = _Known(lambda p: self._piece(" " + p), limit)
+        self.after_blank = _Known(self._blank_piece, limit)
         self._letters = _byte_letters()
-        self._model = self.tokenizer.model
+        self._tokenize = self.tokenizer.model.tokenize
+        self._packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+
+    def _pack(self, tokens) -> bytes:
+        packed = self._packed
+        return b"".join([packed[t.id] for t in tokens])
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word[-1] != " ":
-            stand_in = "Ġ" + word[1:] if word[0] == " " else word
-        else:
-            stand_in = word.encode().decode("latin-1").translate(self._letters)
-        ids = [t.id for t in self._model.tokenize(stand_in)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if word.isascii() and word[-1] not in " \n":
+            return self._pack(self._tokenize("Ġ" + word[1:] if word[0] == " " else word))
+        return self._pack(self._tokenize(word.encode().decode("latin-1").translate(self._letters)))
+
+    def _blank_piece(self, piece: str) -> bytes:
+        """Ids of a piece behind a blank."""
+        if piece.isascii():
+            if piece.isalpha():
+                return self._pack(self._tokenize("Ġ" + piece))
+            if piece[:-1].isalpha() and piece[-1] in _MARKS:
+                return self._pack(self._tokenize("Ġ" + piece[:-1])) + self.words[piece[-1]]
+        return self._piece(" " + piece)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that the tokenizer would cut off as well."""
         if not piece:
             return b""
+        if self.word_end and piece.isascii():
+            if piece.isalpha():
+                return self._pack(self._tokenize(piece.lower()))
+            if piece[:-1].isalpha() and piece[-1] in _MARKS:
+                return self._pack(self._tokenize(piece[:-1].lower())) + self.words[piece[-1]]
         if not _LATIN.fullmatch(piece):
+            # A line break between two non-blanks is a word of its own.
+            lines = piece.split("\n")
+            if not self.word_end and len(lines) > 1 and all(map(_LATIN.fullmatch, lines)) and lines[0] != " ":
+                first = self.after_blank[lines[0][1:]] if piece[0] == " " else self.plain[lines[0]]
+                return self.words["\n"].join([first, *map(self.plain.__getitem__, lines[1:])])
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if self.word_end:
@@ -107,6 +133,9 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(c in text for c in self._starts) and self._added.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if self.word_end:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         spaced = any(c in text for c in _SPACED_ASCII) or not text.isascii() and any(c in text for c in _SPACED_OTHER)

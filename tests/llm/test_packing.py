@@ -47,7 +47,6 @@ def test_no_documents():
 
 def check(rows, pieces, capacity):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     want = Counter()
     for doc_id, text in rows:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")

@@ -23,7 +23,6 @@ ODD = [
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(spark, name):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(encoder(public_tokenizers.path(name)).encode(text), "<u4").tolist() == want.ids, text
@@ -83,7 +82,6 @@ def test_file_ranges_segments_and_damage(tmp_path, monkeypatch):
 
 def by_hand(rows):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
