@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from fogon.llm.common import docs_of, word_bytes
 
 MAX_LABELS = 200_000
-#: Words that enter the model at most; the strongest stay.
-MAX_WORDS = 50_000
 _RATE_SCORE = 1.0
 #: Words a task counts before it hands on what it has.
 _HELD = 100_000
@@ -160,7 +158,7 @@ def fit(rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: flo
     t, o = F.col("t") + alpha, F.col("o") + alpha
     delta = F.log(t / (n_t + prior - t)) - F.log(o / (n_o + prior - o))
     scored = counts.select("word", "t", "o", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / o)).alias("z"))
-    strong = scored.where((F.col("z") >= z_least) & (F.col("delta") > 0)).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
+    strong = scored.where((F.col("z") >= z_least) & (F.col("delta") > 0)).orderBy(F.desc("z"), "word").collect()
     if not strong:
         return model
     model.weights = {bytes(r.word): float(r.delta) for r in strong}
