@@ -7,6 +7,7 @@ look-up per byte, so a text is cut into words by two C calls.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,20 @@ def word_bytes(text: str | None) -> list[bytes]:
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches: documents are large rows, and a worker holds a batch several times."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers wait for their next task
+    with all they once allocated. Called where a task's rows end."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Interned(dict):
     """Word -> value of ``make(word)``, emptied at ``limit`` entries to bound its memory."""
 
@@ -68,6 +80,8 @@ def emit(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator
             held = []
     if held:
         yield _batch(held, schema)
+    held.clear()
+    give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

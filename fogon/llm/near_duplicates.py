@@ -101,30 +101,35 @@ def nodes_of(sig: np.ndarray, d: int, trees: int = TREES, depth: int = DEPTH) ->
 
 
 _SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("bits", pa.binary())]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("bits", pa.binary())]
 )
 
 
+def _mark():
+    """Tells texts of one id apart where a row is looked up again: ids may be null or repeated."""
+    return F.xxhash64("text").alias("mark")
+
+
 def _signed(docs: DataFrame, k: int, d: int) -> DataFrame:
     def work(batches):
         def rows():
             known = word_hashes()
-            for doc_id, text in docs_of(batches):
+            for doc_id, mark, text in docs_of(batches):
                 own = shingles(text, k, known)
                 if len(own):
                     sig = signature(own)
                     yield (
-                        doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own),
+                        doc_id, mark, xxhash.xxh3_128_digest(own.tobytes()), len(own),
                         nodes_of(sig, d).tolist(), (sig & np.uint32(255)).astype("u1").tobytes(),
                     )
                 else:
                     key = None if text is None else b"=" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-                    yield doc_id, key, 0, None, None
+                    yield doc_id, mark, key, 0, None, None
 
         yield from emit(rows(), _SIGNED, 1000)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, key binary, n long, nodes array<long>, bits binary"
+    return docs.select(F.col("doc_id").cast("long"), _mark(), "text").mapInArrow(
+        work, "doc_id long, mark long, key binary, n long, nodes array<long>, bits binary"
     )
 
 
@@ -311,7 +316,7 @@ def text_key(text: str | None, k: int = 5) -> bytes | None:
 def jaccard_join(
     docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999
 ) -> tuple[DataFrame, list[str]]:
-    """(doc_id, class_id, n_links, key, group) per row of (doc_id, text); also the staged
+    """(doc_id, class_id, n_links, key, group, mark) per row of (doc_id, text); also the staged
     folders it reads.
 
     ``n_links`` counts the other documents at or above the threshold, copies included.
@@ -324,17 +329,20 @@ def jaccard_join(
     least = threshold - 6 * error
 
     signed_path = write_stage(_signed(docs, k, d), "signed")
-    signed = spark.read.schema("doc_id long, key binary, n long, nodes array<long>, bits binary").parquet(signed_path)
+    signed = spark.read.schema(
+        "doc_id long, mark long, key binary, n long, nodes array<long>, bits binary"
+    ).parquet(signed_path)
     # Copies collapse before anything is shuffled twice; signatures follow for one row a class.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     class_path = write_stage(
         signed.where("n > 0").groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"),
+            F.min(place).alias("at"), F.count("*").alias("weight"), F.first("n").alias("n"),
             F.first("nodes").alias("nodes"), F.first("bits").alias("bits"),
-        ),
+        ).select("key", F.col("at.doc_id").alias("rep"), F.col("at.mark").alias("mark"), "weight", "n", "nodes", "bits"),
         "classes",
     )
     classes = spark.read.schema(
-        "key binary, rep long, weight long, n long, nodes array<long>, bits binary"
+        "key binary, rep long, mark long, weight long, n long, nodes array<long>, bits binary"
     ).parquet(class_path)
 
     members = classes.select("key", F.explode("nodes").alias("node"))
@@ -365,10 +373,10 @@ def jaccard_join(
     drop_stage(first_path, active_path)
 
     # Exact verification of each group in pairs of bounded blocks.
-    narrow = classes.select("key", "rep", "weight", "n").join(whole.withColumnRenamed("node", "key"), "key")
+    narrow = classes.select("key", "rep", "mark", "weight", "n").join(whole.withColumnRenamed("node", "key"), "key")
     totals = narrow.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     work = narrow.join(totals, "root").select(
-        "key", "rep", "weight", "root",
+        "key", "rep", "mark", "weight", "root",
         F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("nb"),
     )
     sets = _sets(docs, work, k)
@@ -393,11 +401,11 @@ def jaccard_join(
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("group", "key").alias("group"),
     )
-    result = signed.select("doc_id", "key").join(per_key, "key", "left").select(
+    result = signed.select("doc_id", "mark", "key").join(per_key, "key", "left").select(
         "doc_id",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "key", "group",
+        "key", "group", "mark",
     )
     return result, [signed_path, class_path, verified_path, exact_path]
 
@@ -405,23 +413,23 @@ def jaccard_join(
 def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> tuple[DataFrame, list[str]]:
     """The rows of ``docs``, all columns, that stay: one per class, of the smallest id.
 
-    Null ids come last, further ties are broken by the text's key; of rows equal in both one
-    stays. Rows with a null text are in no class and stay.
+    Null ids come last, further ties are broken by the text's key; of rows equal in id and text
+    one stays. Rows with a null text are in no class and stay.
     """
     joined, paths = jaccard_join(docs, threshold, k)
-    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = joined.where("group IS NOT NULL").groupBy("group").agg(F.min(last).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
-    name = "key"
-    while name in docs.columns:
-        name = f"_{name}"
-    key_of = F.pandas_udf(lambda s: s.map(lambda t: text_key(t, k), na_action=None), "binary")
-    some = docs.where(F.col("text").isNotNull()).withColumn(name, key_of("text"))
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "mark")
+    some = joined.where("group IS NOT NULL")
+    kept = some.groupBy("group").agg(F.min(last).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark"))
     # Both columns are keys of the join, so a group of copies spreads over its ids.
-    one = some.join(
-        kept, (F.col(name) == F.col("kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi"
-    ).dropDuplicates([name, "doc_id"])
-    return docs.where(F.col("text").isNull()).unionByName(one.drop(name)), paths
+    texts = docs.where(F.col("text").isNotNull())
+    same = (F.xxhash64(texts["text"]) == kept["kept_mark"]) & texts["doc_id"].cast("long").eqNullSafe(kept["kept_id"])
+    one = texts.join(kept, same, "left_semi")
+    # Texts are only sorted where rows do repeat.
+    repeated = some.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        one = one.dropDuplicates(["text", "doc_id"])
+    return docs.where(F.col("text").isNull()).unionByName(one), paths
 
 
 def _sets(docs: DataFrame, work: DataFrame, k: int) -> DataFrame:
@@ -435,12 +443,14 @@ def _sets(docs: DataFrame, work: DataFrame, k: int) -> DataFrame:
             known = word_hashes()
             for text, key, weight, root, nb in docs_of(batches):
                 own = shingles(text, k, known).tobytes()
-                # A repeated document id may bring another text; the key tells.
+                # Another text may have the same mark; the key tells.
                 if xxhash.xxh3_128_digest(own) == key:
                     yield key, weight, root, nb, own
 
         yield from emit(rows(), schema, 500)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), "text")
-    joined = texts.join(work, F.col("rep_id").eqNullSafe(F.col("rep"))).select("text", "key", "weight", "root", "nb")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), _mark().alias("rep_mark"), "text")
+    same = F.col("rep_id").eqNullSafe(F.col("rep")) & (F.col("rep_mark") == F.col("mark"))
+    # Of repeated rows one stands for the class.
+    joined = texts.join(work, same).dropDuplicates(["key"]).select("text", "key", "weight", "root", "nb")
     return joined.mapInArrow(cut, "key binary, weight long, root binary, nb long, shingles binary")

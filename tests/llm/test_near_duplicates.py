@@ -118,3 +118,28 @@ def test_components(spark, seed):
     want = {x: root(x) for a, b in edges for x in (a, b) if a != b}
     got = components(spark.createDataFrame(edges, "a long, b long"))[0].collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_null_and_repeated_ids_are_joined_once(spark):
+    """Rows of one null id are looked up by id and text, not all with all; repeated rows count
+    as documents, and stand for their class once."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    rows = [(None, t) for t in base] + [(None, t + " end") for t in base] + [(7, base[0])] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = nd.jaccard_join(df)[0].collect()
+    assert len(joined) == 65
+    links = sorted(r.n_links for r in joined)
+    assert links == [1] * 58 + [6] * 7
+    work = spark.createDataFrame(
+        [(nd.text_key(t), None, 1, b"r", 1) for t in base], "key binary, rep long, weight long, root binary, nb long"
+    ).join(spark.createDataFrame([(nd.text_key(t), t) for t in base], "key binary, text string"), "key")
+    from pyspark.sql import functions as F
+
+    sets = nd._sets(df, work.withColumn("mark", F.xxhash64("text")).drop("text"), 5)
+    assert sets.count() == 30
+    kept = nd.keep_one(df)[0].collect()
+    assert len(kept) == 30 and sum(r.doc_id == 7 for r in kept) == 1
