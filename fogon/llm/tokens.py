@@ -80,6 +80,9 @@ class TextEncoder:
         self.plain = _Known(self._piece, limit)
         self.after_blank = _Known(self._blank_piece, limit)
         self._letters = _byte_letters()
+        self._latin = {
+            c: "".join(self._letters[b] for b in chr(c).encode()) for c in range(0x80, 0x180) if _LATIN.fullmatch(chr(c))
+        }
         self._tokenize = self.tokenizer.model.tokenize
         self._packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
@@ -99,6 +102,11 @@ class TextEncoder:
                 return self._pack(self._tokenize("Ġ" + piece))
             if piece[:-1].isalpha() and piece[-1] in _MARKS:
                 return self._pack(self._tokenize("Ġ" + piece[:-1])) + self.words[piece[-1]]
+        elif _LATIN.fullmatch(piece):
+            if piece.isalpha():
+                return self._pack(self._tokenize("Ġ" + piece.translate(self._latin)))
+            if piece[:-1].isalpha() and piece[-1] in _MARKS:
+                return self._pack(self._tokenize("Ġ" + piece[:-1].translate(self._latin))) + self.words[piece[-1]]
         return self._piece(" " + piece)
 
     def _piece(self, piece: str) -> bytes:
