@@ -13,9 +13,16 @@ All other text is emitted: blocks on lines of their own with blank lines around
 and headings, list items with markers and indents, table cells in aligned columns (spans
 included), ``pre`` verbatim, ``br`` and ``hr`` as lines, ``alt`` texts, values of buttons.
 
+Tags are read as the standard's tokenizer does: a quote opens a value only right after ``=``, and
+an unclosed one runs to the end of the page. Lines of a cell longer than 60 columns are wrapped at
+blanks; what cannot be wrapped (long words, ``pre``, inner tables) stays whole and moves the rest
+of its line to the right. Columns are aligned up to 480 places from the left; cells beyond follow
+two blanks apart. So padding is bounded by the number of lines. Lists indent and tables align
+down to a depth of 16; deeper ones are shown without more indents, a cell per line.
+
 Defined cases: null or empty html gives the empty text; a truncated tag at the end is
-dropped as a browser does; nesting of any depth is walked without recursion; time is linear in
-the page but for tables, whose cells are padded to their columns.
+dropped as a browser does; nesting of any depth is walked without recursion; a style sheet is
+looked up by tag, class and id, so an element costs its classes, not the rules.
 """
 
 from __future__ import annotations
@@ -30,17 +37,19 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style xmp iframe noembed noframes plaintext".split())
+RAW = set("script style iframe noembed noframes".split())
+VERBATIM = set("xmp plaintext".split())
 PLAIN = set("textarea title".split())
 UNSEEN = set("head script style template noscript iframe object audio video canvas datalist title noembed noframes param area".split())
 #: Not drawn inside svg or math.
 FOREIGN_UNSEEN = set("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul "
-    "tr td th thead tbody tfoot caption optgroup option".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul "
+    "tr td th thead tbody tfoot caption optgroup option xmp".split()
 )
-SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu fieldset".split())
+SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing ol p plaintext pre table ul menu fieldset xmp".split())
+PRE = set("listing plaintext pre xmp".split())
 #: A start tag closes an open element of these (up to the boundary tags).
 CLOSES = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"),
@@ -54,12 +63,21 @@ CLOSES_P = BLOCKS - set("body html tr td th thead tbody tfoot caption option opt
 SCOPE = set("html table td th caption button object marquee template applet".split())
 LISTS = set("ul ol menu dir".split())
 
+CELL_WIDTH = 60
+DEEP = 16
+
+# Blanks of the standard. No quantifier gives anything back, so a tag costs its length.
+_B = r"[ \t\n\f\r]"
+_ATTRIBUTE = re.compile(
+    rf"(?:{_B}|/)*+([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)"
+    rf"(?:{_B}*+={_B}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>|\Z)))?+"
+)
+_INNER = re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE.pattern)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)",
+    rf"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?=[^A-Za-z])[^>]*+(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^ \t\n\f\r/>]*+)((?:{_INNER})*+(?:{_B}|/)*+)(>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
 _SIMPLE = re.compile(r"([a-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
@@ -110,13 +128,14 @@ def build(html: str) -> tuple[Node, list[tuple[str, str]]]:
     while at < n:
         found = _TOKEN.search(html, at)
         if not found:
-            # "<" at the end that begins a tag is a truncated one.
-            text(re.sub(r"<[A-Za-z/!?][^>]*\Z", "", html[at:], flags=re.S))
+            text(html[at:])
             break
         text(html[at : found.start()])
         at = found.end()
+        if found[2] and not found[4]:
+            break  # a tag cut off by the end of the page
         if found[1]:
-            tag = found[1].lower()
+            tag = found[2].lower()
             if tag == "p" and not open_["p"]:
                 opened("p", {})
             if tag == "br":
@@ -129,8 +148,6 @@ def build(html: str) -> tuple[Node, list[tuple[str, str]]]:
                     break  # an end tag inside a cell closes nothing outside it
         elif found[2]:
             tag = found[2].lower()
-            if not found[4]:
-                break  # a tag cut off by the end of the page
             attributes: dict[str, str] = {}
             if found[3]:
                 for m in _ATTRIBUTE.finditer(found[3]):
@@ -152,13 +169,15 @@ def build(html: str) -> tuple[Node, list[tuple[str, str]]]:
             if (found[3] or "").endswith("/") and (open_["svg"] > 0 or open_["math"] > 0) and stack[-1].tag == tag:
                 cut(len(stack) - 1)  # only svg and math have empty elements of this form
                 continue
-            if tag in RAW or tag in PLAIN:
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            if tag in RAW or tag in PLAIN or tag in VERBATIM:
+                end = re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I).search(html, at) if tag != "plaintext" else None
                 stop = end.start() if end else n
                 if tag == "style":
                     styles.append((attributes.get("media", ""), html[at:stop]))
                 elif tag in PLAIN:
                     text(html[at:stop])
+                elif tag in VERBATIM:
+                    stack[-1].children.append(html[at:stop])
                 at = stop
     return root, styles
 
@@ -179,8 +198,11 @@ def _applies(media: str) -> bool | None:
     return True if True in answers else None if None in answers else False
 
 
-def hiding_rules(sheets: list[tuple[str, str]]) -> list[tuple[tuple, str, str, str, str, str]]:
-    """(rank in the cascade, tag, kind, name, property, value) of rules that set display or visibility, by rank."""
+def hiding_rules(sheets: list[tuple[str, str]]) -> dict[tuple[str, str, str], dict]:
+    """Rules that set display or visibility by selector (tag, kind, name).
+
+    A selector has {(important, property): (rank in the cascade, value)}: of rules with one selector the last counts.
+    """
     out: list[tuple] = []
     for media, sheet in sheets:
         css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S).replace("<!--", " ").replace("-->", " ")
@@ -206,7 +228,10 @@ def hiding_rules(sheets: list[tuple[str, str]]) -> list[tuple[tuple, str, str, s
             elif mark not in ("}", ";") or blocks and not blocks[-1][0].startswith("@"):
                 continue  # a string, or the end of a declaration
             start = m.end()
-    return sorted(out, key=lambda r: r[0])
+    rules: dict[tuple[str, str, str], dict] = {}
+    for rank, tag, kind, name, what, value in out:
+        rules.setdefault((tag, kind, name), {})[rank[0], what] = rank, value
+    return rules
 
 
 def _add_rules(out: list, selectors: str, body: str, sure: bool | None) -> None:
@@ -234,7 +259,7 @@ def _effects(style: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def _shown(node: Node, rules: list, parent: Node) -> str:
+def _shown(node: Node, rules: dict, parent: Node) -> str:
     """Effect of an element on what is shown: ``none``, ``hidden``, ``visible`` or nothing."""
     a = node.attributes
     if node.tag in UNSEEN or node.unseen or node.tag == "input" and a.get("type", "").lower() == "hidden":
@@ -248,15 +273,18 @@ def _shown(node: Node, rules: list, parent: Node) -> str:
     inline = _effects(a["style"]) if "style" in a else []
     last: list[tuple[str, str]] = []
     if rules:
-        classes = a.get("class", "").split()
-        for rank, tag, kind, name, what, value in rules:
-            if (not tag or tag == node.tag) and (
-                not kind or kind == "." and name in classes or kind == "#" and name == a.get("id")
-            ):
-                if rank[0]:
-                    last.append((what, value))
-                else:
-                    own[what] = value
+        names = [("", ""), *((".", c) for c in set(a.get("class", "").split())), *([("#", a["id"])] if "id" in a else [])]
+        found = [
+            (*rule, what)
+            for kind, name in names
+            for tag in ({"", node.tag} if kind else {node.tag})
+            for (_, what), rule in rules.get((tag, kind, name), {}).items()
+        ]
+        for rank, value, what in sorted(found):
+            if rank[0]:
+                last.append((what, value))
+            else:
+                own[what] = value
     own.update((what, value) for what, value, important in inline if not important)
     own.update(last)
     own.update((what, value) for what, value, important in inline if important)
@@ -280,16 +308,31 @@ class _Flow:
         self.now: list[str] = []
         self.space = False
         self.gap = 0
-        self.indents: list[list[str]] = []  # [marker not yet written or blanks]
+        self.firm: set[int] = set()  # lines that are not wrapped
+        self.fixed = False
+        self.indents: list[list[str]] = []  # [marker, blanks of the lines after its own]
+        self.ready = 0  # so many levels have written their marker
+
+    def indent(self, marker: str) -> None:
+        self.indents.append([marker, ""])
+
+    def outdent(self) -> None:
+        self.indents.pop()
+        self.ready = min(self.ready, len(self.indents))
 
     def _begin(self) -> None:
         if not self.now:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            for level in self.indents:
+            blanks = self.indents[self.ready - 1][1] if self.ready else ""
+            self.now.append(blanks)
+            for i in range(self.ready, len(self.indents)):
+                level = self.indents[i]
                 self.now.append(level[0])
-                level[0] = " " * len(level[0])
+                blanks += " " * len(level[0]) if i < DEEP else ""
+                level[1] = blanks
+            self.ready = len(self.indents)
 
     def text(self, raw: str) -> None:
         collapsed = _SPACE.sub(" ", raw)
@@ -311,15 +354,18 @@ class _Flow:
             if line:
                 self._begin()
                 self.now.append(line)
+                self.fixed = True
         self.space = False
 
     def line(self, keep: bool = False) -> None:
         """End the line; with ``keep`` an empty one counts as well (br, pre)."""
         if self.now:
+            if self.fixed:
+                self.firm.add(len(self.lines))
             self.lines.append("".join(self.now).rstrip(" "))
         elif keep and self.lines and not self.gap:
             self.lines.append("")
-        self.now, self.space = [], False
+        self.now, self.space, self.fixed = [], False, False
 
     def block(self, gap: int) -> None:
         self.line()
@@ -329,8 +375,31 @@ class _Flow:
         for x in lines:
             self._begin()
             self.now.append(x)
+            self.fixed = True
             self.line(keep=True)
 
+    def wrapped(self) -> list[str]:
+        """The lines, wrapped to the width of a cell."""
+        out = []
+        for i, line in enumerate(self.lines):
+            out += [line] if i in self.firm or width(line) <= CELL_WIDTH else _wrap(line)
+        return out
+
+
+def _wrap(line: str) -> list[str]:
+    """Pieces of a line of at most CELL_WIDTH columns, or one word; all start at its indent."""
+    words = line.lstrip(" ")
+    lead = line[: len(line) - len(words)]
+    out, now, have = [], [], 0
+    for word in words.split(" "):
+        own = width(word)
+        if now and len(lead) + have + 1 + own > CELL_WIDTH:
+            out.append(lead + " ".join(now))
+            now, have = [], 0
+        have += own + bool(now)
+        now.append(word)
+    return [*out, lead + " ".join(now)]
+
 
 class _Table:
     def __init__(self):
@@ -339,42 +408,50 @@ class _Table:
     def lines(self) -> list[str]:
         """Cells in aligned columns, two blanks between them."""
         grid: list[dict[int, tuple[list[str], int]]] = []
-        taken: dict[tuple[int, int], bool] = {}
+        taken: list[tuple[int, int, int]] = []  # columns [first, stop) held by cells from above up to a row
         for r, row in enumerate(self.rows):
-            placed, c = {}, 0
+            held = sorted(t for t in taken if t[2] > r)
+            taken = []
+            for first, stop, end in held:
+                if taken and taken[-1][1] == first and taken[-1][2] == end:
+                    first = taken.pop()[0]
+                taken.append((first, stop, end))
+            placed, c, k = {}, 0, 0
             for lines, across, down in row:
-                while taken.get((r, c)):
-                    c += 1
+                while k < len(held) and held[k][0] <= c:
+                    c = max(c, held[k][1])
+                    k += 1
                 placed[c] = (lines, across)
-                for dr in range(1, min(down, len(self.rows) - r)):
-                    for dc in range(across):
-                        taken[r + dr, c + dc] = True
+                if down > 1:
+                    taken.append((c, c + across, min(r + down, len(self.rows))))
                 c += across
             grid.append(placed)
         widths: dict[int, int] = {}
-        for placed in grid:
-            for c, (lines, across) in placed.items():
+        need = [[(c, across, min(CELL_WIDTH, max(map(width, lines), default=0))) for c, (lines, across) in placed.items()] for placed in grid]
+        for row in need:
+            for c, across, columns in row:
                 if across == 1:
-                    widths[c] = max(widths.get(c, 0), max(map(width, lines), default=0))
-        for placed in grid:  # a spanning cell widens its last column if it needs more room
-            for c, (lines, across) in placed.items():
+                    widths[c] = max(widths.get(c, 0), columns)
+        for row in need:  # a spanning cell widens its last column if it needs more room
+            for c, across, columns in row:
                 if across > 1:
-                    have = sum(widths.get(c + i, 0) for i in range(across)) + 2 * (across - 1)
-                    need = max(map(width, lines), default=0)
-                    if need > have:
-                        widths[c + across - 1] = widths.get(c + across - 1, 0) + need - have
+                    have = sum(widths[i] + 2 for i in range(c, c + across) if i in widths) - 2
+                    if columns > have:
+                        last = max((i for i in range(c, c + across) if i in widths), default=c)
+                        widths[last] = widths.get(last, 0) + columns - max(have, 0)
         starts, at = {}, 0
-        for c in range(max(widths, default=-1) + 1):
-            starts[c] = at
-            at += widths.get(c, 0) + 2
+        for c in sorted(widths):  # columns that no cell has of its own take no room
+            starts[c] = min(at, 8 * CELL_WIDTH)
+            at += widths[c] + 2
         out = []
         for placed in grid:
             for i in range(max((len(x) for x, _ in placed.values()), default=0)):
                 parts, have = [], 0
                 for c, (lines, _) in sorted(placed.items()):
                     if i < len(lines) and lines[i]:
-                        parts.append(" " * (starts.get(c, 0) - have) + lines[i])
-                        have = starts.get(c, 0) + width(lines[i])
+                        gap = max(starts.get(c, 0) - have, 2 if parts else 0)
+                        parts.append(" " * gap + lines[i])
+                        have += gap + width(lines[i])
                 out.append("".join(parts).rstrip(" "))
         return out
 
@@ -392,7 +469,7 @@ def render(html: str | None) -> str:
     rules = hiding_rules(sheets)
     flow = _Flow()
     flows: list[_Flow] = [flow]
-    tables: list[_Table] = []
+    tables: list[_Table | None] = []  # None: too deep to be aligned
     counters: list[int | None] = []
     pre = 0
     # (node, parent, hidden by visibility) to enter; a tuple with None leaves.
@@ -407,22 +484,24 @@ def render(html: str | None) -> str:
                 cell = flows.pop()
                 flow = flows[-1]
                 tables[-1].rows[-1].append(
-                    (cell.lines, _number(node.attributes.get("colspan"), 1, 1000), _number(node.attributes.get("rowspan"), 1, 65534))
+                    (cell.wrapped(), _number(node.attributes.get("colspan"), 1, 1000), _number(node.attributes.get("rowspan"), 1, 65534))
                 )
             elif tag == "table":
                 flow.block(1)
-                flow.whole(tables.pop().lines())
+                table = tables.pop()
+                if table:
+                    flow.whole(table.lines())
                 flow.block(1)
             elif tag == "li":
                 flow.line()
-                flow.indents.pop()
+                flow.outdent()
             elif tag in LISTS:
                 counters.pop()
                 flow.block(0 if counters else 1)
             elif tag in ("dd", "blockquote"):
                 flow.block(tag == "blockquote")
-                flow.indents.pop()
-            elif tag == "pre":
+                flow.outdent()
+            elif tag in PRE:
                 pre -= 1
                 flow.block(1)
             elif tag in BLOCKS:
@@ -452,10 +531,10 @@ def render(html: str | None) -> str:
             flow.text(f" {node.attributes.get('value', '')} ")
         elif tag == "table":
             flow.block(1)
-            tables.append(_Table())
-        elif tag == "tr" and tables:
+            tables.append(_Table() if len(tables) < DEEP else None)
+        elif tag == "tr" and tables and tables[-1]:
             tables[-1].rows.append([])
-        elif tag in ("td", "th") and tables:
+        elif tag in ("td", "th") and tables and tables[-1]:
             if not tables[-1].rows:
                 tables[-1].rows.append([])
             flow = _Flow()
@@ -474,11 +553,11 @@ def render(html: str | None) -> str:
                     counters[-1] = _number(node.attributes["value"], -(10**9), 10**9)
                 marker = f"{counters[-1]}. "
                 counters[-1] += 1
-            flow.indents.append([marker])
+            flow.indent(marker)
         elif tag in ("dd", "blockquote"):
             flow.block(tag == "blockquote")
-            flow.indents.append(["  "])
-        elif tag == "pre":
+            flow.indent("  ")
+        elif tag in PRE:
             flow.block(1)
             pre += 1
         elif tag in BLOCKS:

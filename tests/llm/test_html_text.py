@@ -1,5 +1,7 @@
 """Rendering against expected texts, and all pages against an independent word count."""
 
+import random
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -34,6 +36,20 @@ CASES = {
     "alt and button": ("a<img alt='pic'>b<input type=submit value=Go>", "a pic b Go"),
     "wide characters": ("<table><tr><td>日本<td>x<tr><td>a<td>y</table>", "日本  x\na     y"),
     "less-than": ("1 < 2 and 3<4", "1 < 2 and 3<4"),
+    "quote in a bare value": ("<p class=it's>Hello</p> <b>don't</b> stop", "Hello\n\ndon't stop"),
+    "quote behind a value": ('<a href="x"">hello</a> world', "hello world"),
+    "mark in a value": ("<a title='>' b=\">\" c = '>'>x</a title='>'>y", "xy"),
+    "empty comments": ("<!-->shown--> <!--->end", "shown--> end"),
+    "no end tags": ("x </3 y> z </> w </", "x z w </"),
+    "xmp and plaintext": ("<xmp>a <b> &amp;</xmp>c<plaintext>d<e>", "a <b> &amp;\n\nc\n\nd<e>"),
+    "long word in a cell": ("<table><tr><td>" + "x" * 70 + "<td>b<tr><td>c<td>d</table>", "x" * 70 + "  b\nc" + " " * 61 + "d"),
+    "wrapped cell": (
+        "<table><tr><td>" + "word " * 15 + "<td>b</table>", "word " * 11 + "word  b\n" + "word word word",
+    ),
+    "verbatim cell": ("<table><tr><td><pre>" + "a " * 40 + "z</pre><td>b</table>", "a " * 40 + "z  b"),
+    "spans below spans": (
+        "<table><tr><td rowspan=3>a<td rowspan=2>b<td>c<tr><td>d<tr><td>e<td>f</table>", "a  b  c\n      d\n   e  f",
+    ),
     "nothing": ("", ""),
     "null": (None, ""),
 }
@@ -124,3 +140,80 @@ def test_svg_and_math():
     assert render("<svg><title/><text>one</text></svg><p>b") == "one\n\nb"
     math = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math>"
     assert render(f"<p>a {math} b") == "a x=1 b"
+
+
+def plain_text(page):
+    """Text of a page of inline tags by the states of the standard's tokenizer, a character at a time."""
+    state, out, i, quote = "data", [], 0, ""
+    while i < len(page):
+        c = page[i]
+        if state == "data":
+            if c == "<" and (page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] == "/" and page[i + 2 : i + 3].isalpha()):
+                state = "tag"
+                i += page[i + 1] == "/"
+            elif c == "<" and page[i + 1 : i + 2] == "/" and i + 2 < len(page) or c == "<" and page[i + 1 : i + 2] in ("!", "?"):
+                state = "bogus"
+                i += 1
+                if page[i : i + 3] == "!--":
+                    state = "comment"
+                    i += 2
+                    if page[i + 1 : i + 2] == ">" or page[i + 1 : i + 3] == "->":
+                        i = page.index(">", i)
+                        state = "data"
+            else:
+                out.append(c)
+        elif state == "bogus":
+            state = "data" if c == ">" else state
+        elif state == "comment":
+            if page.startswith("-->", i) or page.startswith("--!>", i):
+                i = page.index(">", i)
+                state = "data"
+        elif state == "quoted":
+            state = "before name" if c == quote else state
+        elif c == ">":
+            state = "data"
+        elif state == "tag":
+            state = "before name" if c in " /" else state
+        elif state == "before name":
+            state = state if c in " /" else "name"
+        elif state == "name":
+            state = "after name" if c == " " else "before name" if c == "/" else "before value" if c == "=" else state
+        elif state == "after name":
+            state = "before value" if c == "=" else state if c == " " else "before name" if c == "/" else "name"
+        elif state == "before value":
+            if c in "'\"":
+                state, quote = "quoted", c
+            elif c != " ":
+                state = "bare"
+        elif state == "bare":
+            state = "before name" if c == " " else state
+        i += 1
+    return "".join(out)
+
+
+def test_random_tags_against_the_states_of_the_standard():
+    rng = random.Random(5)
+    parts = ["<", ">", "</", "/", "=", "'", '"', " ", "b", "i", "x", "<b", "</i>", "<!--", "-->", "--!>", "<!", "<b a=", "-", "?", "3"]
+    for _ in range(30_000):
+        page = "".join(rng.choices(parts, k=rng.randrange(1, 16)))
+        assert "".join(render(page).split()) == "".join(plain_text(page).split()), page
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table>" + "<tr><td>" + "word " * 20_000 + "<td>end" + "<tr><td>a<td>b" * 2000,
+        "<table>" + "<tr><td>" + "w" * 100_000 + "<td>end" + "<tr><td>a<td>b" * 2000,
+        "<table>" + "<tr><td rowspan=65534 colspan=1000>a<td>b" * 2000,
+        "<style>" + "".join(f".c{i}{{display:none}} .x{{display:block}}" for i in range(3000)) + "</style>" + "<p class='x y'>a</p>" * 5000,
+        "<ul><li>a" * 10_000,
+        "<table><tr><td>a<td>" * 2000,
+        "<a " + "x='" * 50_000,
+        "<a b" + " " * 100_000 + "c>d" + "<a " * 50_000,
+    ],
+    ids=["cell", "word", "spans", "rules", "lists", "tables", "quotes", "blanks"],
+)
+def test_large_pages_take_little_time_and_room(page):
+    begin = time.perf_counter()
+    assert len(render(page)) < 1_000_000
+    assert time.perf_counter() - begin < 5
