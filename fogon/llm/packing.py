@@ -5,15 +5,21 @@ of at most ``capacity`` numbers, whatever its size. Only that histogram reaches
 
 1. Large lengths (over ``capacity // 8``) are sorted and cut into groups of equal
    cardinality; each length is rounded up to the largest of its group.
-2. Over these few sizes configurations (multisets that fit a sequence) are chosen one after
-   the other: the fullest one for the sizes still open, largest size first, found by dynamic
-   programming over the capacity and used as often as its sizes last.
-3. Actual documents take the places of the rounded ones, in order of length, so each
-   sequence gets back what rounding had cost it.
-4. Small lengths are placed by best fit, longest first: always into the sequences with the
-   least room that is enough, new sequences only if none has room.
-
-All four steps work on runs (so many sequences alike), so the plan has some thousands of
+2. Over these few sizes configurations (multisets that fit a sequence) are optimised: the linear
+   program of the fewest sequences is solved by column generation, a knapsack giving the
+   next configuration until none improves it. A configuration is used the whole number of
+   times its variable says, or a share of that (below).
+3. Actual documents take the places of the rounded ones: in each place the longest open document
+   that leaves room for the places after it, so the room that rounding had cost is used.
+4. All other documents, the small ones and those of large lengths that no configuration took, are
+   placed by best fit, longest first: always into the sequences with the least room that is
+   enough, new sequences only if none has room.
+
+Rounding wastes room that only step 4 can fill, so the best share of the configurations depends on
+the lengths: with few small documents it is all of them, with many a small part. Steps 3 and 4 run for the
+shares 1, 1/2, ... 1/4096 and the plan with the fewest sequences is kept (the largest share among equals).
+
+All steps work on runs (so many sequences alike), so the plan has some thousands of
 rows that depend on the capacity and the number of groups, not on the documents. A plan row
 says: documents of this length with ranks [first, first + count) go to sequences
 [sequence, sequence + count) at this offset. Ranks are counted by Spark per part and length.
@@ -37,7 +43,8 @@ from pyspark.sql import functions as F
 from fogon.llm.common import docs_of, emit, write_stage
 from fogon.llm.tokens import encoder
 
-GROUPS = 320
+GROUPS = 64
+SHARES = tuple(2.0**-i for i in range(13))
 
 #: (length, first rank, count, first sequence, offset)
 Run = tuple[int, int, int, int, int]
@@ -48,140 +55,122 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> list
     counts = np.zeros(capacity + 1, dtype="int64")
     for length, n in histogram.items():
         counts[length] = n
-    large = [int(x) for x in np.flatnonzero(counts) if x > capacity // 8]
+    least = -(-int(counts @ np.arange(capacity + 1)) // capacity)
+    sizes, need = _grouped(counts, capacity // 8, groups)
+    configurations = _configurations(sizes, need, capacity)
+    best: tuple[int, list[Run]] | None = None
+    for share in SHARES:
+        runs, n = _place(counts, [(places, int(times * share)) for places, times in configurations], capacity)
+        if best is None or n < best[0]:
+            best = n, runs
+        if best[0] == least:
+            break
+    return best[1]
+
+
+def _grouped(counts: np.ndarray, small: int, groups: int) -> tuple[list[int], list[int]]:
+    """Rounded sizes of the lengths over ``small``, largest first, and how many documents each stands for."""
+    upto = np.cumsum(counts[:small:-1])  # documents from the longest down to each length
+    total = int(upto[-1])
+    if not total:
+        return [], []
+    first = np.arange(0, total, -(-total // groups))
+    size = len(counts) - 1 - np.searchsorted(upto, first, side="right")
+    need: dict[int, int] = defaultdict(int)
+    for length, n in zip(size.tolist(), np.diff([*first, total]).tolist(), strict=True):
+        need[length] += n
+    return list(need), list(need.values())
+
+
+def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """(sizes of a configuration, how often), fullest first: a basis of the linear program, rounded down."""
+    k = len(sizes)
+    if not k:
+        return []
+    values = np.array([0, *sizes])  # 0: an empty place
+    before = np.arange(capacity + 1) - values[:, None]
+    fits, before = before >= 0, np.maximum(before, 0)
+    basis = np.diag([float(capacity // x) for x in sizes])
+    for _ in range(50 * k):
+        price = np.linalg.solve(basis.T, np.ones(k))
+        # The dearest filling, place by place.
+        worth, choices = np.zeros(capacity + 1), []
+        for _ in range(capacity // min(sizes)):
+            offers = np.where(fits, worth[before] + np.array([0, *price])[:, None], -1.0)
+            choices.append(offers.argmax(axis=0))
+            worth = offers.max(axis=0)
+        if worth[capacity] <= 1 + 1e-7:
+            break
+        column, at = np.zeros(k), capacity
+        for choice in reversed(choices):
+            if choice[at]:
+                column[choice[at] - 1] += 1
+            at -= values[choice[at]]
+        times, change = np.linalg.solve(basis, need), np.linalg.solve(basis, column)
+        ratio = np.full(k, np.inf)
+        np.divide(np.maximum(times, 0), change, out=ratio, where=change > 1e-9)
+        basis[:, ratio.argmin()] = column
+    times = np.floor(np.linalg.solve(basis, need) + 1e-6).astype("int64")
+    out = [([x for x, a in zip(sizes, basis[:, j], strict=True) for _ in range(int(a))], int(times[j])) for j in range(k)]
+    return sorted(out, key=lambda c: (-sum(c[0]), c[0]))
+
+
+def _place(counts: np.ndarray, configurations: list[tuple[list[int], int]], capacity: int) -> tuple[list[Run], int]:
+    """Runs and number of sequences: documents in the places of configurations, the others by best fit."""
+    open_ = counts.copy()
+    open_[0] = 0
     runs: list[Run] = []
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (sequence, how many)
-    taken = np.zeros(capacity + 1, dtype="int64")
-
-    sizes = _grouped(counts, large, groups)
-    next_sequence = 0
-    for places, times in _configurations(sizes, capacity):
-        # Slots of a configuration take the longest open documents of their groups.
-        cuts = {0, times}
-        slots = []
-        for g in places:
-            parts = sizes[g].take(times)
-            at = 0
-            for length, n in parts:
-                slots.append((at, n, length))
-                at += n
-                cuts.add(at)
-        edges = sorted(cuts)
-        for a, b in zip(edges, edges[1:], strict=False):
-            used = 0
-            for at, n, length in slots:
-                if at <= a < at + n:
-                    runs.append((length, int(taken[length]), b - a, next_sequence + a, used))
-                    taken[length] += b - a
-                    used += length
-            room[capacity - used].append((next_sequence + a, b - a))
-        next_sequence += times
+    sequences = 0
+
+    def put(length: int, r: int, sequence: int, n: int) -> None:
+        runs.append((length, int(counts[length] - open_[length]), n, sequence, capacity - r))
+        open_[length] -= n
+
+    for places, times in configurations:
+        if times <= 0:
+            continue
+        now, later = [(capacity, sequences, times)], sum(places)
+        sequences += times
+        for size in places:
+            later -= size
+            after = []
+            for r, sequence, n in now:
+                while n:
+                    fit = np.flatnonzero(open_[capacity // 8 + 1 : r - later + 1])
+                    if not len(fit):
+                        after.append((r, sequence, n))
+                        break
+                    length = capacity // 8 + 1 + int(fit[-1])
+                    use = min(n, int(open_[length]))
+                    put(length, r, sequence, use)
+                    after.append((r - length, sequence, use))
+                    sequence, n = sequence + use, n - use
+            now = after
+        for r, sequence, n in now:
+            room[r].append((sequence, n))
 
     levels = np.zeros(capacity + 1, dtype=bool)
-    for r in room:
-        levels[r] = True
-    for length in range(capacity // 8, -1, -1):
-        left = int(counts[length]) - int(taken[length]) if length else 0
-        while left > 0:
-            fits = np.flatnonzero(levels[length:])
-            if len(fits):
-                r = length + int(fits[0])
+    levels[list(room)] = True
+    for length in range(capacity, 0, -1):
+        while left := int(open_[length]):
+            fit = np.flatnonzero(levels[length:])
+            if len(fit):
+                r = length + int(fit[0])
                 sequence, n = room[r].pop()
-                if not room[r]:
-                    levels[r] = False
+                levels[r] = bool(room[r])
             else:
                 # As many documents of this length as fit share each new sequence.
-                r, sequence, n = capacity, next_sequence, -(-left // (capacity // length))
-                next_sequence += n
+                r, sequence, n = capacity, sequences, -(-left // (capacity // length))
+                sequences += n
             use = min(n, left)
             if use < n:
                 room[r].append((sequence + use, n - use))
                 levels[r] = True
-            runs.append((length, int(taken[length]), use, sequence, capacity - r))
-            taken[length] += use
-            left -= use
+            put(length, r, sequence, use)
             room[r - length].append((sequence, use))
             levels[r - length] = True
-    return runs
-
-
-class _Group:
-    """Lengths of one group, longest first; ``size`` is what they are rounded up to."""
-
-    def __init__(self, parts: list[list[int]]):
-        self.parts = parts
-        self.size = parts[0][0]
-
-    @property
-    def left(self) -> int:
-        return sum(n for _, n in self.parts)
-
-    def take(self, n: int) -> list[tuple[int, int]]:
-        out = []
-        while n:
-            length, have = self.parts[0]
-            use = min(n, have)
-            out.append((length, use))
-            n -= use
-            self.parts[0][1] -= use
-            if not self.parts[0][1]:
-                self.parts.pop(0)
-        return out
-
-
-def _grouped(counts: np.ndarray, large: list[int], groups: int) -> list[_Group]:
-    total = int(sum(counts[x] for x in large))
-    if not total:
-        return []
-    target = -(-total // groups)
-    out, parts, n = [], [], 0
-    for length in reversed(large):
-        left = int(counts[length])
-        while left:
-            use = min(left, target - n)
-            parts.append([length, use])
-            n += use
-            left -= use
-            if n == target:
-                out.append(_Group(parts))
-                parts, n = [], 0
-    if parts:
-        out.append(_Group(parts))
-    return out
-
-
-def _configurations(sizes: list[_Group], capacity: int):
-    """(groups with repetition, how often): fullest configurations, largest size first."""
-    open_ = [g.left for g in sizes]
-    value = [g.size for g in sizes]
-    for g, size in enumerate(value):
-        while open_[g]:
-            # The largest open size must go somewhere; fill the rest as full as possible.
-            # best[c]: group that completes a filling of exactly c, or -1.
-            space = capacity - size
-            reach = np.full(space + 1, -2, dtype="int64")
-            reach[0] = -1
-            for k in range(g, len(value)):
-                limit = open_[k] - (k == g)
-                used = np.zeros(space + 1, dtype="int64")
-                if limit <= 0:
-                    continue
-                for c in range(value[k], space + 1):
-                    if reach[c] == -2 and reach[c - value[k]] != -2 and used[c - value[k]] < limit:
-                        reach[c] = k
-                        used[c] = used[c - value[k]] + 1
-            c = int(np.flatnonzero(reach != -2)[-1])
-            places = [g]
-            while c:
-                places.append(int(reach[c]))
-                c -= value[places[-1]]
-            need = defaultdict(int)
-            for k in places:
-                need[k] += 1
-            times = min(open_[k] // n for k, n in need.items())
-            for k, n in need.items():
-                open_[k] -= n * times
-            yield places, times
+    return runs, sequences
 
 
 # ---- Spark job --------------------------------------------------------------------
