@@ -3,11 +3,14 @@
 Tree. A text is cut at line breaks into paragraphs (each keeps its break). A section ends
 at a blank line, or after a paragraph whose hash is 0 modulo 8, so an edit moves no other
 section border. The leaves below a paragraph are runs of words that end where a word's hash
-is 0 modulo 4 (about four words). A paragraph's hash covers its exact text, a section's the
-hashes of its paragraphs, the root those of all sections; equal roots mean equal texts.
+is 0 modulo 4 (about four words). Each node has a 128-bit digest: a paragraph's covers its leaf
+hashes and its exact text, a section's the digests of its paragraphs, the root's those of all
+sections; equal roots mean equal texts. A branch (:func:`branch`) holds the digests beside the way from
+a paragraph to the root, so :func:`belongs` checks a paragraph against a root without the text.
 
 The fingerprint is text: ``root:/SECTION.PARAGRAPH LEAVES...`` where the root is 128 bits in
-hex and section, paragraph and leaf hashes are 11, 6 and 4 URL-safe base64 digits. It alone
+hex; the digests of sections and paragraphs are cut to 11 and 6 URL-safe base64 digits, leaf hashes
+have 4. It alone
 is enough to compare two texts (:func:`likeness`) and to locate edits (:func:`changed`).
 
 Defined cases: a null text is fingerprinted as the empty one; the empty text has a root and
@@ -39,9 +42,23 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = Interned(lambda w: xxhash.xxh3_64_intdigest(w))
 
 
-def _digits(value: int, n: int) -> str:
-    raw = base64.urlsafe_b64encode(value.to_bytes(8, "big")).decode()
-    return raw[:n]
+#: (paragraph digest, its digits with those of its leaves)
+Leafed = tuple[bytes, str]
+#: Digests beside a paragraph: before and after it in its section, sections before and after that one.
+Branch = tuple[list[bytes], list[bytes], list[bytes], list[bytes]]
+
+
+def _digits(digest: bytes, n: int) -> str:
+    return base64.urlsafe_b64encode(digest[:9]).decode()[:n]
+
+
+def _digest(level: bytes, *parts: bytes) -> bytes:
+    """128-bit digest of a node; nodes of different levels never agree."""
+    return hashlib.blake2b(b"".join(parts), digest_size=16, person=level).digest()
+
+
+def _paragraph_digest(raw: bytes, leaves: str) -> bytes:
+    return _digest(b"paragraph", len(leaves).to_bytes(8, "big"), leaves.encode(), raw)
 
 
 def _leaves(paragraphs: list[str]) -> list[str]:
@@ -68,31 +85,52 @@ def _leaves(paragraphs: list[str]) -> list[str]:
     return [digits[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
 
-def fingerprint(text: str | None) -> str:
-    root = hashlib.blake2b(digest_size=16)
-    out: list[str] = []
-    section: list[str] = []
-    hashes: list[bytes] = []
-
-    def close() -> None:
-        if section:
-            own = xxhash.xxh3_64_intdigest(b"".join(hashes))
-            out.append("/" + _digits(own, _SECTION) + "".join(section))
-            section.clear()
-            hashes.clear()
-
+def _tree(text: str | None) -> list[list[Leafed]]:
+    """Sections of a text as lists of their paragraphs."""
+    sections: list[list[Leafed]] = []
+    ended = True
     paragraphs = (text or "").splitlines(keepends=True)
     for paragraph, leaves in zip(paragraphs, _leaves(paragraphs), strict=True):
-        raw = paragraph.encode("utf-8", "surrogatepass")
-        root.update(len(raw).to_bytes(8, "big"))
-        root.update(raw)
-        own = xxhash.xxh3_64_intdigest(raw)
-        hashes.append(own.to_bytes(8, "big"))
-        section.append("." + _digits(own, _PARAGRAPH) + leaves)
-        if own % 8 == 0 or not paragraph.strip():
-            close()
-    close()
-    return root.hexdigest() + ":" + "".join(out)
+        if ended:
+            sections.append([])
+        own = _paragraph_digest(paragraph.encode("utf-8", "surrogatepass"), leaves)
+        sections[-1].append((own, _digits(own, _PARAGRAPH) + leaves))
+        ended = own[-1] % 8 == 0 or not paragraph.strip()
+    return sections
+
+
+def _section_digest(section: list[Leafed]) -> bytes:
+    return _digest(b"section", *(d for d, _ in section))
+
+
+def fingerprint(text: str | None) -> str:
+    sections = _tree(text)
+    digests = [_section_digest(section) for section in sections]
+    body = (
+        "/" + _digits(digest, _SECTION) + "".join("." + digits for _, digits in section)
+        for digest, section in zip(digests, sections, strict=True)
+    )
+    return _digest(b"root", *digests).hex() + ":" + "".join(body)
+
+
+def branch(text: str | None, number: int) -> Branch:
+    """The digests that lead from paragraph ``number`` (from 0) to the root."""
+    sections = _tree(text)
+    digests = [_section_digest(section) for section in sections]
+    for i, section in enumerate(sections):
+        if number < len(section):
+            own = [d for d, _ in section]
+            return own[:number], own[number + 1 :], digests[:i], digests[i + 1 :]
+        number -= len(section)
+    raise IndexError(number)
+
+
+def belongs(paragraph: str, way: Branch, fp: str) -> bool:
+    """Whether a paragraph (with its line break) stands at the place of a branch below the root of a fingerprint."""
+    left, right, before, after = way
+    own = _paragraph_digest(paragraph.encode("utf-8", "surrogatepass"), _leaves([paragraph])[0])
+    section = _digest(b"section", *left, own, *right)
+    return _digest(b"root", *before, section, *after).hex() == fp[:32]
 
 
 def _sections(fp: str) -> list[tuple[str, str]]:

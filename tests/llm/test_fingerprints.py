@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from fogon.llm import queries
-from fogon.llm.fingerprints import changed, compare_with_next, edited_text, fingerprint, likeness
+from fogon.llm.fingerprints import _tree, belongs, branch, changed, compare_with_next, edited_text, fingerprint, likeness
 
 
 def words(rng, n):
@@ -44,6 +44,21 @@ def test_edits_are_located():
     assert changed(fingerprint("\n".join(lines)), fingerprint("\n".join(other))) == [7, 20, 33]
 
 
+def test_branches_lead_to_the_root():
+    rng = random.Random(3)
+    lines = [words(rng, rng.randrange(0, 12)) + "\n" for _ in range(60)]
+    text = "".join(lines)
+    fp = fingerprint(text)
+    assert len(_tree(text)) > 3
+    for i, line in enumerate(lines):
+        way = branch(text, i)
+        assert belongs(line, way, fp)
+        assert not belongs(line + " ", way, fp) and not belongs(line, way, fingerprint(text + "x"))
+    assert not belongs(lines[0], branch(text, 1), fp) or lines[0] == lines[1]
+    # Digests of the tree are those that the fingerprint shows.
+    assert fp.count("/") == len(_tree(text)) and fp.count(".") == len(lines)
+
+
 def by_hand(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = []
