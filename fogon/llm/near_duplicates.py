@@ -5,10 +5,14 @@ is at least ``threshold``.
 
 1. Classes. Texts with equal shingle sets are one class (a 128-bit hash of the set), found by
    one group-by; from here on a class is one row, whatever its number of copies.
-2. Forest. Each class has ``trees`` MinHash sequences; sorted, they form a prefix trie per
-   tree. Matching starts at the full depth and prefixes are shortened until the chance that
-   a pair at the threshold shares one in some tree reaches ``recall`` (:func:`prefix_length`).
-   Classes below the same node of a trie are candidates.
+2. Forest. Each class has ``trees`` MinHash sequences; as big-endian bytes they sort like
+   the paths of a prefix trie per tree, and a prefix of a path is a node. Matching starts at
+   the full depth. A class shortens its matched prefixes, tree by tree and value by value,
+   where that brings in the fewest further classes, until the chance that a link at the
+   threshold shares one of its prefixes reaches ``recall`` (:func:`matched_depths`). So a
+   class in a quiet place is matched by short prefixes in every tree, one below crowded
+   nodes keeps long prefixes in its most crowded trees (:func:`forest_nodes`). Classes
+   below the same matched node are candidates.
 3. Groups. Within a node (split over a hash if it is large) classes are compared with a few
    leaders by 8-bit MinHash agreement; those within six standard errors of the threshold are
    joined. Nodes whose members are then still in different groups are compared exhaustively
@@ -27,6 +31,7 @@ if all are null); an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, "uint64")
 #: Rows and shingles of a block; a task holds two blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 17
+#: A trie node is crowded above this many classes; below, its prefix is shortened without asking.
+CROWD = 64
 
 
 def word_hashes() -> Interned:
@@ -67,7 +74,8 @@ def shingles(text: str | None, k: int = 5, known: Interned | None = None) -> np.
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Longest matched prefix at which a pair at the threshold is found with chance ``recall``."""
+    """Longest prefix at which, used in every tree, a pair at the threshold is found with chance
+    ``recall``: no prefix has to be shortened below it."""
     d = depth
     while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
         d -= 1
@@ -90,18 +98,40 @@ def signature(shingle_hashes: np.ndarray, trees: int = TREES, depth: int = DEPTH
     return out
 
 
-def nodes_of(sig: np.ndarray, d: int, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
-    """Trie node of each tree: a hash of (tree, first ``d`` values)."""
-    by_tree = sig.reshape(trees, depth).astype("uint64")
-    h = np.arange(1, trees + 1, dtype="uint64") * _MIX
-    for i in range(d):
-        h = (h ^ by_tree[:, i]) * _MIX
-        h ^= h >> np.uint64(29)
-    return h.view("int64")
+def paths_of(sig: np.ndarray) -> bytes:
+    """The signature as bytes that sort like the values: the paths of all trees, one after another."""
+    return sig.astype(">u4").tobytes()
+
+
+def matched_depths(
+    crowds: list[tuple[int, list[int]]], quiet: int, threshold: float, shortest: int, depth: int, recall: float
+) -> dict[int, int]:
+    """Tree -> length of the prefix by which a class is matched there.
+
+    ``crowds`` holds, for each crowded tree, the classes below the class's nodes of lengths
+    ``shortest`` to ``depth``; in ``quiet`` further trees it is matched at ``shortest``. A
+    link at the threshold is missed by a tree with chance 1 - threshold^length. Prefixes are
+    shortened one value at a time, the one that brings in the fewest classes first.
+    """
+    miss = {d: float(np.log1p(-(threshold**d))) for d in range(shortest, depth + 1)}
+    at = {tree: depth for tree, _ in crowds}
+    total = quiet * miss[shortest] + len(crowds) * miss[depth]
+    steps = [(n[-2] - n[-1], tree) for tree, n in crowds] if depth > shortest else []
+    heapq.heapify(steps)
+    sizes = dict(crowds)
+    while steps and total > np.log(1 - recall):
+        _, tree = heapq.heappop(steps)
+        at[tree] -= 1
+        d = at[tree]
+        total += miss[d] - miss[d + 1]
+        if d > shortest:
+            n = sizes[tree]
+            heapq.heappush(steps, (n[d - 1 - shortest] - n[d - shortest], tree))
+    return at
 
 
 _SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64())), ("bits", pa.binary())]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("paths", pa.binary()), ("bits", pa.binary())]
 )
 
 
@@ -110,7 +140,7 @@ def _mark():
     return F.xxhash64("text").alias("mark")
 
 
-def _signed(docs: DataFrame, k: int, d: int) -> DataFrame:
+def _signed(docs: DataFrame, k: int) -> DataFrame:
     def work(batches):
         def rows():
             known = word_hashes()
@@ -120,7 +150,7 @@ def _signed(docs: DataFrame, k: int, d: int) -> DataFrame:
                     sig = signature(own)
                     yield (
                         doc_id, mark, xxhash.xxh3_128_digest(own.tobytes()), len(own),
-                        nodes_of(sig, d).tolist(), (sig & np.uint32(255)).astype("u1").tobytes(),
+                        paths_of(sig), (sig & np.uint32(255)).astype("u1").tobytes(),
                     )
                 else:
                     key = None if text is None else b"=" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
@@ -129,7 +159,7 @@ def _signed(docs: DataFrame, k: int, d: int) -> DataFrame:
         yield from emit(rows(), _SIGNED, 1000)
 
     return docs.select(F.col("doc_id").cast("long"), _mark(), "text").mapInArrow(
-        work, "doc_id long, mark long, key binary, n long, nodes array<long>, bits binary"
+        work, "doc_id long, mark long, key binary, n long, paths binary, bits binary"
     )
 
 
@@ -305,6 +335,87 @@ def _in_block_pairs(df: DataFrame, blocks: str, by: list[str], rest: list[str])
     return spread.select(*by, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *rest)
 
 
+def _part(parts: str):
+    """Part of a large node that a class is in, so joins by node are dealt over its parts."""
+    return F.pmod(F.xxhash64("key"), F.col(parts)).cast("int")
+
+
+def _every_part(parts: str):
+    return F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1)).alias("part")
+
+
+def _by_node(rows: DataFrame, prefix, value, name: str) -> DataFrame:
+    """``rows`` (tree, path, key, parts, ...) with an aggregate over each node ``prefix`` of a tree.
+
+    One row per node and task is shuffled to aggregate; the join is dealt over node parts.
+    """
+    held = rows.withColumns({"prefix": prefix, "part": _part("parts")})
+    # Nodes of one crowd share its number of parts.
+    per_node = held.groupBy("tree", "prefix").agg(value.alias(name), F.first("parts").alias("parts"))
+    spread = per_node.select("tree", "prefix", name, _every_part("parts"))
+    return held.join(spread, ["tree", "prefix", "part"]).drop("prefix", "part")
+
+
+def forest_nodes(classes: DataFrame, shortest: int, threshold: float, recall: float, crowd: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(node, key, m): the matched node of each class (key, paths) in each tree, ``m`` classes
+    below it; nodes of one class are left out. Also the staged folders it reads.
+
+    Nodes of at most ``crowd`` classes at the shortest prefix are matched there. Classes below
+    crowded ones choose by :func:`matched_depths`; a node is matched if a class chose it, and
+    every class below it joins, so a pair meets wherever either of the two has shortened.
+    """
+    crowd = CROWD if crowd is None else crowd
+    spark, width, staged = classes.sparkSession, 4 * DEPTH, []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        staged.append(write_stage(df, label))
+        return spark.read.schema(df.schema).parquet(staged[-1])
+
+    def prefix(d: int):
+        return F.substring("path", 1, 4 * d)
+
+    every = F.sequence(F.lit(0), F.lit(TREES - 1))
+    rows = classes.select("key", "paths", F.explode(every).alias("tree")).select(
+        "key", "tree", F.substr("paths", F.col("tree") * width + 1, F.lit(width)).alias("path")
+    )
+    sizes = rows.groupBy("tree", prefix(shortest).alias("prefix")).agg(F.count("*").alias("m")).where("m > 1")
+    met = rows.withColumn("prefix", prefix(shortest)).join(sizes, ["tree", "prefix"])
+    met = written(met.select("tree", "path", "key", "m"), "met")
+    node = F.xxhash64("tree", "prefix").alias("node")
+    quiet = met.where(F.col("m") <= crowd).withColumn("prefix", prefix(shortest)).select(node, "key", "m")
+
+    crowded = met.where(F.col("m") > crowd).withColumn("parts", F.ceil(F.col("m") / BLOCK_ROWS))
+    crowded = crowded.withColumnRenamed("m", f"m{shortest}")
+    for d in range(shortest + 1, DEPTH + 1):
+        crowded = _by_node(crowded, prefix(d), F.count("*"), f"m{d}")
+    crowded = written(crowded, "crowded")
+
+    @F.pandas_udf("array<struct<tree:int,depth:int>>")
+    def choose(trees: pd.Series) -> pd.Series:
+        def one(held) -> list[dict]:
+            crowds = [(int(r["tree"]), [int(n) for n in r["n"]]) for r in held]
+            at = matched_depths(crowds, TREES - len(crowds), threshold, shortest, DEPTH, recall)
+            return [{"tree": t, "depth": d} for t, d in at.items()]
+
+        return trees.map(one)
+
+    # At most one row per tree for each class.
+    counts = F.array(*(f"m{d}" for d in range(shortest, DEPTH + 1)))
+    wanted = crowded.groupBy("key").agg(F.collect_list(F.struct("tree", counts.alias("n"))).alias("held"))
+    chosen = wanted.select("key", F.explode(choose("held")).alias("c")).select("key", "c.tree", "c.depth")
+    cut = written(crowded.join(chosen, ["key", "tree"]), "cut")
+    # The shortest matched prefix above a class is its node: longer ones lie below it.
+    for d in range(shortest, DEPTH):
+        cut = _by_node(cut, prefix(d), F.min("depth"), f"least{d}")
+    depth, m = F.lit(DEPTH), F.col(f"m{DEPTH}")
+    for d in range(DEPTH - 1, shortest - 1, -1):
+        depth = F.when(F.col(f"least{d}") <= d, d).otherwise(depth)
+        m = F.when(F.col(f"least{d}") <= d, F.col(f"m{d}")).otherwise(m)
+    deep = cut.select("tree", "path", "key", m.alias("m"), depth.alias("depth")).where("m > 1")
+    deep = deep.withColumn("prefix", F.substr("path", F.lit(1), F.col("depth") * 4)).select(node, "key", "m")
+    return quiet.unionByName(deep), staged
+
+
 def text_key(text: str | None, k: int = 5) -> bytes | None:
     """Equal for texts of equal shingle sets; texts without words by the text, null for null."""
     own = shingles(text, k)
@@ -328,26 +439,26 @@ def jaccard_join(
     error = np.sqrt(threshold * (1 - threshold) / width)
     least = threshold - 6 * error
 
-    signed_path = write_stage(_signed(docs, k, d), "signed")
+    signed_path = write_stage(_signed(docs, k), "signed")
     signed = spark.read.schema(
-        "doc_id long, mark long, key binary, n long, nodes array<long>, bits binary"
+        "doc_id long, mark long, key binary, n long, paths binary, bits binary"
     ).parquet(signed_path)
     # Copies collapse before anything is shuffled twice; signatures follow for one row a class.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     class_path = write_stage(
         signed.where("n > 0").groupBy("key").agg(
             F.min(place).alias("at"), F.count("*").alias("weight"), F.first("n").alias("n"),
-            F.first("nodes").alias("nodes"), F.first("bits").alias("bits"),
-        ).select("key", F.col("at.doc_id").alias("rep"), F.col("at.mark").alias("mark"), "weight", "n", "nodes", "bits"),
+            F.first("paths").alias("paths"), F.first("bits").alias("bits"),
+        ).select("key", F.col("at.doc_id").alias("rep"), F.col("at.mark").alias("mark"), "weight", "n", "paths", "bits"),
         "classes",
     )
     classes = spark.read.schema(
-        "key binary, rep long, mark long, weight long, n long, nodes array<long>, bits binary"
+        "key binary, rep long, mark long, weight long, n long, paths binary, bits binary"
     ).parquet(class_path)
 
-    members = classes.select("key", F.explode("nodes").alias("node"))
-    sizes = members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    active_path = write_stage(members.join(sizes, "node"), "nodes")
+    matched, matched_paths = forest_nodes(classes.select("key", "paths"), d, threshold, recall)
+    active_path = write_stage(matched, "nodes")
+    drop_stage(*matched_paths)
     active = spark.read.schema("node long, key binary, m long").parquet(active_path)
     bits = classes.select("key", "bits")
     with_bits = active.join(bits, "key")
@@ -362,9 +473,12 @@ def jaccard_join(
     rooted = active.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key")
     )
-    spanning = rooted.groupBy("node").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("node")
+    rooted = rooted.withColumn("nb", F.ceil(F.col("m") / BLOCK_ROWS))
+    spanning = rooted.groupBy("node").agg(
+        (F.min("root") < F.max("root")).alias("open"), F.first("nb").alias("parts")
+    ).where("open").select("node", _every_part("parts"))
     blocks = _in_block_pairs(
-        rooted.join(spanning, "node").join(bits, "key").withColumn("nb", F.ceil(F.col("m") / BLOCK_ROWS)),
+        rooted.withColumn("part", _part("nb")).join(spanning, ["node", "part"]).join(bits, "key"),
         "nb", ["node"], ["key", "root", "bits"],
     )
     second = _grouped(blocks, ["node", "i", "j"]).mapInArrow(_cross_edges(least), "a binary, b binary")

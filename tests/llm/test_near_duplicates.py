@@ -143,3 +143,63 @@ def test_null_and_repeated_ids_are_joined_once(spark):
     assert sets.count() == 30
     kept = nd.keep_one(df)[0].collect()
     assert len(kept) == 30 and sum(r.doc_id == 7 for r in kept) == 1
+
+
+def test_crowded_trees_keep_long_prefixes_until_the_recall_is_met():
+    crowds = [(t, [1000 * (t + 1), 100, 10]) for t in range(10)]
+    at = nd.matched_depths(crowds, 6, 0.8, 3, 5, 0.9999)
+    assert set(at) == set(range(10)) and set(at.values()) == {4, 5}
+    # The cheapest trees are shortened first, the most crowded stay deep.
+    assert [at[t] for t in sorted(at)] == sorted(at.values())
+    missed = (1 - 0.8**3) ** 6 * np.prod([1 - 0.8**d for d in at.values()])
+    assert missed <= 1e-4
+    one_less = dict(at)
+    first = max(t for t, d in at.items() if d < 5)
+    one_less[first] += 1
+    assert (1 - 0.8**3) ** 6 * np.prod([1 - 0.8**d for d in one_less.values()]) > 1e-4
+    assert nd.matched_depths([], 16, 0.8, 3, 5, 0.9999) == {}
+    assert nd.matched_depths([(0, [9, 8, 8])], 0, 0.8, 3, 5, 0.9999) == {0: 3}
+
+
+def test_matched_depth_differs_between_documents(spark):
+    """A crowd shares its first three values in most trees; a quiet pair does so in one."""
+    rng = np.random.default_rng(11)
+    crowd, rows = rng.integers(0, 2**32, (nd.TREES, nd.DEPTH), dtype="uint32"), []
+    for i in range(200):
+        own = crowd.copy()
+        own[:, 3:] = rng.integers(0, 4, (nd.TREES, 2))
+        own[12:, :3] = rng.integers(0, 2**32, (4, 3))
+        rows.append((f"crowd{i}".encode(), nd.paths_of(own.reshape(-1))))
+    quiet = rng.integers(0, 2**32, (2, nd.TREES, nd.DEPTH), dtype="uint32")
+    quiet[1, 7, :3] = quiet[0, 7, :3]
+    rows += [(f"quiet{i}".encode(), nd.paths_of(q.reshape(-1))) for i, q in enumerate(quiet)]
+    frame = spark.createDataFrame(rows, "key binary, paths binary")
+    got, _ = nd.forest_nodes(frame, 3, 0.8, 0.9999, crowd=64)
+    nodes = {}
+    for r in got.collect():
+        nodes.setdefault(r.node, (r.m, []))[1].append(bytes(r.key))
+    assert all(m == len(keys) == len(set(keys)) for m, keys in nodes.values())
+    pair = [keys for _, keys in nodes.values() if any(k.startswith(b"quiet") for k in keys)]
+    assert [sorted(k) for k in pair] == [[b"quiet0", b"quiet1"]]
+    sizes = sorted(len(keys) for _, keys in nodes.values())
+    assert sizes.count(200) < 12 and 200 in sizes  # some trees at three values, some deeper
+    assert any(2 < n < 200 for n in sizes)
+    # Each class has at most one node per tree, and none lost its shallowest open node.
+    per_key = {}
+    for _, keys in nodes.values():
+        for k in keys:
+            per_key[k] = per_key.get(k, 0) + 1
+    assert all(per_key[f"crowd{i}".encode()] <= 12 for i in range(200))
+
+
+def test_a_crowd_of_near_copies_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CROWD", 8)
+    rng = np.random.default_rng(23)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.integers(0, 300, int(rng.integers(0, 7))):
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    assert joined(spark, rows) == brute(rows)
