@@ -4,8 +4,9 @@ Writing. Each task writes one ``part-*.warc.gz`` of gzip members, a record per m
 beside it ``part-*.idx``, the members' byte offsets. Files appear under their final name
 only when the job commits; what a failed or repeated task wrote is removed.
 
-Reading. Partitions are byte ranges of files, cut at offsets of the index, so a large file
-is read by many tasks; a file without an index is one partition. Equality, IN, null and
+Reading. Partitions are byte ranges of files, planned from the listing alone: a task finds the
+members that begin in its range by a binary search in the index and reads that slice of it,
+so no offset passes through the driver. A file without an index is one partition. Equality, IN, null and
 prefix filters on ``record_type`` and on header columns are taken over by the source: the
 headers of a record are parsed first, and the payload of an unwanted record is neither
 inflated (the index says where the next one begins) nor decoded. With option
@@ -140,10 +141,32 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class _Span(InputPartition):
-    """Members from offset ``first`` up to ``last`` of a file; ``index`` None: to its end."""
+    """Members that begin at bytes ``first`` to ``last`` (exclusive) of a file."""
 
-    def __init__(self, path: str, offsets: bytes | None):
-        self.path, self.offsets = path, offsets
+    def __init__(self, path: str, first: int, last: int, indexed: bool):
+        self.path, self.first, self.last, self.indexed = path, first, last, indexed
+
+
+def _index_of(archive: str) -> str:
+    return archive.removesuffix(".warc.gz") + ".idx"
+
+
+def _offsets_between(index, first: int, last: int) -> np.ndarray:
+    """Offsets of the members that begin in [first, last), and the one where the last of them ends."""
+
+    def at(i: int, n: int = 1) -> np.ndarray:
+        index.seek(8 * i)
+        return np.frombuffer(index.read(8 * n), dtype="<u8")
+
+    def place(value: int) -> int:
+        low, high = 0, index.size() // 8 - 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if int(at(middle)[0]) < value else (low, middle)
+        return low
+
+    a, b = place(first), place(last)
+    return at(a, b - a + 1)
 
 
 class WarcReader(DataSourceReader):
@@ -167,18 +190,11 @@ class WarcReader(DataSourceReader):
         found = {i.path: i for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))}
         out = []
         for path in sorted(p for p in found if p.endswith(".warc.gz") and not posixpath.basename(p).startswith(".")):
-            index = path.removesuffix(".warc.gz") + ".idx"
-            if index not in found:
-                out.append(_Span(path, None))
-                continue
-            with fs.open_input_file(index) as file:
-                offsets = np.frombuffer(file.read(), dtype="<u8")
-            a = 0
-            while a < len(offsets) - 1:
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.split, side="right")) - 1)
-                out.append(_Span(path, offsets[a : b + 1].tobytes()))
-                a = b
-        return out or [_Span("", b"")]
+            size = found[path].size
+            indexed = _index_of(path) in found
+            step = self.split if indexed else max(size, 1)
+            out += [_Span(path, at, min(at + step, size), indexed) for at in range(0, size, step)]
+        return out or [_Span("", 0, 0, False)]
 
     def _wanted(self, row: dict) -> bool:
         for kind, name, value in self.tests:
@@ -201,8 +217,12 @@ class WarcReader(DataSourceReader):
         fs, _ = _filesystem(self.path)
         held: list[dict] = []
         size = 0
+        offsets = None
+        if partition.indexed:
+            with fs.open_input_file(_index_of(partition.path)) as index:
+                offsets = _offsets_between(index, partition.first, partition.last)
         with fs.open_input_file(partition.path) as file:
-            for row in self._records(file, partition.offsets):
+            for row in self._records(file, offsets):
                 held.append(row)
                 size += len(row["payload"] or "")
                 if len(held) == 1000 or size > 8 << 20:
@@ -211,7 +231,7 @@ class WarcReader(DataSourceReader):
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
-    def _records(self, file, offsets: bytes | None) -> Iterator[dict]:
+    def _records(self, file, offsets: np.ndarray | None) -> Iterator[dict]:
         if offsets is None:
             at, end = 0, file.size()
             while at < end:
@@ -221,7 +241,7 @@ class WarcReader(DataSourceReader):
                 if row is not None:
                     yield row
             return
-        bounds = np.frombuffer(offsets, dtype="<u8").tolist()
+        bounds = offsets.tolist()
         for a, b in zip(bounds, bounds[1:], strict=False):
             row = self._row(_Member(file, a, b))
             if row is not None:

@@ -98,7 +98,7 @@ def test_splits_and_a_lost_index(spark, archive):
     assert sorted(map(str, split.collect())) == whole
     reader = warc.WarcReader({"path": archive})
     got = [str(r) for n in os.listdir(folder(archive)) if n.endswith(".gz")
-           for b in reader.read(warc._Span(f"{folder(archive)}/{n}", None)) for r in b.to_pylist()]
+           for b in reader.read(warc._Span(f"{folder(archive)}/{n}", 0, 0, False)) for r in b.to_pylist()]
     assert len(got) == len(whole)
 
 
@@ -116,3 +116,39 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.dedup_records(pages).write.format("fogon_warc").mode("append").save(path)
     assert spark.read.format("fogon_warc").load(path).collect() == []
+
+
+def test_partitions_come_from_the_listing_alone(spark, tmp_path):
+    """Spans are few bytes whatever the number of records; together they read every record once."""
+    import io
+    import pickle
+
+    import numpy as np
+
+    from fogon.llm import warc
+
+    warc.register(spark)
+    rows = [(f"urn:page:{i}", f"text {i} " * (1 + i % 50)) for i in range(3000)]
+    frame = warc.dedup_records(
+        spark.createDataFrame([(i, None, t) for i, (_, t) in enumerate(rows)], "page_id long, url string, html string")
+    )
+    path = str(tmp_path / "archive")
+    frame.coalesce(1).write.format("fogon_warc").mode("append").option("path", path).save()
+    for split in (1, 777, 5000, 1 << 25):
+        spans = warc.WarcReader({"path": path, "splitBytes": str(max(split, 300))}).partitions()
+        assert max(len(pickle.dumps(s)) for s in spans) < 1000
+    back = spark.read.format("fogon_warc").option("path", path).option("splitBytes", "5000").load()
+    assert sorted(r.record_id for r in back.select("record_id").collect()) == sorted(i for i, _ in rows)
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    offsets = [0, 5, 9, 30, 31, 64]
+    file = File(np.array(offsets, dtype="<u8").tobytes())
+    for step in range(1, 70):
+        starts = []
+        for a in range(0, 64, step):
+            got = warc._offsets_between(file, a, min(a + step, 64)).tolist()
+            starts += got[:-1]
+        assert starts == offsets[:-1]
