@@ -12,7 +12,8 @@ the texts that are not toxic, and K is the rate of their segments at a fixed sco
 with E below ``e_most`` are significant; a text's evidence is the sum of their -ln E.
 
 Score. A logistic curve through (evidence, label) of the training texts turns evidence into
-the probability of label 1, so 0.3 means 0.3.
+the probability of label 1, so 0.3 means 0.3. The evidence of each fold of those texts comes
+from weights of the other folds; where some fold leaves nothing to learn from, from all texts.
 
 Training takes at most ``max_labels`` labelled texts, chosen by a hash of the id (all, if
 there are fewer), so the labels that are broadcast, the words and the curve are bounded.
@@ -141,8 +142,8 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit(rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: float = 0.1, e_most: float = 0.5) -> ToxicityModel:
-    """Model from (text, toxic)."""
+def _weigh(rows: DataFrame, prior: float, z_least: float, share: float, e_most: float) -> ToxicityModel:
+    """Model from (text, toxic), still without a curve; without weights where nothing can be learned."""
     model = ToxicityModel(plain=float(np.log(1 - share)), e_most=e_most)
     sizes = {r.toxic == 1: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = sum(sizes.values())
@@ -170,9 +171,28 @@ def fit(rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: flo
     # Rate of segments in the texts that are not toxic: K = count(S >= x) / words * exp(lambda x).
     plain = rows.where("toxic <> 1").select(_rate(model)(F.col("text")).alias("n")).agg(F.sum("n")).first()[0] or 0
     model.rate = (plain + 0.5) / n_o * float(np.exp(model.lam * _RATE_SCORE))
-    found = rows.select(detect(model, F.col("text")).alias("r"), F.col("toxic")).groupBy(
-        F.round("r.evidence", 2).alias("e"), "toxic"
-    ).agg(F.count("*").alias("n")).toPandas()
+    return model
+
+
+def fit(
+    rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: float = 0.1, e_most: float = 0.5, folds: int = 3
+) -> ToxicityModel:
+    """Model from (text, toxic); the curve comes from texts that gave no weights (``folds``)."""
+    model = _weigh(rows, prior, z_least, share, e_most)
+    if not model.weights:
+        return model
+    # Copies of a text are in one fold.
+    own = F.pmod(F.xxhash64("text"), F.lit(folds))
+    models = [_weigh(rows.where(own != i), prior, z_least, share, e_most) for i in range(folds)]
+    if all(m.weights for m in models):
+        parts = [(m, rows.where(own == i)) for i, m in enumerate(models)]
+    else:
+        parts = [(model, rows)]
+    found = pd.concat(
+        part.select(detect(m, F.col("text")).alias("r"), F.col("toxic")).groupBy(F.round("r.evidence", 2).alias("e"), "toxic")
+        .agg(F.count("*").alias("n")).toPandas()
+        for m, part in parts
+    )
     model.curve = _logistic(found.e.to_numpy(), (found.toxic == 1).to_numpy(), found.n.to_numpy())
     return model
 
