@@ -336,7 +336,9 @@ def _district_route(paths: DataFrame, locations: DataFrame) -> DataFrame:
 
 def route_shortest_path(mesh: DataFrame, locations: DataFrame, source, target) -> DataFrame:
     """Fewest minutes between two locations: districts on the way and total minutes."""
-    best = cheapest_paths(_edges(mesh, "tenths"), source).where(F.col("node") == target)
+    best = cheapest_paths(_edges(mesh, "tenths"), source, target=target).where(
+        F.col("node") == target
+    )
     return _district_route(best, locations).select(
         "route", (F.col("cost") / 10).alias("total_minutes")
     )
@@ -362,7 +364,7 @@ def route_bounded_path(
     """
     if source == target:
         raise ValueError("source and target must differ")
-    best = cheapest_paths(_edges(mesh, "metres"), source, max_hops).where(
+    best = cheapest_paths(_edges(mesh, "metres"), source, max_hops, target=target).where(
         F.col("node") == target
     )
     hundredths = F.call_function("div", F.col("cost") + 5, F.lit(10))

@@ -116,6 +116,29 @@ def test_paths_on_sparse_graph(spark, seed):
     assert got == dijkstra(edges, 0)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_path_to_one_target_equals_the_search_for_all(spark, seed):
+    rng = random.Random(100 + seed)
+    pairs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(45)})
+    edges = [(s, d, rng.randrange(0, 6)) for s, d in pairs if s != d]
+    df = spark.createDataFrame(edges, "src int, dst int, cost bigint")
+    want = dijkstra(edges, 0)
+    for target in (0, 3, 7, 11, 99):
+        found = cheapest_paths(df, 0, target=target, rounds_per_write=2).where(F.col("node") == target).collect()
+        assert {r["node"]: (r["cost"], r["hops"], r["path"]) for r in found} == {
+            t: v for t, v in want.items() if t == target
+        }
+
+
+def test_search_for_a_near_target_settles_few_nodes(spark):
+    """A chain with a dear direct edge: nodes behind the target are never kept."""
+    chain = [(i, i + 1, 1) for i in range(300)] + [(0, i, 1000) for i in range(1, 301, 7)]
+    df = spark.createDataFrame([*chain, (0, 6, 20)], "src int, dst int, cost bigint")
+    state = cheapest_paths(df, 0, target=6).collect()
+    assert {r["node"]: r["cost"] for r in state}[6] == 6
+    assert len(state) <= 8
+
+
 def test_bounded_paths_equal_listing_all_trails(spark):
     rng = random.Random(5)
     edges = [(s, d, rng.randrange(1, 50)) for s in range(6) for d in range(6) if s != d]
