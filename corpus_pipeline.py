@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fogon.llm import decontamination, langid, near_duplicates, packing, toxicity
-from fogon.llm.common import drop_stage, fold, tune, write_stage
+from fogon.llm.common import drop_stage, fold, tune
+from fogon.operators.staging import fresh_dir, staged_here
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    model = langid.fit(docs.where(fold() != 2).select("doc_id", "lang", "text"))
-    return docs.where(~langid.identify(model, docs["text"])["rejected"])
+    # A name that no column has.
+    own = "r" + "_" * max(map(len, docs.columns))
+    return langid.label(docs, fold() != 2, docs.columns, own).where(~F.col(own)["rejected"]).drop(own)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        path = write_stage(made, name)
+        path = fresh_dir(spark, name)
+        # What a stage wrote for itself goes when its result is written.
+        with staged_here():
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
         if before:
             drop_stage(before)

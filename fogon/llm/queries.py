@@ -68,8 +68,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = langid.fit(docs.where(fold() != 2).select("doc_id", "lang", "text"))
-    found = docs.select("doc_id", (fold() == 2).alias("held_out"), langid.identify(model, F.col("text")).alias("r"))
+    found = langid.label(docs, fold() != 2, ["doc_id"], "r").withColumn("held_out", fold() == 2)
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.entropy", "r.rejected")
 
 

@@ -148,3 +148,34 @@ def test_model_against_a_loop_whatever_the_ranges(spark, monkeypatch):
             padded = langid._START * 3 + word + langid._END
             want = sum(np.log(by_hand(texts, padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
             assert np.isclose(model.log_probs([word])[0, 0], want, rtol=1e-5)
+
+
+def test_limits_come_from_all_training_texts(spark):
+    """More texts of a language than the 2,000 a sample once took: exact quantiles per length class."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(2, 7, 400)]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(1, 9, 3000)] + ["qxyz" * 40]
+    frame = spark.createDataFrame([(i, "aa", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    model = langid.fit(frame)
+    classes = {}
+    for r in run(spark, model, texts):
+        classes.setdefault(r.letters.bit_length(), []).append(r.entropy)
+    want = {(0, k): sorted(e)[int(np.ceil(0.995 * len(e))) - 1] + 2.0 for k, e in classes.items()}
+    assert set(model.limits) == set(want) and all(np.isclose(model.limits[k], want[k], atol=1e-9) for k in want)
+
+
+def test_label_scores_once_and_rejects_as_the_model(spark, monkeypatch):
+    rows = [(i, lang, t, i) for i, (lang, t) in enumerate([
+        ("en", "the cat sat on the mat " * 5), ("en", "a dog ran after the cat"), ("de", "der hund lief der katze nach"),
+        ("de", "zwölf boxkämpfer jagen viktor"), (None, "zzqq xxjj qqkk"), ("en", None), ("de", "123 !!"), ("en", "中文文本没有空格" * 9),
+    ] * 3)] + [(None, "en", "the mat", 0), (0, "en", "the mat", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, rejected int")
+    model = langid.fit(docs.where(fold() != 2))
+    want = docs.select("doc_id", "rejected", langid.identify(model, F.col("text")).alias("r")).collect()
+    calls = []
+    scored = langid.identify
+    monkeypatch.setattr(langid, "identify", lambda *a: calls.append(a) or scored(*a))
+    got = langid.label(docs, fold() != 2, ["doc_id", "rejected"], "r")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(calls) == 1
+    nothing = langid.label(docs.withColumn("lang", F.lit(None).cast("string")), fold() != 2, ["doc_id"], "r")
+    assert {(r.r.lang_pred, r.r.rejected) for r in nothing.collect()} == {("und", True)}
