@@ -15,8 +15,8 @@ Score. A logistic curve through (evidence, label) of the training texts turns ev
 the probability of label 1, so 0.3 means 0.3. The evidence of each fold of those texts comes
 from weights of the other folds; where some fold leaves nothing to learn from, from all texts.
 
-Training takes at most ``max_labels`` labelled texts, chosen by a hash of the id (all, if
-there are fewer), so the labels that are broadcast, the words and the curve are bounded.
+Training takes all labelled texts of the training folds. They meet their labels once and are
+written; every pass of the fit reads them from there.
 
 Defined cases: a null or word-free text has no passage and gets the score of no evidence;
 null labels are not learned from; of repeated labels the largest counts; without both
@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogon.llm.common import docs_of, word_bytes
+from fogon.llm.common import docs_of, drop_stage, word_bytes, write_stage
 
-MAX_LABELS = 200_000
 _RATE_SCORE = 1.0
 #: Words a task counts before it hands on what it has.
 _HELD = 100_000
@@ -99,16 +98,18 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-x)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(text, toxic) of labelled training texts; the labels, at most ``max_labels``, are broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, max_labels: int | None = None) -> DataFrame:
+    """(text, toxic) of all labelled training texts; with ``max_labels``, of at most so many, chosen
+    by a hash of the id. Whether the labels are broadcast is left to Spark's size check."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 2)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
-    width = 1 << 24
-    share = min(1.0, 0.95 * max_labels / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(width)) < int(share * width))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    if max_labels is not None:
+        width = 1 << 24
+        share = min(1.0, 0.95 * max_labels / max(1, known.count()))
+        if share < 1:
+            known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(width)) < int(share * width))
+    return docs.select("doc_id", "text").join(known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -178,6 +179,14 @@ def fit(
     rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: float = 0.1, e_most: float = 0.5, folds: int = 3
 ) -> ToxicityModel:
     """Model from (text, toxic); the curve comes from texts that gave no weights (``folds``)."""
+    rows = rows.select("text", "toxic")
+    written = write_stage(rows, "labelled")
+    model = _fit(rows.sparkSession.read.schema(rows.schema).parquet(written), prior, z_least, share, e_most, folds)
+    drop_stage(written)
+    return model
+
+
+def _fit(rows: DataFrame, prior: float, z_least: float, share: float, e_most: float, folds: int) -> ToxicityModel:
     model = _weigh(rows, prior, z_least, share, e_most)
     if not model.weights:
         return model

@@ -101,3 +101,13 @@ def test_bound_on_labels(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert 300 < toxicity.training_rows(docs, labels, F.lit(0), max_labels=500).count() <= 500
+
+
+def test_all_labels_are_learned_from(spark):
+    """More labels than the 200,000 a cap once left, none of them dropped."""
+    docs = spark.range(210_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    rows = toxicity.training_rows(docs, labels, F.lit(0))
+    assert rows.count() == 210_000
+    assert "ResolvedHint" not in rows._jdf.queryExecution().analyzed().toString()
+    assert toxicity.fit(rows).base == 1.0
