@@ -6,12 +6,15 @@ from pyspark.sql import SparkSession
 
 # Runtime-settable SQL options. forceOptimizeSkewedJoin lets AQE split a hot join
 # key even when the stage above wants the join's partitioning (it then adds one
-# shuffle, only for a join that really is skewed).
+# shuffle, only for a join that really is skewed). Shuffles start wide and are coalesced
+# to the advisory size, so what a task sorts or hashes does not grow with the input.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024",
 }
 
 DEFAULT_TIME_ZONE = "America/Costa_Rica"
