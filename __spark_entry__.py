@@ -227,7 +227,7 @@ def _fact_order_items(src: TpchSources) -> DataFrame:
     location = dims.dim_location(src.locations())
     return facts.fact_order_items(
         src.order_items(),
-        src.orders(),
+        src.orders(customer=True, line_count=False),
         dims.dim_user(src.users(), location),
         dims.dim_product(src.products()),
         location,

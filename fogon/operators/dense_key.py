@@ -29,16 +29,25 @@ def range_positions(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
 
 
 def dense_key(
-    df: DataFrame, key: str, order_by: list[str | Column], key_type: str = "bigint"
+    df: DataFrame,
+    key: str,
+    order_by: list[str | Column],
+    key_type: str = "bigint",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``key`` = rank of the row (1..n) in the total order given by ``order_by``.
 
     Same values as ``row_number()`` over an unpartitioned window. The ranged rows are
     written once, so partition boundaries cannot move between the two uses; the rows
     per partition (one number per partition) become offsets that are joined back.
+    ``keep`` names the columns that go on; others (a wide natural id that only orders) are
+    sorted by and not written. Default: all.
     """
     spark = df.sparkSession
-    ranged = stage(range_positions(df, order_by), key)
+    ranged = range_positions(df, order_by)
+    if keep is not None:
+        ranged = ranged.select(*keep, "_pos")
+    ranged = stage(ranged, key)
     part = F.shiftrightunsigned("_pos", _POSITION_BITS).cast("int")
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()
     sizes.sort()

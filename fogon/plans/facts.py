@@ -66,11 +66,17 @@ def order_items_frame(
     ]
     header = _header(orders, status)
     header = header.select(*[c for c in wanted if c in header.columns])
-    joined = order_items.join(header.hint("merge"), "order_id")
+    joined = _line_measures(order_items).join(header.hint("merge"), "order_id")
     return joined.select(
         "order_item_id",
         *[c for c in wanted if c in header.columns],
-        "product_id",
+        "product_id", "quantity", "unit_price", "line_amount",
+    )
+
+
+def _line_measures(order_items: DataFrame) -> DataFrame:
+    return order_items.select(
+        "order_item_id", "order_id", "product_id",
         F.col("quantity").cast("int").alias("quantity"),
         F.col("unit_price").cast("decimal(12,2)").alias("unit_price"),
         F.col("line_amount").cast("decimal(14,2)").alias("line_amount"),
@@ -100,31 +106,45 @@ def fact_orders(orders, dim_user, dim_location, dim_status=None) -> DataFrame:
     frame = orders_frame(orders, dim_status)
     frame = _resolve(frame, dim_user, "user_id", "user_key")
     frame = _resolve(frame, dim_location, "location_id", "location_key")
-    return dense_key(frame, "order_key", ["order_id"]).select(
-        "order_key", "order_id", "date_key", "time_key", "user_key", "location_key",
+    columns = [
+        "order_id", "date_key", "time_key", "user_key", "location_key",
         "status_key", "item_count", "gross_amount", "discount_amount", "net_amount",
         "delivery_km", "is_completed", "is_cancelled",
-    )
+    ]
+    keyed = dense_key(frame.select(*columns), "order_key", ["order_id"], keep=columns)
+    return keyed.select("order_key", *columns)
 
 
 def fact_order_items(
     order_items, orders, dim_user, dim_product, dim_location, dim_status=None
 ) -> DataFrame:
-    frame = order_items_frame(order_items, orders, dim_status)
-    frame = _resolve(frame, dim_user, "user_id", "user_key")
-    frame = _resolve(frame, dim_product, "product_id", "product_key")
-    frame = _resolve(frame, dim_location, "location_id", "location_key")
-    return dense_key(frame, "order_item_key", ["order_item_id"]).select(
-        "order_item_key", "order_id", "date_key", "time_key", "user_key", "product_key",
+    """Users and places are looked up per order, before the lines meet it: a line is shuffled
+    for its product, its order and its key only. The natural id is sorted by, not written.
+    """
+    header = _resolve(_header(orders, dim_status), dim_user, "user_id", "user_key")
+    header = _resolve(header, dim_location, "location_id", "location_key")
+    header = header.select(
+        "order_id", "date_key", "time_key", "user_key", "location_key", "status_key"
+    )
+    lines = _resolve(_line_measures(order_items), dim_product, "product_id", "product_key")
+    frame = lines.drop("product_id").join(header.hint("merge"), "order_id")
+    columns = [
+        "order_id", "date_key", "time_key", "user_key", "product_key",
         "location_key", "status_key", "quantity", "unit_price", "line_amount",
+    ]
+    keyed = dense_key(
+        frame.select("order_item_id", *columns), "order_item_key", ["order_item_id"], keep=columns
     )
+    return keyed.select("order_item_key", *columns)
 
 
 def fact_reservations(reservations, dim_user, dim_location) -> DataFrame:
     frame = reservations_frame(reservations)
     frame = _resolve(frame, dim_user, "user_id", "user_key")
     frame = _resolve(frame, dim_location, "location_id", "location_key")
-    return dense_key(frame, "reservation_key", ["reservation_id"]).select(
-        "reservation_key", "reservation_id", "date_key", "time_key", "user_key",
+    columns = [
+        "reservation_id", "date_key", "time_key", "user_key",
         "location_key", "party_size", "is_honored", "is_no_show",
-    )
+    ]
+    keyed = dense_key(frame.select(*columns), "reservation_key", ["reservation_id"], keep=columns)
+    return keyed.select("reservation_key", *columns)

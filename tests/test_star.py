@@ -166,3 +166,63 @@ def test_dense_key_plan_has_no_single_partition(spark):
     keyed = dense_key(spark.range(1000), "k", ["id"])
     plan = keyed._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_dense_key_writes_only_what_goes_on(spark, monkeypatch):
+    from fogon.operators import dense_key as module
+
+    staged, write = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label: staged.append(df.columns) or write(df, label))
+    rows = spark.range(0, 500, 1, 7).select(F.struct((499 - F.col("id")).alias("a"), F.lit("w" * 50).alias("b")).alias("wide"), "id")
+    got = module.dense_key(rows, "k", ["wide"], keep=["id"])
+    assert got.columns == ["id", "k"] and staged == [["id", "_pos"]]
+    assert {r.id: r.k for r in got.collect()} == {i: 500 - i for i in range(500)}
+
+
+def test_lines_meet_users_and_places_through_their_order(spark, monkeypatch):
+    """Only what a line's row needs is sorted by its key; repeated and unknown keys as in plain joins."""
+    frames, keyed = [], facts.dense_key
+    monkeypatch.setattr(facts, "dense_key", lambda df, *a, **k: frames.append(df.columns) or keyed(df, *a, **k))
+    make = spark.createDataFrame
+    items = make(
+        [("a", 1, 7, 1, 1.0, 1.0), ("b", 1, 8, 2, 1.0, 2.0), ("c", 2, None, 3, 1.0, 3.0), ("d", 3, 7, 4, 1.0, 4.0), ("e", None, 7, 5, 1.0, 5.0), ("f", 9, 7, 6, 1.0, 6.0)],
+        "order_item_id string, order_id long, product_id long, quantity int, unit_price double, line_amount double",
+    )
+    orders = make(
+        [(1, 10, 5, "2024-01-02 03:00:00", "completed"), (2, None, 5, None, "odd"), (3, 11, 6, "2024-02-02 04:00:00", "cancelled"), (3, 10, None, "2024-02-02 04:00:00", "pending")],
+        "order_id long, user_id long, location_id long, created_at string, status string",
+    )
+    user = make([(10, 100), (10, 101), (None, 1)], "user_id long, user_key int")
+    product = make([(7, 70), (None, 2)], "product_id long, product_key int")
+    place = make([(5, 50)], "location_id long, location_key int")
+    rows = facts.fact_order_items(items, orders, user, product, place).collect()
+    got = sorted(((r.quantity, r.order_id, r.user_key, r.product_key, r.location_key, r.status_key) for r in rows), key=str)
+    assert got == sorted([
+        (1, 1, 100, 70, 50, 4), (1, 1, 101, 70, 50, 4), (2, 1, 100, None, 50, 4), (2, 1, 101, None, 50, 4),
+        (3, 2, None, None, 50, None), (4, 3, None, 70, None, 5), (4, 3, 100, 70, None, 1), (4, 3, 101, 70, None, 1),
+    ], key=str)
+    assert sorted(r.order_item_key for r in rows) == list(range(1, 9))
+    assert [r.quantity for r in sorted(rows, key=lambda r: r.order_item_key)] == [1, 1, 2, 2, 3, 4, 4, 4]
+    assert not {"user_id", "product_id", "location_id", "is_cancelled"} & set(frames[0])
+
+
+def test_shuffles_start_wide_whatever_the_session_has(spark):
+    """Partitions follow the size of a shuffle, not the session's number of them."""
+    from fogon.session import tune
+
+    rows = tune(spark).range(0, 1_200_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    assert rows.repartition("id").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_revenue_state_alone_leaves_products_out(spark, monkeypatch):
+    from fogon.plans import cubes
+
+    items = spark.createDataFrame(
+        [(1, 20240102, 1, 10, 1, 2, 3.5), (1, 20240102, 2, 10, 1, 1, 1.0), (1, 20240102, 3, 10, 1, 1, 2.0), (2, 20240203, 1, None, 1, 4, 8.0), (3, 20240203, 2, 11, 5, 4, 8.0)],
+        "order_id long, date_key int, product_key int, user_key int, status_key smallint, quantity int, line_amount double",
+    ).withColumn("line_amount", F.col("line_amount").cast("decimal(14,2)"))
+    products = spark.createDataFrame([(1, "n", "x"), (2, "m", "x"), (3, "n", None)], "product_key int, product_name string, category string")
+    want = cubes.states(None, items, None, products, names=("state_revenue", "state_products"))["state_revenue"].collect()
+    monkeypatch.setattr(cubes, "_product_lines", None)
+    got = cubes.states(None, items, None, products, names=("state_revenue",))["state_revenue"].collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3
