@@ -496,7 +496,9 @@ def states(
     orders = None if orders_fact is None else orders_base(orders_fact, locations)
     lines = None
     if {"state_revenue", "state_products"} & set(names):
-        lines = _product_lines(items_base(items_fact, products, status))
+        items = items_base(items_fact, products, status)
+        # Only the product state needs the products of an order.
+        lines = _product_lines(items) if "state_products" in names else stage(revenue_by_order(items), "order-categories")
     build = {
         "state_revenue": lambda: _revenue_state(lines),
         "state_products": lambda: _product_state(lines),
