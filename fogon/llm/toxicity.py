@@ -16,7 +16,8 @@ the probability of label 1, so 0.3 means 0.3. The evidence of each fold of those
 from weights of the other folds; where some fold leaves nothing to learn from, from all texts.
 
 Training takes all labelled texts of the training folds. They meet their labels once and are
-written; every pass of the fit reads them from there.
+written; every pass of the fit reads them from there. Their words are counted once, per class and
+fold, and written; every model adds up the folds it learns from.
 
 Defined cases: a null or word-free text has no passage and gets the score of no evidence;
 null labels are not learned from; of repeated labels the largest counts; without both
@@ -36,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogon.llm.common import docs_of, drop_stage, word_bytes, write_stage
+from fogon.llm.common import docs_of, drop_stage, settings, word_bytes, write_stage
 
 _RATE_SCORE = 1.0
 #: Words a task counts before it hands on what it has.
 _HELD = 100_000
+_NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 @dataclass
@@ -112,46 +114,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, max_labels:
     return docs.select("doc_id", "text").join(known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic occurrences, other occurrences), summed per task first."""
-    schema = pa.schema([("word", pa.binary()), ("t", pa.int64()), ("o", pa.int64())])
+def _word_counts(rows: DataFrame, folds: int) -> DataFrame:
+    """Texts with a word per class and fold, summed per task first: (word, t0, o0, t1, o1, ...), t the
+    toxic ones. One pass and one shuffle serve the model of all texts and those of all folds."""
+    schema = pa.schema([("word", pa.binary()), ("k", pa.int32()), ("n", pa.int64())])
 
     def work(batches):
-        counts = (Counter(), Counter())
+        counts: dict[int, Counter] = {}
 
         def flush():
-            for toxic, own in enumerate(counts):
+            for k, own in counts.items():
                 items = iter(own.items())
                 while part := list(islice(items, 10_000)):
                     words, n = zip(*part, strict=True)
-                    zero = [0] * len(n)
-                    columns = (n, zero) if toxic else (zero, n)
-                    yield pa.record_batch(
-                        [pa.array(words, pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], schema=schema
-                    )
-                own.clear()
-
-        for text, toxic in docs_of(batches):
+                    columns = [pa.array(words, pa.binary()), pa.array([k] * len(n), pa.int32()), pa.array(n, pa.int64())]
+                    yield pa.record_batch(columns, schema=schema)
+            counts.clear()
+
+        for text, toxic, own in docs_of(batches):
             # A word counts once per text, so a text that repeats itself is one witness.
-            counts[toxic == 1].update(set(word_bytes(text)))
-            if len(counts[0]) + len(counts[1]) > _HELD:
+            counts.setdefault(2 * own + (toxic != 1), Counter()).update(set(word_bytes(text)))
+            if sum(map(len, counts.values())) > _HELD:
                 yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(work, "word binary, t long, o long").groupBy("word").agg(
-        F.sum("t").alias("t"), F.sum("o").alias("o")
-    )
+    cells = [
+        F.coalesce(F.sum(F.when(F.col("k") == 2 * i + j, F.col("n"))), F.lit(0)).alias(f"{c}{i}")
+        for i in range(folds) for j, c in enumerate("to")
+    ]
+    return rows.select("text", "toxic", "own").mapInArrow(work, "word binary, k int, n long").groupBy("word").agg(*cells)
 
 
-def _weigh(rows: DataFrame, prior: float, z_least: float, share: float, e_most: float) -> ToxicityModel:
-    """Model from (text, toxic), still without a curve; without weights where nothing can be learned."""
+def _weigh(
+    rows: DataFrame, counts: DataFrame, kept: list[int], prior: float, z_least: float, share: float, e_most: float
+) -> ToxicityModel:
+    """Model from (text, toxic, own) of the folds ``kept`` and their word counts, still without a curve;
+    without weights where nothing can be learned."""
     model = ToxicityModel(plain=float(np.log(1 - share)), e_most=e_most)
-    sizes = {r.toxic == 1: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = rows.where(F.col("own").isin(kept))
+    sizes = {r.is_toxic: r.n for r in rows.groupBy((F.col("toxic") == 1).alias("is_toxic")).agg(F.count("*").alias("n")).collect()}
     texts = sum(sizes.values())
     model.base = sizes.get(True, 0) / texts if texts else 0.0
     if len(sizes) < 2:
         return model
-    counts = _word_counts(rows)
+    counts = counts.select("word", *[sum((F.col(f"{c}{i}") for i in kept), F.lit(0)).alias(c) for c in "to"])
+    counts = counts.where(F.col("t") + F.col("o") > 0)
     n_t, n_o = counts.agg(F.sum("t"), F.sum("o")).first()
     if not n_t or not n_o:
         return model
@@ -178,23 +185,34 @@ def _weigh(rows: DataFrame, prior: float, z_least: float, share: float, e_most:
 def fit(
     rows: DataFrame, prior: float = 1000.0, z_least: float = 4.0, share: float = 0.1, e_most: float = 0.5, folds: int = 3
 ) -> ToxicityModel:
-    """Model from (text, toxic); the curve comes from texts that gave no weights (``folds``)."""
-    rows = rows.select("text", "toxic")
-    written = write_stage(rows, "labelled")
-    model = _fit(rows.sparkSession.read.schema(rows.schema).parquet(written), prior, z_least, share, e_most, folds)
-    drop_stage(written)
+    """Model from (text, toxic); the curve comes from texts that gave no weights (``folds``).
+
+    The texts meet their labels in a shuffle at every size: the work of a small input is then that
+    of a large one, and labels that grow past what fits a broadcast change nothing.
+    """
+    spark = rows.sparkSession
+    # Copies of a text are in one fold.
+    rows = rows.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("own"))
+    with settings(spark, _NO_BROADCAST):
+        written = write_stage(rows, "labelled")
+    rows = spark.read.schema(rows.schema).parquet(written)
+    counts = _word_counts(rows, folds)
+    counted = write_stage(counts, "words")
+    model = _fit(rows, spark.read.schema(counts.schema).parquet(counted), prior, z_least, share, e_most, folds)
+    drop_stage(written, counted)
     return model
 
 
-def _fit(rows: DataFrame, prior: float, z_least: float, share: float, e_most: float, folds: int) -> ToxicityModel:
-    model = _weigh(rows, prior, z_least, share, e_most)
+def _fit(
+    rows: DataFrame, counts: DataFrame, prior: float, z_least: float, share: float, e_most: float, folds: int
+) -> ToxicityModel:
+    every = list(range(folds))
+    model = _weigh(rows, counts, every, prior, z_least, share, e_most)
     if not model.weights:
         return model
-    # Copies of a text are in one fold.
-    own = F.pmod(F.xxhash64("text"), F.lit(folds))
-    models = [_weigh(rows.where(own != i), prior, z_least, share, e_most) for i in range(folds)]
+    models = [_weigh(rows, counts, [f for f in every if f != i], prior, z_least, share, e_most) for i in every]
     if all(m.weights for m in models):
-        parts = [(m, rows.where(own == i)) for i, m in enumerate(models)]
+        parts = [(m, rows.where(F.col("own") == i)) for i, m in enumerate(models)]
     else:
         parts = [(model, rows)]
     found = pd.concat(

@@ -111,3 +111,34 @@ def test_all_labels_are_learned_from(spark):
     assert rows.count() == 210_000
     assert "ResolvedHint" not in rows._jdf.queryExecution().analyzed().toString()
     assert toxicity.fit(rows).base == 1.0
+
+
+def test_words_are_counted_once_for_all_models(spark, monkeypatch):
+    """One pass gives the counts of every fold; texts and labels are shuffled at any size."""
+    passes, plans = [], []
+    count, write = toxicity._word_counts, toxicity.write_stage
+    monkeypatch.setattr(toxicity, "_word_counts", lambda *a: passes.append(a) or count(*a))
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(toxicity, "write_stage", seen)
+    docs = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), F.when(F.col("id") % 3 == 0, "vile ").otherwise("good "), F.col("id")).alias("text")
+    )
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    model = toxicity.fit(toxicity.training_rows(docs, labels, F.lit(0)))
+    assert set(model.weights) == {b"vile"} and any(model.curve)
+    assert len(passes) == 1
+    assert "BroadcastHashJoin" not in dict(plans)["labelled"] and "SortMergeJoin" in dict(plans)["labelled"]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_counts_by_fold(spark):
+    rows = spark.createDataFrame(
+        [("a b a", 1, 0), ("A c", 0, 0), ("b", 0, 1), ("b", 1, 1), (None, 1, 1)], "text string, toxic int, own int"
+    )
+    got = {bytes(r.word): tuple(r)[1:] for r in toxicity._word_counts(rows, 2).collect()}
+    assert got == {b"a": (1, 1, 0, 0), b"b": (1, 0, 1, 1), b"c": (0, 1, 0, 0)}
