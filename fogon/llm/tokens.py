@@ -12,6 +12,7 @@ any other piece goes through the whole tokenizer, so Unicode tables need not agr
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -22,16 +23,19 @@ import regex
 from tokenizers import Tokenizer
 
 #: A blank after other white space; where a text has none, every blank is a cut.
-_SPACED_ASCII = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_SPACED_OTHER = tuple(
-    chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-)
+_SPACED = re.compile("[" + "".join(map(chr, (
+    0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
+))) + "] ")
+#: A line break beside other white space; where a text has none, every line break is a cut.
+_SPACED_BREAK = re.compile(r"\n(?:\s|(?<=\s\n))")
+#: Stands before a line break that is a cut; texts that have it are left to the library.
+_BREAK = "\x1a"
 _CUT = re.compile(r"(?<=\S) ")
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-İĲ-ž ]+")
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Entries of one generation in a worker (about 150 bytes each); two are kept.
-_KEPT = 350_000
+_KEPT = 500_000
 _MARKS = frozenset(".,;:!?")
 
 
@@ -100,8 +104,14 @@ class TextEncoder:
         if piece.isascii():
             if piece.isalpha():
                 return self._pack(self._tokenize("Ġ" + piece))
-            if piece[:-1].isalpha() and piece[-1] in _MARKS:
-                return self._pack(self._tokenize("Ġ" + piece[:-1])) + self.words[piece[-1]]
+            word = piece[:-1]
+            if word.isalpha() and piece[-1] in _MARKS:
+                ids = self.after_blank.get(word)
+                return (self._pack(self._tokenize("Ġ" + word)) if ids is None else ids) + self.words[piece[-1]]
+            if piece[:1] == _BREAK:
+                return self.words["\n"] + self._piece(piece[2:])
+        elif piece[0] == _BREAK:
+            return self.words["\n"] + self._piece(piece[2:])
         elif _LATIN.fullmatch(piece):
             if piece.isalpha():
                 return self._pack(self._tokenize("Ġ" + piece.translate(self._latin)))
@@ -141,12 +151,14 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in self._starts) and self._added.search(text):
+        if any(c in text for c in self._starts) and self._added.search(text) or _BREAK in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if self.word_end:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
-        spaced = any(c in text for c in _SPACED_ASCII) or not text.isascii() and any(c in text for c in _SPACED_OTHER)
+        spaced = _SPACED.search(text)
+        if not spaced and "\n" in text and not _SPACED_BREAK.search(text):
+            text = text.replace("\n", f" {_BREAK}\n")
         cut = _CUT.split(text) if spaced else text.split(" ")
         first = self.plain[cut[0]] if cut[0] else b""
         # An empty cut at the end is the text's last blank.
@@ -155,5 +167,7 @@ class TextEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder per file and worker process."""
+    """One encoder per file and worker process. Its entries are plain strings and bytes without cycles,
+    which the collector of cycles would only walk through again and again."""
+    gc.set_threshold(200_000, 20, 20)
     return TextEncoder(path)

@@ -109,3 +109,23 @@ def test_many_files_nulls_and_an_empty_table(spark):
     assert np.frombuffer(raw.ids, "<u4").tolist() == [2]
     assert tf.write_token_files(frame.limit(0), fresh_dir(spark, "tokens"), path, 2) == []
     assert tf.read_token_files(spark, []).collect() == []
+
+
+def test_line_breaks_are_cuts():
+    """A word beside a line break is kept once, not once with each neighbour; ids stay the library's."""
+    import random
+
+    from fogon.llm import tokens
+
+    small = tokens.TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    text = " ".join(f"{a}\n{b}" for a in words for b in words)
+    want = small.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == want
+    assert len(small.after_blank) + len(small.plain) <= 2 * len(words) + 1
+    rng = random.Random(3)
+    parts = ["a", "bc", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "é", "中", "\x1a", "\x1c", "\xa0", ",", "'s", "x\ny"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        want = small.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == want, text
