@@ -115,23 +115,53 @@ def fact_orders(orders, dim_user, dim_location, dim_status=None) -> DataFrame:
     return keyed.select("order_key", *columns)
 
 
+def order_header(orders, dim_user, dim_location, dim_status=None) -> DataFrame:
+    """Per order, what its lines take from it, with users and places looked up."""
+    header = _resolve(_header(orders, dim_status), dim_user, "user_id", "user_key")
+    header = _resolve(header, dim_location, "location_id", "location_key")
+    return header.select(*ORDER_HEADER)
+
+
+ORDER_HEADER = ("order_id", "date_key", "time_key", "user_key", "location_key", "status_key")
+
+
+def _each_line_once(order_items: DataFrame, header: DataFrame, dim_product: DataFrame) -> bool:
+    """Whether every line has exactly one order and at most one product, so that the look-ups
+    neither drop nor repeat a line. Lines are reduced to their orders first."""
+    products = dim_product.where(F.col("product_id").isNotNull()).groupBy("product_id")
+    if products.agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return False
+    known = header.groupBy("order_id").agg(F.count("*").alias("n"))
+    wanted = order_items.select("order_id").distinct()
+    odd = wanted.join(known.hint("merge"), "order_id", "left").where("n IS NULL OR n > 1")
+    return odd.limit(1).count() == 0
+
+
 def fact_order_items(
-    order_items, orders, dim_user, dim_product, dim_location, dim_status=None
+    order_items, orders, dim_user, dim_product, dim_location, dim_status=None, header=None
 ) -> DataFrame:
-    """Users and places are looked up per order, before the lines meet it: a line is shuffled
-    for its product, its order and its key only. The natural id is sorted by, not written.
+    """Users and places are looked up per order, before the lines meet it (``header``: orders
+    that already are, such as the written fact). The natural id is sorted by, not written.
+
+    Where every line has one order and at most one product, lines get their key first: the
+    natural id, the widest column, is then shuffled once and only keys and measures go through
+    the look-ups. Elsewhere rows are numbered after the look-ups, which drop or repeat them.
     """
-    header = _resolve(_header(orders, dim_status), dim_user, "user_id", "user_key")
-    header = _resolve(header, dim_location, "location_id", "location_key")
-    header = header.select(
-        "order_id", "date_key", "time_key", "user_key", "location_key", "status_key"
+    header = (
+        order_header(orders, dim_user, dim_location, dim_status) if header is None else header.select(*ORDER_HEADER)
     )
-    lines = _resolve(_line_measures(order_items), dim_product, "product_id", "product_key")
-    frame = lines.drop("product_id").join(header.hint("merge"), "order_id")
+    lines = _line_measures(order_items)
     columns = [
         "order_id", "date_key", "time_key", "user_key", "product_key",
         "location_key", "status_key", "quantity", "unit_price", "line_amount",
     ]
+    if _each_line_once(order_items, header, dim_product):
+        keep = ["order_id", "product_id", "quantity", "unit_price", "line_amount"]
+        keyed = dense_key(lines, "order_item_key", ["order_item_id"], keep=keep)
+        keyed = _resolve(keyed, dim_product, "product_id", "product_key").drop("product_id")
+        return keyed.join(header.hint("merge"), "order_id").select("order_item_key", *columns)
+    lines = _resolve(lines, dim_product, "product_id", "product_key")
+    frame = lines.drop("product_id").join(header.hint("merge"), "order_id")
     keyed = dense_key(
         frame.select("order_item_id", *columns), "order_item_key", ["order_item_id"], keep=columns
     )

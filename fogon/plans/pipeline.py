@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fogon.plans import analyses, cubes, dims, facts, quality
-from fogon.operators.staging import staged_here
+from fogon.operators.staging import stage, staged_here
 from fogon.schemas import ANALYSES, CUBES, DIMENSIONS, FACTS, SOURCE_TABLES, conform
 from fogon.sources.lake import NULL_PARTITION, Lake, fingerprint
 
@@ -50,19 +50,26 @@ def build_facts(lake: Lake, wanted=FACTS) -> Tables:
     src = {name: lake.read("bronze", name) for name in sources}
     dim = {name: lake.read("silver", name) for name in DIMENSIONS}
     user, location, status = dim["dim_user"], dim["dim_location"], dim["dim_order_status"]
+    written: Tables = {}
+
+    def items() -> DataFrame:
+        # The orders of this load are looked up already.
+        made = facts.fact_order_items(
+            src["order_items"], src["orders"], user, dim["dim_product"], location, status, written.get("fact_orders")
+        )
+        # A table that is there is compared with the rows before they are written.
+        return stage(made, "order-items") if lake.manifest("gold", "fact_order_items") else made
+
     build = {
         "fact_orders": lambda: facts.fact_orders(src["orders"], user, location, status),
-        "fact_order_items": lambda: facts.fact_order_items(
-            src["order_items"], src["orders"], user, dim["dim_product"], location, status
-        ),
+        "fact_order_items": items,
         "fact_reservations": lambda: facts.fact_reservations(src["reservations"], user, location),
     }
-    built = {name: build[name]() for name in wanted}
     # Kept by month: a load replaces the months whose rows changed.
-    return {
-        name: lake.write_changed(df.withColumn("month_key", cubes.month_key()), "gold", name, "month_key")
-        for name, df in built.items()
-    }
+    for name in sorted(wanted, key=FACTS.index):
+        df = build[name]().withColumn("month_key", cubes.month_key())
+        written[name] = lake.write_changed(df, "gold", name, "month_key")
+    return {name: written[name] for name in wanted}
 
 
 def run_analyses(lake: Lake) -> Tables:

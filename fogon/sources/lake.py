@@ -120,12 +120,14 @@ class Lake:
         return reader.parquet(*paths).select(*schema.names)
 
     def write_parts(
-        self, df: DataFrame, zone: str, table: str, by: str, only: Iterable[str] | None = None, notes: dict | None = None
+        self, df: DataFrame, zone: str, table: str, by: str, only: Iterable[str] | None = None, notes: dict | None = None,
+        printed: bool = False,
     ) -> DataFrame:
         """Write new versions of the partitions of ``df`` and a manifest with them.
 
         ``only`` names the partitions that are replaced (emptied, where ``df`` has no rows of
-        them) while the others stay; without it the table is ``df``.
+        them) while the others stay; without it the table is ``df``. ``printed`` notes the
+        fingerprints of the table, taken from the written files.
         """
         old = self.manifest(zone, table) if only is not None else None
         replaced = None if only is None else set(only)
@@ -140,6 +142,8 @@ class Lake:
             parts |= {k: version for k in written if exists(f"{path}/{by}={k}/version={version}")}
         schema = df.select(*columns, by).schema
         body = {"by": by, "schema": json.loads(schema.json()), "parts": parts, "notes": notes or {}}
+        if printed:
+            body["notes"] = body["notes"] | {"prints": fingerprint(self.open(zone, table, body), by)}
         write_text(f"{path}/_manifests/m-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(body))
         catalog_links.follow(self, zone, table)
         self._tidy(zone, table)
@@ -147,17 +151,18 @@ class Lake:
 
     def write_changed(self, df: DataFrame, zone: str, table: str, by: str) -> DataFrame:
         """Like :meth:`write_parts`, for the partitions whose contents differ from what the
-        table has. ``df`` is read twice, so it should start from a written table."""
+        table has. Where the table is there, ``df`` is read twice and should start from a written
+        one; a first write runs ``df`` once and takes the fingerprints from what it wrote."""
         old = self.manifest(zone, table)
-        prints = fingerprint(df, by)
-        before = (old or {}).get("notes", {}).get("prints", {})
         if old and old["by"] == by and sorted(f["name"] for f in old["schema"]["fields"]) == sorted(df.columns):
+            prints = fingerprint(df, by)
+            before = old.get("notes", {}).get("prints", {})
             changed = {k for k in prints if prints[k] != before.get(k)}
             gone = set(old["parts"]) - set(prints)
             text = F.coalesce(F.col(by).cast("string"), F.lit(NULL_PARTITION))
             some = df.where(text.isin(sorted(changed))) if changed < set(prints) else df
             return self.write_parts(some, zone, table, by, changed | gone, {"prints": prints})
-        return self.write_parts(df, zone, table, by, None, {"prints": prints})
+        return self.write_parts(df, zone, table, by, printed=True)
 
     def _tidy(self, zone: str, table: str) -> None:
         found = self._manifests(zone, table)

@@ -168,3 +168,24 @@ def test_bitmaps_count_exactly(spark, kind):
         for n in range(3):
             want = {u for i, u in enumerate(users) if i % 2 == c and i % 3 == n and u is not None}
             assert got[1, f"c{c}", f"n{n}", None] == len(want)
+
+
+def test_a_first_write_runs_its_rows_once(spark, tmp_path, monkeypatch):
+    """The fingerprints come from what was written, packed with zstd, and equal those of the rows."""
+    import pyarrow.parquet as pq
+
+    from fogon.sources import lake as lakes
+
+    read = []
+    own = lakes.fingerprint
+    monkeypatch.setattr(lakes, "fingerprint", lambda df, by=None: read.append(df.inputFiles()) or own(df, by))
+    lake = lakes.Lake(spark, str(tmp_path / "lake"))
+    rows = spark.range(20).selectExpr("CAST(id % 3 AS INT) AS month_key", "id", "CAST(id AS STRING) AS name")
+    lake.write_changed(rows, "gold", "t", "month_key")
+    assert len(read) == 1 and all("/gold/t/month_key=" in f for f in read[0]) and read[0]
+    before = lake.manifest("gold", "t")
+    assert before["notes"]["prints"] == own(rows, "month_key")
+    lake.write_changed(rows, "gold", "t", "month_key")
+    assert lake.manifest("gold", "t")["parts"] == before["parts"]
+    path = read[0][0].removeprefix("file://").removeprefix("file:")
+    assert pq.ParquetFile(path).metadata.row_group(0).column(0).compression == "ZSTD"

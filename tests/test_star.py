@@ -226,3 +226,38 @@ def test_revenue_state_alone_leaves_products_out(spark, monkeypatch):
     monkeypatch.setattr(cubes, "_product_lines", None)
     got = cubes.states(None, items, None, products, names=("state_revenue",))["state_revenue"].collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3
+
+
+def _lines(spark, sources, orders, lines, products, monkeypatch):
+    """Lines of the given rows, and whether their key came before the look-ups."""
+    seen = []
+    monkeypatch.setattr(facts, "dense_key", lambda df, *a, **k: seen.append("user_key" not in df.columns) or dense_key(df, *a, **k))
+    location, user, product = star(sources)
+    made = facts.fact_order_items(lines, orders, user, product.where(F.col("product_id").isin(products)).unionByName(product.limit(0)), location)
+    return sorted(map(tuple, made.collect())), seen == [True]
+
+
+def test_lines_get_their_key_before_the_look_ups_where_those_keep_every_line(spark, sources, monkeypatch):
+    orders, lines = sources["orders"], sources["order_items"]
+    whole, early = _lines(spark, sources, orders, lines, ["p1", "p2"], monkeypatch)
+    assert early
+    # An order that no line refers to comes twice: it changes no line.
+    twice = orders.unionByName(orders.limit(1).withColumn("order_id", F.lit("o9"))).unionByName(orders.limit(1).withColumn("order_id", F.lit("o9")))
+    assert _lines(spark, sources, twice, lines, ["p1", "p2"], monkeypatch) == (whole, True)
+    monkeypatch.setattr(facts, "_each_line_once", lambda *a: False)
+    assert _lines(spark, sources, orders, lines, ["p1", "p2"], monkeypatch) == (whole, False)
+
+
+def test_lines_are_numbered_after_look_ups_that_drop_or_repeat_them(spark, sources, monkeypatch):
+    orders, lines = sources["orders"], sources["order_items"]
+    some, early = _lines(spark, sources, orders.where("order_id = 'o2'"), lines, ["p1", "p2"], monkeypatch)
+    assert not early and [(r[0], r[1]) for r in some] == [(1, "o2")]
+    both, early = _lines(spark, sources, orders.unionByName(orders), lines, ["p1", "p2"], monkeypatch)
+    assert not early and [r[0] for r in both] == [1, 2, 3, 4, 5, 6]
+    bare = lines.withColumn("order_id", F.when(F.col("order_item_id") != "i2", F.col("order_id")))
+    some, early = _lines(spark, sources, orders, bare, ["p1", "p2"], monkeypatch)
+    assert not early and [(r[0], r[1]) for r in some] == [(1, "o1"), (2, "o2")]
+    location, user, product = star(sources)
+    again = product.unionByName(product.where("product_id = 'p1'").withColumn("product_key", F.lit(99)))
+    made = facts.fact_order_items(lines, orders, user, again, location).collect()
+    assert sorted(r.order_item_key for r in made) == [1, 2, 3, 4, 5]
