@@ -15,6 +15,8 @@ date and time dimensions are computed in place instead of joined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,18 +199,34 @@ def _location_levels(leaf: DataFrame) -> DataFrame:
 def _bitmap_levels(leaf: DataFrame, dims: list[str], levels: list[list[str]], *measures: str) -> DataFrame:
     """``dims``, ``grp_flag``, ``users`` and ``measures`` of every level of a leaf with bitmaps.
 
-    Bitmaps merge by OR per word and level, then their bits are counted; ``Expand`` copies the
-    leaf's rows, which are at most one per 64 users of a group, and both steps combine map-side.
+    The leaf has one row per group of the first level, which names all ``dims``, and word: its bits
+    are counted where they lie, and measures add up from that level. Only the bitmaps of the other
+    levels are merged by OR, each from the last finer level before it, so no row is copied per level.
     """
-    word, keys = F.col("word"), [F.col(d) for d in dims]
-    sets = [[*[F.col(d) for d in level], word] for level in levels]
-    merged = leaf.groupingSets(sets, *keys, word).agg(
-        F.grouping_id(*dims, "word").alias("level"), F.bit_or("bits").alias("bits"),
+    bit_count = F.sum(F.bit_count("bits")).alias("users")
+    base = leaf.groupBy(*dims).agg(bit_count, *[F.sum(m).alias(m) for m in measures])
+    keys = [F.col(d) for d in dims]
+    sums = base.groupingSets([[F.col(d) for d in level] for level in levels], *keys).agg(
+        F.grouping_id(*dims).cast("int").alias("grp_flag"), F.sum("users").alias("users"),
         *[F.sum(m).alias(m) for m in measures],
     )
-    # The word is grouped in every level: the lowest bit of the level is 0.
-    return merged.groupBy(*dims, F.shiftright("level", 1).cast("int").alias("grp_flag")).agg(
-        F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("users"),
+    # Users of the first level add up in no other one.
+    parts = [sums.withColumn("users", F.when(F.col("grp_flag") == 0, F.col("users")))]
+    merged = [leaf]
+    for k, level in enumerate(levels[1:], 1):
+        source = next(merged[i] for i in reversed(range(k)) if set(level) <= set(levels[i]))
+        merged.append(source.groupBy(*level, "word").agg(F.bit_or("bits").alias("bits")))
+        flag = sum(1 << i for i, d in enumerate(reversed(dims)) if d not in level)
+        parts.append(
+            # Grouped by the flag too: the level without columns has no row where the leaf has none.
+            merged[k].groupBy(*level, F.lit(flag).alias("grp_flag")).agg(bit_count).select(
+                *[F.col(d) if d in level else F.lit(None).cast(leaf.schema[d].dataType).alias(d) for d in dims],
+                "grp_flag", "users",
+                *[F.lit(None).cast(base.schema[m].dataType).alias(m) for m in measures],
+            )
+        )
+    return reduce(DataFrame.unionByName, parts).groupBy(*dims, "grp_flag").agg(
+        F.coalesce(F.sum("users"), F.lit(0)).cast("bigint").alias("users"),
         *[F.sum(m).alias(m) for m in measures],
     )
 
@@ -238,21 +256,20 @@ def _product_state(lines: DataFrame) -> DataFrame:
 
 def _revenue_state(lines: DataFrame) -> DataFrame:
     """Sums and distinct orders by (month, category). An order counts in each of its
-    categories, and in the smallest one for the levels without category."""
-    by_order = lines.groupBy("order_id", "month_key", "category").agg(
-        F.sum("revenue_c").alias("revenue_c"), F.sum("units").alias("units")
-    )
-    per_category = by_order.groupBy("month_key", "category").agg(
-        F.sum("revenue_c").alias("revenue_c"), F.sum("units").alias("units"), F.count("*").alias("in_category")
-    )
+    categories, and in the smallest one for the levels without category. Sums add up where the
+    lines lie; only the distinct (order, month, category) meet in shuffles."""
+    zero, sums = F.lit(0).cast("bigint"), ["revenue_c", "units"]
+    own = lines.groupBy("month_key", "category").agg(*[F.sum(m).alias(m) for m in sums])
+    by_order = lines.select("order_id", "month_key", "category").distinct()
+    per_category = by_order.groupBy("month_key", "category").agg(F.count("*").alias("in_category"))
     whole = by_order.groupBy("order_id", "month_key").agg(F.min("category").alias("category"))
-    per_order = whole.groupBy("month_key", "category").agg(F.count("*").alias("in_total"))
-    zero = F.lit(0).cast("bigint")
-    both = per_category.withColumn("in_total", zero).unionByName(
-        per_order.select("month_key", "category", *[zero.alias(m) for m in ("revenue_c", "units", "in_category")], "in_total")
+    per_order = whole.groupBy("month_key", "category").agg(
+        *[F.max(zero).alias(m) for m in (*sums, "in_category")], F.count("*").alias("in_total")
     )
+    both = own.withColumn("in_total", zero).unionByName(per_category, allowMissingColumns=True)
+    both = both.unionByName(per_order, allowMissingColumns=True)
     return both.groupBy("month_key", "category").agg(
-        *[F.sum(m).alias(m) for m in ("revenue_c", "units", "in_category", "in_total")]
+        *[F.sum(m).alias(m) for m in (*sums, "in_category", "in_total")]
     )
 
 

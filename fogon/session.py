@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession
 # Runtime-settable SQL options. forceOptimizeSkewedJoin lets AQE split a hot join
 # key even when the stage above wants the join's partitioning (it then adds one
 # shuffle, only for a join that really is skewed). Shuffles start wide and are coalesced
-# to the advisory size, so what a task sorts or hashes does not grow with the input. Written tables are
+# to the advisory size, and files are read in pieces of that size (a packed table has ten million rows in the
+# 128 MB of Spark's default), so what a task sorts or hashes does not grow with the input. Written tables are
 # packed with zstd: a load writes its lines several times.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,6 +17,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 

@@ -189,3 +189,64 @@ def test_a_first_write_runs_its_rows_once(spark, tmp_path, monkeypatch):
     assert lake.manifest("gold", "t")["parts"] == before["parts"]
     path = read[0][0].removeprefix("file://").removeprefix("file:")
     assert pq.ParquetFile(path).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_merged_levels_copy_no_bitmaps(spark, made):
+    """Levels merge from one another: no row with a bitmap is expanded into the levels."""
+    states = {n: made.read("gold", n) for n in cubes.STATES}
+    for name in ("cube_product_frequency", "cube_customer_activity"):
+        cube = cubes.from_states(states, [name])[name]
+        plan = cube._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        expands = [line for line in plan if "Expand [" in line]
+        assert expands and not any("bits#" in line for line in expands), name
+
+
+def test_levels_of_bitmaps_equal_a_plain_count(spark):
+    import random
+
+    dice = random.Random(7)
+    rows = [(dice.choice([None, "a", "b"]), dice.choice([None, "x", "y", "z"]), dice.choice([202301, 202302, None]),
+             dice.choice([None, *range(-70, 200)]), dice.choice([None, 1, 5])) for _ in range(600)]
+    words = [(*r[:3], None if r[3] is None else r[3] >> 6, None if r[3] is None else 1 << (r[3] & 63), r[4]) for r in rows]
+    signed = [(*r[:4], r[4] - (1 << 64) if r[4] is not None and r[4] >> 63 else r[4], r[5]) for r in words]
+    leaf = spark.createDataFrame(signed, "c string, p string, m int, word long, bits long, v long").groupBy("c", "p", "m", "word").agg(
+        F.bit_or("bits").alias("bits"), F.sum("v").alias("v"))
+    levels = [["c", "p", "m"], ["c", "p"], ["c", "m"], ["c"], []]
+    got = cubes._bitmap_levels(leaf, ["c", "p", "m"], levels, "v").collect()
+    want = {}
+    for flag, level in zip((0, 1, 2, 3, 7), levels):
+        for c, p, m, user, v in rows:
+            key = tuple(x if d in level else None for d, x in zip("cpm", (c, p, m)))
+            users, values = want.setdefault((*key, flag), (set(), []))
+            users.update(() if user is None else (user,))
+            values += [] if v is None else [v]
+    assert len(got) == len(want)
+    for r in got:
+        users, values = want[r.c, r.p, r.m, r.grp_flag]
+        assert (r.users, r.v) == (len(users), sum(values) if values else None)
+    assert cubes._bitmap_levels(leaf.limit(0), ["c", "p", "m"], levels, "v").collect() == []
+
+
+def test_only_distinct_keys_of_an_order_meet(spark, made):
+    """Sums of the revenue state are not carried per order; amounts that are unknown stay so."""
+    lines = spark.createDataFrame(
+        [("o1", 202301, "a", 5, 1), ("o1", 202301, "b", None, 2), ("o2", 202301, "a", 7, 1), ("o2", 202301, "a", 1, None),
+         ("o3", 202302, None, 3, 1), ("o3", 202302, "c", None, None)],
+        "order_id string, month_key int, category string, revenue_c long, units long")
+    state = cubes._revenue_state(lines)
+    plan = state._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    per_order = [line for line in plan if "Aggregate [order_id#" in line]
+    assert per_order and not any("sum(" in line for line in per_order)
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in state.select("month_key", "category", "revenue_c", "units", "in_category", "in_total").collect()}
+    assert got == {
+        (202301, "a"): (13, 2, 2, 2), (202301, "b"): (None, 2, 1, 0),
+        (202302, None): (3, 1, 1, 0), (202302, "c"): (0, 0, 1, 1),
+    }
+
+
+def test_files_are_read_in_pieces_of_a_shuffle_partition(spark):
+    from fogon.session import tune
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    tune(spark)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
